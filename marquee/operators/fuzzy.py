@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import fixed
 from ..functions.scores import char_mask, popularity
 from ..functions.text import accent_table, strip_accents
-from ..session import materialise
+from ..session import materialise, spread
 from .sorting import top_per_group
 
 # ------------------------------------------------------------------ columns
@@ -229,7 +229,7 @@ def fuzzy_search(index: DataFrame, queries: list[str], keep: int = fixed.FUZZY_K
     flat = index.sparkSession.createDataFrame(list(enumerate(queries)), "query_no int, raw string")
     normal = [(r["query_no"], r["q"]) for r in flat.select("query_no", norm_query(F.col("raw")).alias("q")).collect()]
     asked = [(no, q) for no, q in normal if q]
-    narrow = index.select("kind", "pos", "hay", "tl", "mask", "pop")
+    narrow = spread(index.select("kind", "pos", "hay", "tl", "mask", "pop"), "pos")
     partial = materialise(narrow.mapInPandas(_search(asked, keep), PARTIAL), "fuzzy")
     totals = partial.filter("pos IS NULL").groupBy("query_no", "kind").agg(F.sum("hits").alias("total"))
     top = top_per_group(

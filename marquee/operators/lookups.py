@@ -50,11 +50,9 @@ def open_items(urls: DataFrame, items: DataFrame, url: str = "url", step: int =
         .filter(F.col("token").isNotNull())
         .withColumn("_low", F.lower(F.trim("token")))
     )
-    by_key = items.groupBy("kind", item_key().alias("_key")).agg(F.min("pos").alias("pos_key"))
+    by_key = items.groupBy("kind", item_key().alias("token")).agg(F.min("pos").alias("pos_key"))
     by_title = first_by_title(items).select("kind", F.col("title_key").alias("_low"), F.col("pos").alias("pos_title"))
-    exact = asked.join(by_key, (asked["kind"] == by_key["kind"]) & (asked["token"] == by_key["_key"]), "left").drop(
-        by_key["kind"], by_key["_key"]
-    ).join(by_title, ["kind", "_low"], "left")
+    exact = asked.join(by_key, ["kind", "token"], "left").join(by_title, ["kind", "_low"], "left")
     open_ = exact.filter(F.col("pos_key").isNull() & F.col("pos_title").isNull() & (F.col("_low") != ""))
     tokens = open_.select("kind", "_low").distinct().withColumn("_n", F.least(F.length("_low"), F.lit(step)))
     heads = first_by_title(items).select(

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions import fixed
-from ..session import fresh_path, materialise
+from ..session import fresh_path, materialise, spread
 from .similarity import AXES, Features, rare_words
 from .sorting import top_per_group
 
@@ -191,12 +191,14 @@ def _score_group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def plain_candidates(vectors: DataFrame) -> DataFrame:
-    """Best 8 per item and medium by the score without the rare-word bonus."""
+def plain_candidates(vectors: DataFrame, grain: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Best 8 per item and medium by the score without the rare-word bonus, for each block of
+    targets; the best 8 of an item are among its blocks' best. `grain` sets how fine the cells
+    are (the number of targets by default)."""
     items = pair_keys(vectors, "item").drop("score", "eligible")
     targets = pair_keys(vectors.filter("eligible"), "target").drop("turn", "eligible")
     sizes = vectors.agg(F.count("*").alias("n"), F.count_if("eligible").alias("t")).first()
-    targets = targets.withColumn("cell", cell_of(sizes["t"]))
+    targets = targets.withColumn("cell", cell_of(sizes["t"] if grain is None else grain))
     cells = (
         targets.groupBy("cell", "kind_rank")
         .agg(
@@ -205,14 +207,14 @@ def plain_candidates(vectors: DataFrame) -> DataFrame:
             *[f(c).alias(f"{c}_{e}") for c in ("tone", "scale") for f, e in ((F.min, "lo"), (F.max, "hi"))],
             F.max("score").alias("top"),
         )
-        .withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+        .withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
         .toPandas()  # at most 3,328 rows
     )
     if cells.empty:
         return vectors.sparkSession.createDataFrame([], CANDIDATE)
-    spread = top_per_group(targets, ["cell"], [F.asc("gid")], PILOTS, "_place")
+    per_cell = top_per_group(targets, ["cell"], [F.asc("gid")], PILOTS, "_place")
     pilots = (
-        top_per_group(spread, ["kind_rank"], [F.asc("_place"), F.asc("cell")], PILOTS, "_p")
+        top_per_group(per_cell, ["kind_rank"], [F.asc("_place"), F.asc("cell")], PILOTS, "_p")
         .drop("_place", "_p", "cell")
         .toPandas()  # at most 4 * 512 rows
     )
@@ -223,7 +225,7 @@ def plain_candidates(vectors: DataFrame) -> DataFrame:
         + ["floor double", "cell int", "chunks int"]
     )
     order = [f.split()[0] for f in fields.split(", ")][:-3]
-    demands = items.select(*order).mapInPandas(_demands(cells, pilots, fixed.WIDE), fields)
+    demands = spread(items.select(*order), "gid").mapInPandas(_demands(cells, pilots, fixed.WIDE), fields)
     salts = max(1, -(-sizes["n"] // ITEM_BLOCK))
     demands = demands.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn(
         "salt", (F.col("gid") % salts).cast("int")
@@ -341,22 +343,20 @@ def assign(cands: DataFrame, cap: int = fixed.CAP, quota: int = fixed.K_PER_MEDI
     cands = materialise(cands, "candidates")
     schema = "neighbour long, cutoff long"
     cutoffs = spark.createDataFrame([], schema)
-    total = -1
+    before = None
     while True:
         picks = _proposals(cands, cutoffs, quota)
         held = top_per_group(picks.select("neighbour", "turn"), ["neighbour"], [F.asc("turn")], cap, "_r")
         full = held.filter(F.col("_r") == cap).select("neighbour", F.col("turn").alias("cutoff"))
+        seen = Observation()
         path = fresh_path(spark, "cutoffs")
-        full.write.parquet(path)
-        fresh = spark.read.schema(schema).parquet(path)
-        # One row: number of full targets and sum of cutoffs. Targets only get full and cutoffs
-        # only fall, so equal figures mean equal tables.
-        state = fresh.agg(F.count("*").alias("n"), F.coalesce(F.sum("cutoff"), F.lit(0)).alias("s")).first()
-        figure = (state["n"], state["s"])
-        cutoffs = fresh
-        if figure == total:
-            return _proposals(cands, cutoffs, quota)
-        total = figure
+        full.observe(seen, F.count("*").alias("n"), F.sum("cutoff").alias("s")).write.parquet(path)
+        # Targets only get full and cutoffs only fall, so equal figures mean equal tables.
+        state = (seen.get["n"], seen.get["s"])
+        if state == before or not state[0]:
+            return picks
+        before = state
+        cutoffs = spark.read.schema(schema).parquet(path)
 
 
 def _proposals(cands: DataFrame, cutoffs: DataFrame, quota: int) -> DataFrame:

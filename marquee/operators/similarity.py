@@ -15,6 +15,7 @@ from ..sources.catalogue import number_items
 from .filters import eligible_target
 
 AXES = fixed.AXES
+BROADCAST_WORDS = 1_000_000  # profiles of about 150 bytes each
 DIGITS = 9  # sums arrive in any order; rounding makes equal items exactly equal
 
 
@@ -73,9 +74,13 @@ def content_words(items: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def word_counts(items: DataFrame) -> DataFrame:
-    """(kind, pos, genre, word, tf) over whole texts."""
+    """(kind, pos, genre, word, tf) over whole texts.
+
+    Texts are spread by item once; a text is far smaller than its exploded words, and the
+    words of an item are then counted where they are, without another exchange."""
     keep = ["kind", "pos", "genre"]
-    return content_words(items, keep).groupBy(*keep, "word").agg(F.count("*").alias("tf"))
+    texts = items.select(*keep, "blurb").repartition("kind", "pos")
+    return content_words(texts, keep).groupBy(*keep, "word").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -130,23 +135,23 @@ def raw_parts(
 ) -> DataFrame:
     """Per item: genre vector g_, lexicon hits b_, learned sums l_, tone and scale parts.
 
-    Texts are read by the word count and the period test only and never shuffled. Words meet the lexicon (fixed size, broadcast) and their profiles once, and are summed
-    per item in the same pass."""
-    hit = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)) * F.col("tf"))
-    learned = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col("tf"))
-    sums = (
-        counts.select("kind", "pos", "word", "tf")
-        .join(profiles, "word", "left")
-        .join(F.broadcast(lexicon), "word", "left")
-        .groupBy("kind", "pos")
-        .agg(
-            *[hit(f"hit_{a}").alias(f"b_{a}") for a in AXES],
-            *[learned(f"l_{a}").alias(f"l_{a}") for a in AXES],
-            hit("tone_hit").alias("tone_hits"),
-            hit("scale_hit").alias("scale_hits"),
-            learned("l_tone").alias("l_tone"),
-            learned("l_scale").alias("l_scale"),
-        )
+    Texts are read by the word count and the period test only. Lexicon hits come from a
+    broadcast of fixed size. Profiles are broadcast while they are few, so that sums are
+    complete within a task; beyond that they are joined by word, where words in more than 5%
+    of the items, having no profile, are no hot keys of the profile side."""
+    hit = lambda c: F.sum(F.col(c) * F.col("tf"))
+    item = ["kind", "pos"]
+    words_ = counts.select(*item, "word", "tf")
+    hits = words_.join(F.broadcast(lexicon), "word").groupBy(*item).agg(
+        *[hit(f"hit_{a}").alias(f"b_{a}") for a in AXES],
+        hit("tone_hit").alias("tone_hits"),
+        hit("scale_hit").alias("scale_hits"),
+    )
+    learned = profiles.filter(F.col("l_tone").isNotNull()).drop("df")
+    if learned.count() <= BROADCAST_WORDS:
+        learned = F.broadcast(learned)
+    sums = words_.join(learned, "word").groupBy(*item).agg(
+        *[hit(f"l_{a}").alias(f"l_{a}") for a in [*AXES, "tone", "scale"]]
     )
     meta = items.select(
         "kind", "pos", "genre",
@@ -159,7 +164,8 @@ def raw_parts(
     )
     joined = (
         meta.join(ids, ["kind", "pos"])
-        .join(sums, ["kind", "pos"], "left")
+        .join(hits, item, "left")
+        .join(sums, item, "left")
         .join(F.broadcast(priors), "genre", "left")
     )
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import scores as sc, text as tx
 from ..functions.register import register_functions
 from ..operators.matching import titles_agree, years_agree, years_agree_strict
-from ..sources.catalogue import catalogue, read_table
+from ..sources.catalogue import entries, read_table
 from .oracle import BEST, CAT, base_title, fold, fold_loose, jsround, norm, slug
 from .registry import query
 
 
 @query("best_score", f"WITH {CAT} SELECT kind, pos, {BEST} AS best FROM cat")
 def _(spark, d):
-    return catalogue(spark, d).select("kind", "pos", sc.best_score().alias("best"))
+    return entries(spark, d).select("kind", "pos", sc.best_score().alias("best"))
 
 
 @query(
@@ -24,7 +24,7 @@ def _(spark, d):
 )
 def _(spark, d):
     t = F.col("title")
-    return catalogue(spark, d).select(
+    return entries(spark, d).select(
         "pos", tx.fold_title(t).alias("folded"), tx.fold_loose(t).alias("loose"), tx.slugify(t).alias("slug"),
         tx.norm_title(t).alias("normal"), tx.base_title(t).alias("base"), tx.title_prefix8(t).alias("pre8"),
     )
@@ -105,7 +105,7 @@ def _(spark, d):
     f"WITH {CAT} SELECT pos, CASE WHEN year IS NULL THEN '—' WHEN year < 0 THEN abs(year) || ' BC' ELSE CAST(year AS VARCHAR) END AS shown FROM cat",
 )
 def _(spark, d):
-    return catalogue(spark, d).select("pos", sc.fmt_year(F.col("year")).alias("shown"))
+    return entries(spark, d).select("pos", sc.fmt_year(F.col("year")).alias("shown"))
 
 
 _MIN = "nullif(CASE WHEN kind = 'movies' THEN runtime WHEN kind = 'shows' THEN runtime * 10 * coalesce(nullif(seasons, 0), 1) END, 0)"
@@ -118,7 +118,7 @@ _MIN = "nullif(CASE WHEN kind = 'movies' THEN runtime WHEN kind = 'shows' THEN r
 )
 def _(spark, d):
     m = sc.entry_minutes()
-    return catalogue(spark, d).select("pos", m.alias("minutes"), sc.fmt_minutes(m).alias("shown"))
+    return entries(spark, d).select("pos", m.alias("minutes"), sc.fmt_minutes(m).alias("shown"))
 
 
 @query(
@@ -127,7 +127,7 @@ def _(spark, d):
 )
 def _(spark, d):
     label = sc.basis_label(F.col("kind"), F.col("verified")).alias("label")
-    return catalogue(spark, d).groupBy("kind", label).agg(F.count("*").alias("n"))
+    return entries(spark, d).groupBy("kind", label).agg(F.count("*").alias("n"))
 
 
 _OTHER = "title || CASE WHEN pos % 3 = 0 THEN ' Complete Edition' WHEN pos % 3 = 1 THEN '' ELSE '!' END"
@@ -143,7 +143,7 @@ def _(spark, d):
     p, t = F.col("pos"), F.col("title")
     end = F.when(p % 3 == 0, " Complete Edition").when(p % 3 == 1, "").otherwise("!")
     other = F.when(p % 5 == 0, F.concat(F.lit("Zz "), t)).otherwise(F.concat(t, end))
-    return catalogue(spark, d).select("pos", titles_agree(t, other).alias("agree"))
+    return entries(spark, d).select("pos", titles_agree(t, other).alias("agree"))
 
 
 @query(
@@ -155,7 +155,7 @@ def _(spark, d):
 def _(spark, d):
     a, p = F.col("year"), F.col("pos")
     b = F.when(p % 6 != 0, a + (p % 9 - 4)).cast("int")
-    return catalogue(spark, d).select(
+    return entries(spark, d).select(
         "pos", years_agree(a, b).alias("lenient"), years_agree_strict(a, b, 2, 1950).alias("games"),
         years_agree_strict(a, b, 3, 1880).alias("screen"),
     )
@@ -174,7 +174,7 @@ def _(spark, d):
         """SELECT pos, fold_title(title) AS folded, slugify(title) AS slug, norm_title(title) AS normal,
         best_score(metacritic, imdb, rt) AS best, fmt_year(year) AS shown, score_band(metacritic, 75, 50) AS band,
         years_agree(year, 1990, 3) AS near FROM {items}""",
-        items=catalogue(spark, d),
+        items=entries(spark, d),
     )
 
 

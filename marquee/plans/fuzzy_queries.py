@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import char_mask
 from ..operators import fuzzy
-from ..sources.catalogue import catalogue, read_table
+from ..sources.catalogue import entries, read_table
 from .oracle import BEST, CAT
 from .registry import query
 
@@ -28,7 +28,7 @@ fx AS (SELECT kind, pos, label, sub, hay, CAST(length(label) AS INTEGER) AS tl,
 
 @query("fuzzy_index", f"WITH {INDEX} SELECT * FROM fx")
 def _(spark, d):
-    return fuzzy.fuzzy_index(catalogue(spark, d)).withColumn("pop", F.round("pop", 6))
+    return fuzzy.fuzzy_index(entries(spark, d)).withColumn("pop", F.round("pop", 6))
 
 
 _FLAT = "trim(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[ \\t\\n\\r\\f\\v\\x{A0}]+', ' ', 'g'), ' ')"
@@ -62,7 +62,7 @@ PROBES = ["eau", "dra 195", "mystery 19", "qzx"]
     ),
 )
 def _(spark, d):
-    index = fuzzy.fuzzy_index(catalogue(spark, d)).select("kind", "mask")
+    index = fuzzy.fuzzy_index(entries(spark, d)).select("kind", "mask")
     probes = F.array(*[F.struct(F.lit(i).alias("query_no"), F.lit(_mask(q)).alias("qmask")) for i, q in enumerate(PROBES)])
     rows = index.select("kind", "mask", F.inline(probes)).filter(fuzzy.mask_allows(F.col("qmask"), F.col("mask")))
     return rows.groupBy("query_no", "kind").agg(F.count("*").alias("candidates"))
@@ -70,19 +70,19 @@ def _(spark, d):
 
 @query("fuzzy_search")
 def fuzzy_search(spark, d):
-    found = fuzzy.fuzzy_search(fuzzy.fuzzy_index(catalogue(spark, d)), WORDS)
+    found = fuzzy.fuzzy_search(fuzzy.fuzzy_index(entries(spark, d)), WORDS)
     return found.select("query_no", "kind", "rank", "pos", F.round("score", 6).alias("score"), "total", "places")
 
 
 @query("fuzzy_totals")
 def _(spark, d):
-    found = fuzzy.fuzzy_search(fuzzy.fuzzy_index(catalogue(spark, d)), WORDS)
+    found = fuzzy.fuzzy_search(fuzzy.fuzzy_index(entries(spark, d)), WORDS)
     return found.select("query_no", "kind", "total").distinct()
 
 
 @query("fuzzy_score")
 def _(spark, d):
-    index = fuzzy.fuzzy_index(catalogue(spark, d))
+    index = fuzzy.fuzzy_index(entries(spark, d))
     q = F.lit("mystery 19")
     maybe = index.filter(fuzzy.mask_allows(F.lit(_mask("mystery 19")), F.col("mask")))
     scored = maybe.withColumn("score", fuzzy.fuzzy_score(q, "hay", "tl", "pop"))
@@ -92,7 +92,7 @@ def _(spark, d):
 
 @query("highlight_spans")
 def _(spark, d):
-    index = fuzzy.fuzzy_index(catalogue(spark, d))
+    index = fuzzy.fuzzy_index(entries(spark, d))
     found = fuzzy.fuzzy_search(index, WORDS).join(index.select("kind", "pos", "label", "sub", "tl"), ["kind", "pos"])
     return found.select(
         "query_no", "kind", "rank", "label", "sub",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold_title
 from ..operators import backlog, matching, reconcile as rec
-from ..sources.catalogue import catalogue, number_items
+from ..sources.catalogue import entries, number_items
 from ..sources.lists import list_rows, lookup_cache
 from .oracle import CAT, NUM, fold, jsround, slug
 from .registry import query
@@ -54,23 +54,23 @@ FIT = "status = 'todo' AND (score IS NULL OR score >= 60) AND minutes IS NOT NUL
 
 
 def _enriched(spark, d):
-    return backlog.enrich(list_rows(spark, d), catalogue(spark, d))
+    return backlog.enrich(list_rows(spark, d), entries(spark, d))
 
 
 @query("fold_title_groups", f"WITH {CAT} SELECT kind, {fold('title')} AS fold_key, count(*) AS n FROM cat GROUP BY ALL")
 def _(spark, d):
-    return catalogue(spark, d).groupBy("kind", fold_title(F.col("title")).alias("fold_key")).agg(F.count("*").alias("n"))
+    return entries(spark, d).groupBy("kind", fold_title(F.col("title")).alias("fold_key")).agg(F.count("*").alias("n"))
 
 
 @query("match_backlog", f"WITH {MATCHED} SELECT user_id, row_id, kind, title, year, matches, match_pos FROM matched")
 def _(spark, d):
-    rows = matching.match_lists(list_rows(spark, d), matching.title_index(catalogue(spark, d)))
+    rows = matching.match_lists(list_rows(spark, d), matching.title_index(entries(spark, d)))
     return rows.select("user_id", "row_id", "kind", "title", "year", "matches", "match_pos")
 
 
 @query("ambiguity_count", f"WITH {MATCHED} SELECT kind, matches, count(*) AS n_rows FROM matched GROUP BY ALL")
 def _(spark, d):
-    rows = matching.match_lists(list_rows(spark, d), matching.title_index(catalogue(spark, d)))
+    rows = matching.match_lists(list_rows(spark, d), matching.title_index(entries(spark, d)))
     return rows.groupBy("kind", "matches").agg(F.count("*").alias("n_rows"))
 
 
@@ -179,7 +179,7 @@ verdicts AS (SELECT kind, pos, title, year, slug, metacritic, verified, verdict,
 
 
 def _verdicts(spark, d):
-    return rec.reconcile(catalogue(spark, d), lookup_cache(spark, d))
+    return rec.reconcile(entries(spark, d), lookup_cache(spark, d))
 
 
 @query("reconcile", f"WITH {VERDICTS} SELECT kind, pos, slug, verdict, truth, headline_only, found_title FROM verdicts")
@@ -211,7 +211,7 @@ def _(spark, d):
     AND NOT EXISTS (SELECT 1 FROM lookup h WHERE h.kind = cat.kind AND h.slug = {slug('cat.title')})""",
 )
 def _(spark, d):
-    return rec.pending_lookups(catalogue(spark, d).filter("kind <> 'books'"), lookup_cache(spark, d))
+    return rec.pending_lookups(entries(spark, d).filter("kind <> 'books'"), lookup_cache(spark, d))
 
 
 _SNAP = f"""{VERDICTS}, snap AS (SELECT c.kind, c.pos, CASE WHEN v.truth IS NOT NULL THEN v.truth ELSE c.metacritic END AS metacritic,
@@ -223,7 +223,7 @@ _SNAP = f"""{VERDICTS}, snap AS (SELECT c.kind, c.pos, CASE WHEN v.truth IS NOT
 
 @query("apply_updates", f"WITH {_SNAP} SELECT kind, pos, metacritic, verified, changed, badge_changed FROM snap")
 def _(spark, d):
-    snap = rec.apply_updates(catalogue(spark, d), _verdicts(spark, d))
+    snap = rec.apply_updates(entries(spark, d), _verdicts(spark, d))
     return snap.select("kind", "pos", "metacritic", "verified", "changed", "badge_changed")
 
 
@@ -232,12 +232,12 @@ def _(spark, d):
     f"WITH {_SNAP} SELECT kind, count(*) FILTER (changed) AS changed, count(*) FILTER (badge_changed) AS badges FROM snap GROUP BY kind",
 )
 def _(spark, d):
-    return rec.update_counts(rec.apply_updates(catalogue(spark, d), _verdicts(spark, d)))
+    return rec.update_counts(rec.apply_updates(entries(spark, d), _verdicts(spark, d)))
 
 
 @query("batch_keys", f"WITH {NUM} SELECT kind, pos, idx // 18 AS batch FROM num")
 def _(spark, d):
-    return rec.batch_keys(number_items(catalogue(spark, d).select("kind", "pos"))).select("kind", "pos", "batch")
+    return rec.batch_keys(number_items(entries(spark, d).select("kind", "pos"))).select("kind", "pos", "batch")
 
 
 @query(
@@ -245,7 +245,7 @@ def _(spark, d):
     f"WITH {CAT} SELECT count(*) AS total, count(*) FILTER (pos % 3 <> 0 AND metacritic IS NOT NULL) AS confirmed FROM cat WHERE kind IN ('movies', 'shows')",
 )
 def _(spark, d):
-    screen = catalogue(spark, d).filter("kind IN ('movies', 'shows')").select("kind", "pos", "title", "year", "metacritic")
+    screen = entries(spark, d).filter("kind IN ('movies', 'shows')").select("kind", "pos", "title", "year", "metacritic")
     batched = rec.batch_keys(number_items(screen))
     result = F.struct(
         F.concat_ws("|", "title", "year").alias("key"), "metacritic", (F.col("pos") % 3 != 0).alias("found")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import encode_component
 from ..functions.viewstate import open_token, search_links, state_genres, state_map, state_value
 from ..operators import lookups
-from ..sources.catalogue import catalogue, number_items, read_table
+from ..sources.catalogue import entries, number_items, read_table
 from .oracle import CAT, ITEM_KEY, NUM, encode, fold_loose
 from .registry import query
 
@@ -20,7 +20,7 @@ from .registry import query
     SELECT r.event_id, r.gid, kind, pos, title FROM r JOIN num ON num.gid = r.gid""",
 )
 def _(spark, d):
-    items = number_items(catalogue(spark, d).select("kind", "pos", "title")).select("kind", "idx", "pos", "title")
+    items = number_items(entries(spark, d).select("kind", "pos", "title")).select("kind", "idx", "pos", "title")
     refs = read_table(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 10).alias("gid"))
     return lookups.resolve_gid(refs, items).select("event_id", "gid", "kind", "pos", "title")
 
@@ -31,7 +31,7 @@ def _(spark, d):
     SELECT w.kind, w.pos AS asked_pos, f.pos FROM cat w LEFT JOIN f ON f.kind = w.kind AND f.t = lower(coalesce(w.title, ''))""",
 )
 def _(spark, d):
-    items = catalogue(spark, d).select("kind", "pos", "title")
+    items = entries(spark, d).select("kind", "pos", "title")
     wanted = items.withColumnRenamed("pos", "asked_pos")
     return lookups.lookup_by_title(wanted, items).select("kind", "asked_pos", "pos")
 
@@ -41,7 +41,7 @@ def _(spark, d):
 
 def addresses(spark, d) -> DataFrame:
     ev = read_table(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 10).alias("pos"))
-    items = catalogue(spark, d).select("kind", "pos", "title", "year", "author", "genre")
+    items = entries(spark, d).select("kind", "pos", "title", "year", "author", "genre")
     e = F.col("event_id")
     other = F.when(F.col("kind") == "books", F.coalesce("author", F.lit(""))).otherwise(F.coalesce(F.col("year").cast("string"), F.lit("")))
     token = (
@@ -118,7 +118,7 @@ def _(spark, d):
     LEFT JOIN bs ON bs.kind = a.kind AND bs.low = a.low""",
 )
 def _(spark, d):
-    items = catalogue(spark, d).select("kind", "pos", "title", "year", "author")
+    items = entries(spark, d).select("kind", "pos", "title", "year", "author")
     return lookups.open_items(addresses(spark, d), items)
 
 
@@ -130,7 +130,7 @@ def _(spark, d):
 )
 def _(spark, d):
     links = search_links(F.col("title"), F.col("year"), F.col("imdb_id"))
-    return catalogue(spark, d).select("kind", "pos", links.alias("l")).select("kind", "pos", "l.*")
+    return entries(spark, d).select("kind", "pos", links.alias("l")).select("kind", "pos", "l.*")
 
 
 # ---- recents ----
@@ -163,7 +163,7 @@ def _(spark, d):
     GROUP BY 1, 2, 3""",
 )
 def _(spark, d):
-    items = catalogue(spark, d).filter("kind IN ('games', 'books')").select("kind", "pos", "title", "year", "author")
+    items = entries(spark, d).filter("kind IN ('games', 'books')").select("kind", "pos", "title", "year", "author")
     ev = read_table(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 10).alias("pos"))
     case = F.col("event_id") % 3
     recents = ev.join(items, "pos").select(
@@ -191,7 +191,7 @@ def articles(spark, d) -> DataFrame:
         .otherwise(F.concat("title", F.lit(" ("), year, F.lit(" American "), word, F.lit(")")))
     )
     src = F.concat(F.lit("https://img.example.org/"), p.cast("string"), F.lit("/"), (q % 7 * 100 + 30).cast("string"), F.lit("px-a.jpg"))
-    return catalogue(spark, d).filter("kind <> 'books'").select(
+    return entries(spark, d).filter("kind <> 'books'").select(
         p.alias("article_id"),
         name.alias("article"),
         F.when(q % 5 < 3, src).alias("thumb"),
@@ -228,7 +228,7 @@ pic AS (SELECT it.kind, it.pos, it.title, coalesce(direct, found) AS picture, pa
 
 @query("artwork_candidates", f"WITH {ARTICLES} SELECT kind, pos, picture, page, how FROM pic")
 def _(spark, d):
-    items = catalogue(spark, d).select("kind", "pos", "title", "year")
+    items = entries(spark, d).select("kind", "pos", "title", "year")
     return lookups.artwork_candidates(items, articles(spark, d)).select("kind", "pos", "picture", "page", "how")
 
 
@@ -270,7 +270,7 @@ def media_files(spark, d) -> DataFrame:
       AND starts_with({fold_loose('file')}, {fold_loose('title')}) GROUP BY 1, 2""",
 )
 def _(spark, d):
-    items = catalogue(spark, d).select("kind", "pos", "title", "year")
+    items = entries(spark, d).select("kind", "pos", "title", "year")
     art = lookups.artwork_candidates(items, articles(spark, d))
     missing = art.filter(F.col("picture").isNull()).select("kind", "pos", "title", "page")
     return lookups.media_file_fallback(missing, media_files(spark, d))
@@ -288,7 +288,7 @@ def _(spark, d):
     FROM bk LEFT JOIN e ON e.t = {fold_loose('title')} AND e.a = {fold_loose('author')} LEFT JOIN l ON l.t = {fold_loose('title')}""",
 )
 def _(spark, d):
-    books = catalogue(spark, d).filter("kind = 'books'").select("kind", "pos", "title", "author")
+    books = entries(spark, d).filter("kind = 'books'").select("kind", "pos", "title", "author")
     q = F.floor(F.col("pos") / 4)
     editions = books.select(
         F.col("pos").alias("edition_id"),

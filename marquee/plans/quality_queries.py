@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import quality as dq, reports
 from ..operators.summaries import catalogue_stats
 from ..sources.artefacts import slim_index
-from ..sources.catalogue import catalogue, kind_spans, read_table
+from ..sources.catalogue import catalogue, entries, kind_spans, read_table
 from .oracle import CAT, q
 from .recommend_queries import features, open_slots
 from .registry import query
@@ -43,7 +43,7 @@ def _(spark, d):
     SELECT kind, n + 1 AS stored, n AS current FROM c WHERE kind IN ('books', 'shows')""",
 )
 def _(spark, d):
-    now = catalogue_stats(catalogue(spark, d))
+    now = catalogue_stats(entries(spark, d))
     drift = F.when(F.col("kind").isin("books", "shows"), F.col("n") + 1).otherwise(F.col("n"))
     return dq.stats_match(now.withColumn("n", drift), now)
 
@@ -88,7 +88,7 @@ _VIS = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)const [A-Z]+ = \
     SELECT page_id, number FROM v, n WHERE number > 0 AND (contains(text, format('{{:,}}', number)) OR regexp_matches(text, '\\b' || number || '\\b'))""",
 )
 def _(spark, d):
-    counts = kind_spans(catalogue(spark, d).select("kind")).select(F.floor(F.col("n") / 10).alias("n"))
+    counts = kind_spans(entries(spark, d).select("kind")).select(F.floor(F.col("n") / 10).alias("n"))
     return dq.hardcoded_counts(read_table(spark, d, "pages"), counts)
 
 
@@ -99,12 +99,12 @@ def _(spark, d):
 def _(spark, d):
     f = features(spark, d)
     packed = reports.pack_neighbours(f.ids, open_slots(spark, d))
-    return dq.index_alignment(f.ids, slim_index(catalogue(spark, d)), packed)
+    return dq.index_alignment(f.ids, slim_index(entries(spark, d)), packed)
 
 
 @query("required_title", f"WITH {CAT} SELECT kind, count(*) FILTER (coalesce(title, '') = '') AS untitled, count(*) AS n FROM cat GROUP BY kind")
 def _(spark, d):
-    return dq.required_title(catalogue(spark, d))
+    return dq.required_title(entries(spark, d))
 
 
 _TOKENS = "unnest(regexp_extract_all(lower(text), '[a-z]+'))"
@@ -129,7 +129,7 @@ def _(spark, d):
       CASE max(CASE severity WHEN 'fail' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'ok' END FROM r""",
 )
 def _(spark, d):
-    untitled = catalogue(spark, d).filter(F.coalesce("title", F.lit("")) == "")
+    untitled = entries(spark, d).filter(F.coalesce("title", F.lit("")) == "")
     pages = read_table(spark, d, "pages")
     return dq.severity_report(
         [

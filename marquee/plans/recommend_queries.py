@@ -12,7 +12,7 @@ from ..operators import neighbours as nb, reports, similarity as sim
 from ..operators.adaptations import adaptations
 from ..session import materialise, side_by_side
 from ..sources.artefacts import slim_index
-from ..sources.catalogue import catalogue
+from ..sources.catalogue import catalogue, entries
 from . import recommend_oracle as o
 from .oracle import CAT
 from .registry import query
@@ -294,7 +294,7 @@ def _(spark, d):
     FROM slots s JOIN num n ON n.gid = s.neighbour JOIN slim m ON m.kind = n.kind AND m.pos = n.pos""",
 )
 def _(spark, d):
-    return reports.decorate(open_slots(spark, d), features(spark, d).ids, slim_index(catalogue(spark, d)))
+    return reports.decorate(open_slots(spark, d), features(spark, d).ids, slim_index(entries(spark, d)))
 
 
 # ---- with the capacity limit: serial by definition, so no SQL; tests compare with a serial twin ----
@@ -371,7 +371,7 @@ def _(spark, d):
     f"WITH {CAT}, {o.PRIORS} SELECT DISTINCT kind, genre FROM cat WHERE genre NOT IN (SELECT genre FROM prior)",
 )
 def _(spark, d):
-    labels = catalogue(spark, d).select("kind", "genre").distinct()
+    labels = entries(spark, d).select("kind", "genre").distinct()
     return labels.join(F.broadcast(sim.prior_table(spark)), "genre", "left_anti").select("kind", "genre")
 
 

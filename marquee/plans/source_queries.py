@@ -12,7 +12,7 @@ from ..operators.views import export_rows, personal_columns
 from ..schema import ITEM, KINDS
 from ..session import fresh_path
 from ..sources import artefacts, exports, neighbour_files, pages
-from ..sources.catalogue import build_items, catalogue
+from ..sources.catalogue import build_items, catalogue, entries
 from ..sources.lists import list_rows, lookup_cache
 from .common import marked_keys
 from .list_queries import LISTS, VERDICTS
@@ -38,7 +38,7 @@ def _(spark, d):
 def _(spark, d):
     from ..sources.catalogue import number_items
 
-    items = catalogue(spark, d).select("kind", "pos", "title")
+    items = entries(spark, d).select("kind", "pos", "title")
     sets = {k: items.filter(F.col("kind") == k).drop("kind") for k in KINDS}
     return number_items(build_items(sets)).select("kind", "pos", "kind_rank", "idx", "gid")
 
@@ -211,7 +211,7 @@ def _(spark, d):
 @query("write_slim_index", f"WITH {SLIM} SELECT * FROM slim")
 def _(spark, d):
     path = fresh_path(spark, "slim")
-    items = catalogue(spark, d)
+    items = entries(spark, d)
     artefacts.write_slim_index(items, path)
     schema = artefacts.slim_index(items).schema
     return spark.read.schema(schema).parquet(path)
@@ -306,7 +306,7 @@ _RISKY = "([ '=', '+', '-', '@', chr(9), ''])[CAST(pos % 6 AS INTEGER) + 1] || t
 def _(spark, d):
     marks = F.array(*[F.lit(m) for m in ("=", "+", "-", "@", "\t", "")])
     cell = F.concat(F.element_at(marks, (F.col("pos") % 6 + 1).cast("int")), "title")
-    return catalogue(spark, d).select("pos", csv_safe(cell).alias("cell"))
+    return entries(spark, d).select("pos", csv_safe(cell).alias("cell"))
 
 
 @query(
@@ -314,7 +314,7 @@ def _(spark, d):
     f"WITH {CAT} SELECT kind, pos // 4096 AS block, string_agg(title, chr(10) ORDER BY pos) AS titles FROM cat GROUP BY 1, 2",
 )
 def _(spark, d):
-    return artefacts.copy_titles(catalogue(spark, d))
+    return artefacts.copy_titles(entries(spark, d))
 
 
 _STAT = ", ".join(
@@ -330,7 +330,7 @@ _STAT = ", ".join(
     count(DISTINCT author) FILTER (kind = 'books') AS books_authors FROM cat""",
 )
 def _(spark, d):
-    row = artefacts.stats_row(catalogue_stats(catalogue(spark, d)))
+    row = artefacts.stats_row(catalogue_stats(entries(spark, d)))
     path = fresh_path(spark, "stats")
     artefacts.write_json(row.coalesce(1), path)
     return spark.read.schema(row.schema).json(path)
@@ -339,6 +339,6 @@ def _(spark, d):
 @query("reconcile_report", f"WITH {VERDICTS} SELECT kind, pos, verdict, truth, headline_only FROM verdicts")
 def _(spark, d):
     path = fresh_path(spark, "report")
-    verdicts = rec.reconcile(catalogue(spark, d), lookup_cache(spark, d)).select("kind", "pos", "truth", "headline_only", "verdict")
+    verdicts = rec.reconcile(entries(spark, d), lookup_cache(spark, d)).select("kind", "pos", "truth", "headline_only", "verdict")
     verdicts.write.partitionBy("verdict").parquet(path)
     return spark.read.schema(verdicts.schema).parquet(path)

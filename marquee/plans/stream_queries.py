@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matching
-from ..sources.catalogue import catalogue, read_table
+from ..sources.catalogue import entries, read_table
 from ..streaming import cache, debounce, lockout, runner, sets
 from .list_queries import MATCHED
 from .lookup_queries import ARTICLES, articles
@@ -118,7 +118,7 @@ def _(spark, d):
 @query("backlog_stream_enrich", f"WITH {MATCHED} SELECT row_id, kind, title, matches, match_pos FROM matched")
 def _(spark, d):
     """List rows arrive as events and meet the catalogue's title index, which is static."""
-    items = catalogue(spark, d)
+    items = entries(spark, d)
     e = F.col("event_id")
     docs = items.select("kind", "pos", "title", "year")
     arriving = runner.event_stream(spark, d).withColumn("pos", F.floor(e / 10)).join(docs, "pos")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import best_score, item_key, popularity, score_band
 from ..operators import filters as flt, sorting, summaries, views
 from ..sources.artefacts import slim_index
-from ..sources.catalogue import catalogue, number_items
+from ..sources.catalogue import catalogue, entries, number_items
 from .common import events, marked_keys
 from .oracle import BEST, CAT, HAY, ITEM_KEY, MARKS, NUM, jsround
 from .registry import query
@@ -31,17 +31,17 @@ def _(spark, d):
 
 @query("filter_min_score", f"WITH {CAT} SELECT kind, pos, title, {BEST} AS best FROM cat WHERE {BEST} >= 70")
 def _(spark, d):
-    return catalogue(spark, d).filter(flt.score_at_least(70)).select(*KEY, best_score().alias("best"))
+    return entries(spark, d).filter(flt.score_at_least(70)).select(*KEY, best_score().alias("best"))
 
 
 @query("filter_years", f"WITH {CAT} SELECT kind, pos, title, year FROM cat WHERE coalesce(year, 0) BETWEEN 1950 AND 1999")
 def _(spark, d):
-    return catalogue(spark, d).filter(flt.year_between(1999, 1950)).select(*KEY, "year")
+    return entries(spark, d).filter(flt.year_between(1999, 1950)).select(*KEY, "year")
 
 
 @query("filter_genres", f"WITH {CAT} SELECT kind, pos, title, genre FROM cat WHERE genre IN ('Drama', 'Horror')")
 def _(spark, d):
-    return catalogue(spark, d).filter(flt.genre_in(["Drama", "Horror"])).select(*KEY, "genre")
+    return entries(spark, d).filter(flt.genre_in(["Drama", "Horror"])).select(*KEY, "genre")
 
 
 @query(
@@ -50,7 +50,7 @@ def _(spark, d):
     SELECT kind, pos, title FROM cat WHERE {ITEM_KEY} IN (SELECT item_key FROM k)""",
 )
 def _(spark, d):
-    return flt.keep_marked(catalogue(spark, d), marked_keys(spark, d, "click")).select(*KEY)
+    return flt.keep_marked(entries(spark, d), marked_keys(spark, d, "click")).select(*KEY)
 
 
 @query(
@@ -59,7 +59,7 @@ def _(spark, d):
     SELECT kind, pos, title FROM cat WHERE {ITEM_KEY} IN (SELECT item_key FROM k) AND {BEST} >= 50""",
 )
 def _(spark, d):
-    view = flt.View(min_score=50).apply(catalogue(spark, d))
+    view = flt.View(min_score=50).apply(entries(spark, d))
     return flt.keep_marked(view, marked_keys(spark, d, "purchase")).select(*KEY)
 
 
@@ -94,7 +94,7 @@ def _(spark, d):
         "reviews": (p * 29) % 2000, "major": p % 17 == 0, "critics": p % 40,
         "votes": (p * 37) % 9000, "prize": p % 19 == 0, "bestseller": p % 23 == 0,
     }
-    return catalogue(spark, d).withColumns(figures).select("kind", "pos", flt.inclusion_bar().alias("admitted"))
+    return entries(spark, d).withColumns(figures).select("kind", "pos", flt.inclusion_bar().alias("admitted"))
 
 
 @query(
@@ -103,12 +103,12 @@ def _(spark, d):
     AND coalesce(metacritic, imdb, rt) IS NOT NULL""",
 )
 def _(spark, d):
-    return catalogue(spark, d).filter(flt.required_fields()).select("kind", "pos")
+    return entries(spark, d).filter(flt.required_fields()).select("kind", "pos")
 
 
 @query("scored_only", f"WITH {CAT} SELECT kind, pos, metacritic FROM cat WHERE metacritic IS NOT NULL")
 def _(spark, d):
-    return catalogue(spark, d).filter(flt.scored_only()).select("kind", "pos", "metacritic")
+    return entries(spark, d).filter(flt.scored_only()).select("kind", "pos", "metacritic")
 
 
 @query(
@@ -119,7 +119,7 @@ def _(spark, d):
 def _(spark, d):
     from ..functions.scores import item_score
 
-    items = catalogue(spark, d).withColumn("score", item_score())
+    items = entries(spark, d).withColumn("score", item_score())
     return items.filter(flt.eligible_target(60, 250)).select("kind", "pos")
 
 
@@ -141,7 +141,7 @@ def _register_orders():
 
         @query(f"sort_{name}", f"WITH {CAT} SELECT kind, pos, title, {BEST} AS best FROM cat ORDER BY {order}, pos")
         def _(spark, d, mode=mode):
-            return sorting.sort_view(catalogue(spark, d), mode).select(*KEY, best_score().alias("best"))
+            return sorting.sort_view(entries(spark, d), mode).select(*KEY, best_score().alias("best"))
 
         @query(
             f"page_{name}",
@@ -149,7 +149,7 @@ def _register_orders():
             SELECT * FROM r WHERE rank > 60 AND rank <= 120""",
         )
         def _(spark, d, mode=mode):
-            return sorting.ranked_page(catalogue(spark, d), mode, 1).select(*KEY, "rank")
+            return sorting.ranked_page(entries(spark, d), mode, 1).select(*KEY, "rank")
 
 
 _register_orders()
@@ -157,7 +157,7 @@ _register_orders()
 
 @query("sort_title_asc", f"WITH {CAT} SELECT kind, pos, title FROM cat")
 def _(spark, d):
-    return sorting.sort_view(catalogue(spark, d), "title-asc").select(*KEY)
+    return sorting.sort_view(entries(spark, d), "title-asc").select(*KEY)
 
 
 @query(
@@ -166,7 +166,7 @@ def _(spark, d):
     ORDER BY {BEST} DESC, pos LIMIT 60""",
 )
 def _(spark, d):
-    return sorting.page_after(catalogue(spark, d), 90, 100).select(*KEY, best_score().alias("best"))
+    return sorting.page_after(entries(spark, d), 90, 100).select(*KEY, best_score().alias("best"))
 
 
 @query(
@@ -175,7 +175,7 @@ def _(spark, d):
     ORDER BY CASE WHEN {BEST} >= 80 THEN 0 ELSE 1 END, md5('7:' || kind || ':' || pos) LIMIT 1""",
 )
 def _(spark, d):
-    view = flt.View(genres=["Drama", "Fantasy"]).apply(catalogue(spark, d))
+    view = flt.View(genres=["Drama", "Fantasy"]).apply(entries(spark, d))
     return sorting.surprise(view, "7").select(*KEY)
 
 
@@ -184,7 +184,7 @@ def _(spark, d):
     f"WITH {NUM} SELECT kind, pos, gid, row_number() OVER (ORDER BY idx, kind_rank) - 1 AS turn FROM num",
 )
 def _(spark, d):
-    return number_items(catalogue(spark, d).select("kind", "pos")).select("kind", "pos", "gid", "turn")
+    return number_items(entries(spark, d).select("kind", "pos")).select("kind", "pos", "gid", "turn")
 
 
 @query(
@@ -193,7 +193,7 @@ def _(spark, d):
     (SELECT kind, title, pos, coalesce(year, -9999) AS year FROM cat) GROUP BY 1, 2""",
 )
 def _(spark, d):
-    items = catalogue(spark, d).select(
+    items = entries(spark, d).select(
         "kind", F.lower(F.trim("title")).alias("title_key"), "pos", F.coalesce("year", F.lit(-9999)).alias("year")
     )
     return items.groupBy("kind", "title_key").agg(F.min("pos").alias("pos"), F.min_by("year", "pos").alias("year"))
@@ -209,7 +209,7 @@ def _(spark, d):
     count(DISTINCT CASE WHEN kind = 'books' THEN coalesce(author, '∅') END) AS authors FROM cat GROUP BY kind""",
 )
 def _(spark, d):
-    return summaries.catalogue_stats(catalogue(spark, d))
+    return summaries.catalogue_stats(entries(spark, d))
 
 
 @query(
@@ -218,7 +218,7 @@ def _(spark, d):
     count(*) FILTER (verified) AS verified, min(year) AS year_from, max(year) AS year_to FROM cat GROUP BY kind""",
 )
 def _(spark, d):
-    return summaries.page_stats(catalogue(spark, d))
+    return summaries.page_stats(entries(spark, d))
 
 
 @query(
@@ -226,7 +226,7 @@ def _(spark, d):
     f"WITH {CAT} SELECT kind, genre, count(*) AS n, min(pos) AS first_pos FROM cat GROUP BY kind, genre",
 )
 def _(spark, d):
-    return summaries.genre_counts(catalogue(spark, d))
+    return summaries.genre_counts(entries(spark, d))
 
 
 @query(
@@ -251,7 +251,7 @@ SLIM = f"{CAT}, {SLIM_ONLY}"
     FROM slim GROUP BY ROLLUP (kind)""",
 )
 def _(spark, d):
-    return summaries.index_coverage(slim_index(catalogue(spark, d)))
+    return summaries.index_coverage(slim_index(entries(spark, d)))
 
 
 @query(
@@ -260,7 +260,7 @@ def _(spark, d):
     UNION ALL SELECT DISTINCT kind, 'maker', coalesce(author, creator) FROM cat WHERE coalesce(author, creator) IS NOT NULL""",
 )
 def _(spark, d):
-    return summaries.distinct_labels(catalogue(spark, d))
+    return summaries.distinct_labels(entries(spark, d))
 
 
 @query(
@@ -282,7 +282,7 @@ def _(spark, d):
 def _(spark, d):
     mc = F.col("metacritic")
     return (
-        catalogue(spark, d)
+        entries(spark, d)
         .groupBy("kind", score_band(mc, 75, 50).alias("page_band"), score_band(mc).alias("list_band"))
         .agg(F.count("*").alias("n"))
     )
@@ -294,7 +294,7 @@ def _(spark, d):
     WHEN kind = 'books' THEN coalesce(rating, 0) / 5 ELSE {BEST} / 100 END)), 6) AS popularity FROM cat""",
 )
 def _(spark, d):
-    return catalogue(spark, d).select("kind", "pos", F.round(popularity(), 6).alias("popularity"))
+    return entries(spark, d).select("kind", "pos", F.round(popularity(), 6).alias("popularity"))
 
 
 # ---- view analytics ----
@@ -302,7 +302,7 @@ def _(spark, d):
 
 def _trays(spark, d):
     """Trays of up to four items of one kind: four neighbours in the numbering."""
-    num = number_items(catalogue(spark, d))
+    num = number_items(entries(spark, d))
     done = marked_keys(spark, d, "purchase")
     fav = marked_keys(spark, d, "click")
     tray = F.concat(F.col("kind"), F.lit(":"), F.floor(F.col("idx") / 4).cast("string"))
@@ -357,7 +357,7 @@ def _(spark, d):
 
 @query("personal_columns", f"WITH {_PERSONAL} SELECT kind, pos, done, favourite FROM pers")
 def _(spark, d):
-    items = catalogue(spark, d)
+    items = entries(spark, d)
     both = views.personal_columns(items, marked_keys(spark, d, "purchase"), marked_keys(spark, d, "click"))
     return both.select("kind", "pos", "done", "favourite")
 
@@ -367,7 +367,7 @@ def _(spark, d):
     f"WITH {_PERSONAL} SELECT kind, count(*) AS marked FROM pers WHERE done GROUP BY kind",
 )
 def _(spark, d):
-    marked = flt.keep_marked(catalogue(spark, d), marked_keys(spark, d, "purchase"))
+    marked = flt.keep_marked(entries(spark, d), marked_keys(spark, d, "purchase"))
     return marked.groupBy("kind").agg(F.count("*").alias("marked"))
 
 
@@ -425,7 +425,7 @@ _RUNGS = " ".join(
 def _(spark, d):
     view = flt.View(min_score=99, years=(1990, 1993))
     rung = views.score_floor_ladder(view, [0, 70, 80, 90, 95], view.predicates()["years"])
-    out = catalogue(spark, d).groupBy("kind").agg(rung.alias("r"))
+    out = entries(spark, d).groupBy("kind").agg(rung.alias("r"))
     return out.select("kind", "r.value", "r.n")
 
 
@@ -436,7 +436,7 @@ def _(spark, d):
 )
 def _(spark, d):
     parts = flt.active_filters(VIEW, True, (F.min("year"), F.max("year")))
-    return catalogue(spark, d).groupBy("kind").agg(F.array_join(parts, ", ").alias("filters"))
+    return entries(spark, d).groupBy("kind").agg(F.array_join(parts, ", ").alias("filters"))
 
 
 @query(
@@ -444,4 +444,4 @@ def _(spark, d):
     f"WITH {CAT} SELECT kind, {ITEM_KEY} AS item_key, count(*) AS n FROM cat GROUP BY ALL",
 )
 def _(spark, d):
-    return catalogue(spark, d).groupBy("kind", item_key().alias("item_key")).agg(F.count("*").alias("n"))
+    return entries(spark, d).groupBy("kind", item_key().alias("item_key")).agg(F.count("*").alias("n"))

@@ -61,3 +61,10 @@ def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
         part = df.withColumn("_one", F.lit(1))
         out = part if out is None else out.join(part, "_one")
     return out.drop("_one")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows over all cores, for work that is heavy per row; input that already comes in
+    enough partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.numbering import dense_position
 from ..schema import KINDS
+from ..session import materialise
 
 # Labels each kind uses; one of the film labels has no prior on purpose.
 GENRES = {
@@ -93,6 +96,18 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=8)
+def _entries(app: str, sf_dir: str) -> DataFrame:
+    spark = SparkSession.active()
+    return materialise(catalogue(spark, sf_dir).drop("blurb"), "entries")
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue without its texts, written once per application: everything but text
+    search and the word features reads this narrow table."""
+    return _entries(spark.sparkContext.applicationId, sf_dir)
+
+
 def kind_spans(items: DataFrame) -> DataFrame:
     """One row per kind with its count and offset, and all counts beside: four counters in
     one pass."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import slugify
-from .catalogue import catalogue, read_table
+from .catalogue import entries, read_table
 
 
 def list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +13,7 @@ def list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     punctuation and year as people make them."""
     ev = read_table(spark, sf_dir, "events")
     e = F.col("event_id")
-    docs = catalogue(spark, sf_dir).select("kind", "pos", "title", "year", "author")
+    docs = entries(spark, sf_dir).select("kind", "pos", "title", "year", "author")
     joined = ev.withColumn("pos", F.floor(e / 10)).join(docs, "pos")
     title = (
         F.when(e % 13 == 0, F.concat("title", F.lit(" nowhere known")))
@@ -44,7 +44,7 @@ def list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lookup_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External answers per (kind, slug): some absent, missing, renamed, of another year,
     unscored or with another score."""
-    items = catalogue(spark, sf_dir).filter(F.col("kind") != "books")
+    items = entries(spark, sf_dir).filter(F.col("kind") != "books")
     keyed = items.withColumn("slug", slugify(F.col("title")))
     first = keyed.groupBy("kind", "slug").agg(
         F.min("pos").alias("pos"), F.min_by(F.struct("title", "year", "metacritic"), "pos").alias("w")

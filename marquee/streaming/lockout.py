@@ -81,38 +81,81 @@ def lockout_stream(tries: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ whole table
 
 PIECE = "user_id long, seg long, up_to long, reset array<boolean>, count array<long>, until array<long>"
+ORDER = ["us", "event_id"]
 
 
-def _summary(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exit state of a segment for every count on entry, by the first attempt not locked out.
-
-    Rows are valid for lock ends up to `up_to`; a later lock outlasts the segment. `until` -1
-    keeps the lock on entry; `reset` tells whether the entry count still matters."""
-    pdf = pdf.sort_values(["us", "event_id"])
-    us, ok = pdf["us"].to_numpy(), pdf["ok"].to_numpy()
+def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Outcomes of keys that come sorted; only the current key's two numbers are held."""
+    key, fails, until = None, 0, 0
+    for pdf in batches:
+        users = pdf["user_id"].to_numpy()
+        us, ok = pdf["us"].to_numpy(), pdf["ok"].to_numpy()
+        cuts = [0, *(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist(), len(users)]
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            if users[a] != key:
+                key, fails, until = users[a], 0, 0
+            out, fails, until = replay(us[a:b], ok[a:b], fails, until)
+            rows += out
+        frame = pd.DataFrame(rows, columns=["outcome", "fails", "until_us"])
+        frame.insert(0, "event_id", pdf["event_id"].to_numpy())
+        frame.insert(0, "user_id", users)
+        yield frame
+
+
+def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
+    """Whole (key, segment) runs of sorted input as arrays, also across batch borders."""
+    held: dict[str, np.ndarray] | None = None
+    for pdf in batches:
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        if held is not None:
+            cols = {c: np.concatenate([held[c], v]) for c, v in cols.items()}
+        new = (cols["user_id"][1:] != cols["user_id"][:-1]) | (cols["seg"][1:] != cols["seg"][:-1])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield {c: v[a:b] for c, v in cols.items()}
+        held = {c: v[cuts[-1] :] for c, v in cols.items()} if len(cols["seg"]) else None
+    if held is not None:
+        yield held
+
+
+def segment_exits(us: np.ndarray, ok: np.ndarray) -> list[list[tuple[bool, int, int]]]:
+    """Exit state by the first attempt not locked out and the count on entry, from the end.
+
+    (reset, count, until): the count on exit, or what is added to it without a reset; the end
+    of the last lock, 0 after a success, -1 if the lock on entry is the last."""
     n = len(us)
-    exits = [None] * n + [[(False, 0, -1)] * (TOP + 1)]
+    exits = [[] for _ in range(n)] + [[(False, 0, -1)] * (TOP + 1)]
     for s in range(n - 1, -1, -1):
-        row = []
         for f in range(TOP + 1):
             if ok[s]:
                 _, count, until = exits[s + 1][0]
-                row.append((True, count, max(until, 0)))
+                exits[s].append((True, count, max(until, 0)))
                 continue
             g = min(f + 1, TOP)
             end = int(us[s]) + STEPS[g] if STEPS[g] else -1
             nxt = int(np.searchsorted(us, end)) if STEPS[g] else s + 1
             reset, count, until = exits[nxt][g]
-            row.append((reset, count if reset else count + 1, until if until >= 0 else end))
-        exits[s] = row
-    keep = [s for s in range(n) if s == n - 1 or exits[s] != exits[s + 1]]
-    pick = lambda i: [[e[i] for e in exits[s]] for s in keep]
-    return pd.DataFrame(
-        {
-            "user_id": pdf["user_id"].iloc[0], "seg": pdf["seg"].iloc[0], "up_to": us[keep],
-            "reset": pick(0), "count": pick(1), "until": pick(2),
-        }
-    )
+            exits[s].append((reset, count if reset else count + 1, until if until >= 0 else end))
+    return exits
+
+
+def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows are valid for lock ends up to `up_to`; a later lock outlasts the segment. Equal
+    neighbours are merged, and paths meet soon, so a segment gives few rows."""
+    for run in _segments(batches):
+        exits = segment_exits(run["us"], run["ok"])
+        n = len(run["us"])
+        keep = [s for s in range(n) if s == n - 1 or exits[s] != exits[s + 1]]
+        pick = lambda i: [[e[i] for e in exits[s]] for s in keep]
+        yield pd.DataFrame(
+            {
+                "user_id": run["user_id"][keep], "seg": run["seg"][keep], "up_to": run["us"][keep],
+                "reset": pick(0), "count": pick(1), "until": pick(2),
+            }
+        )
 
 
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,6 +178,15 @@ def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["user_id", "seg", "fails0", "until0"])
 
 
+def _replay_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for run in _segments(batches):
+        rows, _, _ = replay(run["us"], run["ok"], int(run["fails0"][0]), int(run["until0"][0]))
+        frame = pd.DataFrame(rows, columns=["outcome", "fails", "until_us"])
+        frame.insert(0, "event_id", run["event_id"])
+        frame.insert(0, "user_id", run["user_id"])
+        yield frame
+
+
 def lockout(tries: DataFrame, long_key: int = 100_000, segment_seconds: int = 86_400) -> DataFrame:
     """Outcome of every attempt. Keys with more than `long_key` attempts go by segments."""
     sizes = tries.groupBy("user_id").agg(F.count("*").alias("_n"))
@@ -142,19 +194,18 @@ def lockout(tries: DataFrame, long_key: int = 100_000, segment_seconds: int = 86
     rows = tries.select("user_id", "event_id", "us", "ok")
     whole = (
         rows.join(long_keys, "user_id", "left_anti")
-        .groupBy("user_id")
-        .applyInPandas(lambda pdf: _replayed(pdf, 0, 0)[0], OUTCOME)
+        .repartition("user_id")
+        .sortWithinPartitions("user_id", *ORDER)
+        .mapInPandas(_fold_sorted, OUTCOME)
     )
-    cut = rows.join(long_keys, "user_id", "left_semi").withColumn(
-        "seg", F.floor(F.col("us") / (segment_seconds * 1_000_000))
-    )
-    pieces = cut.groupBy("user_id", "seg").applyInPandas(_summary, PIECE)
+    seg = F.floor(F.col("us") / (segment_seconds * 1_000_000)).alias("seg")
+    cut = rows.join(long_keys, "user_id", "left_semi").select("user_id", "event_id", "us", "ok", seg)
+    by_segment = lambda df: df.repartition("user_id", "seg").sortWithinPartitions("user_id", "seg", *ORDER)
     entry = (
-        pieces.repartition("user_id")
+        by_segment(cut).mapInPandas(_summaries, PIECE)
+        .repartition("user_id")
         .sortWithinPartitions("user_id", "seg", "up_to")
         .mapInPandas(_chain, "user_id long, seg long, fails0 long, until0 long")
     )
-    parts = cut.join(entry, ["user_id", "seg"]).groupBy("user_id", "seg").applyInPandas(
-        lambda pdf: _replayed(pdf, int(pdf["fails0"].iloc[0]), int(pdf["until0"].iloc[0]))[0], OUTCOME
-    )
+    parts = by_segment(cut.join(entry, ["user_id", "seg"])).mapInPandas(_replay_segments, OUTCOME)
     return whole.unionByName(parts)
