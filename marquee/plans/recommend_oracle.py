@@ -129,3 +129,22 @@ cand AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g
 SLOTS = f"""{CANDS},
 slots AS (SELECT gid, kind_rank, target_rank, neighbour, axis, sim, place AS pick,
   row_number() OVER (PARTITION BY gid ORDER BY target_rank, place) - 1 AS slot FROM cand WHERE place <= 3)"""
+
+# The serial rule itself: one item per step in turn order, inbound counts in a list.
+_TAKE = "list_filter(t.c{k}, lambda x: s.inbound[x + 1] < 40)[1:3]"
+ASSIGNED = f"""RECURSIVE {CANDS},
+turns AS MATERIALIZED (SELECT num.gid, row_number() OVER (ORDER BY num.idx, num.kind_rank) AS turn,
+  {', '.join(f"coalesce(list(c.neighbour ORDER BY c.place) FILTER (c.target_rank = {k}), []) AS c{k}" for k in range(4))}
+  FROM num LEFT JOIN cand c ON c.gid = num.gid GROUP BY num.gid, num.idx, num.kind_rank),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS gid, list_transform(range((SELECT count(*) FROM num)), lambda x: 0) AS inbound,
+    CAST([] AS BIGINT[]) AS picks
+  UNION ALL
+  SELECT turn, gid, list_transform(inbound, lambda x, i: x + CASE WHEN list_contains(picks, i - 1) THEN 1 ELSE 0 END), picks
+  FROM (SELECT t.turn, t.gid, s.inbound, {' || '.join(_TAKE.format(k=k) for k in range(4))} AS picks
+        FROM walk s JOIN turns t ON t.turn = s.turn + 1)
+),
+taken AS (SELECT gid, unnest(picks) AS neighbour, unnest(range(len(picks))) AS slot FROM walk WHERE turn > 0),
+aslots AS (SELECT k.gid, c.target_rank, k.neighbour, k.slot, c.axis, c.sim, c.kind_rank,
+  row_number() OVER (PARTITION BY k.gid, c.target_rank ORDER BY c.place) AS pick
+  FROM taken k JOIN cand c ON c.gid = k.gid AND c.neighbour = k.neighbour)"""

@@ -297,10 +297,10 @@ def _(spark, d):
     return reports.decorate(open_slots(spark, d), features(spark, d).ids, slim_index(entries(spark, d)))
 
 
-# ---- with the capacity limit: serial by definition, so no SQL; tests compare with a serial twin ----
+# ---- with the capacity limit; the oracle walks the items one by one ----
 
 
-@query("capacity_assign")
+@query("capacity_assign", f"WITH {o.ASSIGNED} SELECT gid, target_rank, neighbour, pick, slot, axis, round(sim, 6) AS sim FROM aslots")
 def _(spark, d):
     return assigned(spark, d).select("gid", "target_rank", "neighbour", "pick", "slot", "axis", F.round("sim", 6).alias("sim"))
 
@@ -328,18 +328,32 @@ def _(spark, d):
     return side_by_side(inbound, rest)
 
 
-@query("thin_flag")
+@query(
+    "thin_flag",
+    f"""WITH {o.ASSIGNED} SELECT num.gid, count(a.gid) AS picks, count(a.gid) < 3 AS thin FROM num LEFT JOIN aslots a ON a.gid = num.gid GROUP BY num.gid""",
+)
 def _(spark, d):
     return reports.thin_items(features(spark, d).ids, assigned(spark, d))
 
 
-@query("build_report")
+@query(
+    "build_report",
+    f"""WITH {o.ASSIGNED}, p AS (SELECT num.gid, count(s.gid) AS picks FROM num LEFT JOIN aslots s ON s.gid = num.gid GROUP BY 1),
+    g AS (SELECT DISTINCT i.gid FROM vec i JOIN vec j ON i.base_key = j.base_key AND i.base_key <> '' AND i.kind_rank <> j.kind_rank)
+    SELECT count(*) AS items, CAST(sum(picks) AS BIGINT) AS filled, CAST(floor(sum(picks) / (count(*) * 9) * 100 + 0.5) AS INTEGER) AS fill_percent,
+    count(*) FILTER (picks < 3) AS thin, (SELECT count(*) FROM g) AS adaptations FROM p""",
+)
 def _(spark, d):
     f = features(spark, d)
     return reports.build_report(f.ids, assigned(spark, d), adaptations(f.vectors))
 
 
-@query("hub_report")
+@query(
+    "hub_report",
+    f"""WITH {o.ASSIGNED}, b AS (SELECT neighbour AS gid, count(*) AS inbound FROM aslots GROUP BY 1)
+    SELECT kind, coalesce(max(inbound), 0) AS worst_hub, round(count(*) FILTER (inbound IS NULL) / count(*), 6) AS never_recommended
+    FROM num LEFT JOIN b USING (gid) GROUP BY kind""",
+)
 def _(spark, d):
     return reports.hub_report(features(spark, d).ids, assigned(spark, d))
 
