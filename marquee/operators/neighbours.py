@@ -284,15 +284,21 @@ def shared_axis(a: str = "i", b: str = "j") -> Column:
 def rare_pairs(features: Features) -> DataFrame:
     """(gid, neighbour, shared): cross-kind pairs that share rare words, targets eligible.
 
-    A rare word is in at most 40 items, by definition, so a word gives a bounded number
-    of pairs and the whole is linear in the text."""
-    ids = features.vectors.select("kind", "pos", "gid", "kind_rank", "eligible")
-    rare = rare_words(features.counts, features.profiles).join(ids, ["kind", "pos"])
-    left = rare.select("word", "gid", "kind_rank")
-    right = rare.filter("eligible").select("word", F.col("gid").alias("neighbour"), F.col("kind_rank").alias("target_rank"))
+    A rare word is in at most 40 items by definition, so its list is bounded, a word gives a
+    bounded number of pairs, and the whole is linear in the text. Pairs are spread by item,
+    where they are counted and later meet the item's vector."""
+    rare = rare_words(features.counts, features.profiles)
+    lists = rare.groupBy("word").agg(F.collect_list(F.struct("gid", "kind_rank", "eligible")).alias("l"))
     return (
-        left.join(right, "word")
-        .filter(F.col("kind_rank") != F.col("target_rank"))
+        lists.select(F.explode("l").alias("i"), "l")
+        .select(
+            F.col("i.gid").alias("gid"),
+            F.explode(
+                F.filter("l", lambda j: j["eligible"] & (j["kind_rank"] != F.col("i.kind_rank")))
+            ).alias("j"),
+        )
+        .select("gid", F.col("j.gid").alias("neighbour"))
+        .repartition("gid")
         .groupBy("gid", "neighbour")
         .agg(F.count("*").alias("shared"))
     )

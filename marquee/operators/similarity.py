@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed
 from ..functions.scores import item_score
-from ..functions.text import base_title, inflections, norm_title, period_signal, words
+from ..functions.text import base_title, inflections, norm_title, words
 from ..session import materialise
 from ..sources.catalogue import number_items
 from .filters import eligible_target
@@ -73,14 +73,16 @@ def content_words(items: DataFrame, keep: list[str]) -> DataFrame:
     return out.filter((F.length("word") > 2) & ~F.col("word").isin(drop))
 
 
-def word_counts(items: DataFrame) -> DataFrame:
-    """(kind, pos, genre, word, tf) over whole texts.
+def word_counts(texts: DataFrame, meta: DataFrame) -> DataFrame:
+    """(kind, pos, gid, kind_rank, eligible, genre, word, tf) over whole texts.
 
-    Texts are spread by item once; a text is far smaller than its exploded words, and the
-    words of an item are then counted where they are, without another exchange."""
-    keep = ["kind", "pos", "genre"]
-    texts = items.select(*keep, "blurb").repartition("kind", "pos")
-    return content_words(texts, keep).groupBy(*keep, "word").agg(F.count("*").alias("tf"))
+    `texts` has kind, pos, blurb, `meta` the rest per item. A text is far smaller than its
+    exploded words, so texts are spread by item once, meet their item there, and the words of
+    an item are counted where they are, without another exchange."""
+    keep = ["kind", "pos", "gid", "kind_rank", "eligible", "genre"]
+    spread_ = texts.select("kind", "pos", "blurb").repartition("kind", "pos")
+    joined = spread_.join(meta.select(*keep), ["kind", "pos"])
+    return content_words(joined, keep).groupBy(*keep, "word").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -127,18 +129,29 @@ def learn_profiles(counts: DataFrame, priors: DataFrame, base: dict[str, float])
 def rare_words(counts: DataFrame, profiles: DataFrame) -> DataFrame:
     lo, hi = fixed.RARE_DF
     rare = profiles.filter(F.col("df").between(lo, hi)).select("word")
-    return counts.select("kind", "pos", "word").join(rare, "word")
+    return counts.drop("genre", "tf").join(rare, "word")
 
 
-def raw_parts(
-    items: DataFrame, ids: DataFrame, counts: DataFrame, profiles: DataFrame, lexicon: DataFrame, priors: DataFrame
-) -> DataFrame:
+def item_meta(narrow: DataFrame) -> DataFrame:
+    """Numbers, keys, score and eligibility per item, from the catalogue without its texts."""
+    scored = number_items(narrow.withColumn("score", item_score()))
+    return scored.select(
+        "kind", "pos", "kind_rank", "gid", "turn", "genre",
+        norm_title(F.col("title")).alias("title_key"),
+        base_title(F.col("title")).alias("base_key"),
+        norm_title(F.coalesce("author", "creator")).alias("maker"),
+        "score",
+        eligible_target(fixed.MIN_QUALITY, fixed.MIN_RATINGS).alias("eligible"),
+        "period",
+    )
+
+
+def raw_parts(meta: DataFrame, counts: DataFrame, profiles: DataFrame, lexicon: DataFrame, priors: DataFrame) -> DataFrame:
     """Per item: genre vector g_, lexicon hits b_, learned sums l_, tone and scale parts.
 
-    Texts are read by the word count and the period test only. Lexicon hits come from a
-    broadcast of fixed size. Profiles are broadcast while they are few, so that sums are
-    complete within a task; beyond that they are joined by word, where words in more than 5%
-    of the items, having no profile, are no hot keys of the profile side."""
+    Lexicon hits come from a broadcast of fixed size. Profiles are broadcast while they are
+    few, so that sums are complete within a task; beyond that they are joined by word, where
+    words in more than 5% of the items, having no profile, are no hot keys of that side."""
     hit = lambda c: F.sum(F.col(c) * F.col("tf"))
     item = ["kind", "pos"]
     words_ = counts.select(*item, "word", "tf")
@@ -153,27 +166,13 @@ def raw_parts(
     sums = words_.join(learned, "word").groupBy(*item).agg(
         *[hit(f"l_{a}").alias(f"l_{a}") for a in [*AXES, "tone", "scale"]]
     )
-    meta = items.select(
-        "kind", "pos", "genre",
-        norm_title(F.col("title")).alias("title_key"),
-        base_title(F.col("title")).alias("base_key"),
-        norm_title(F.coalesce("author", "creator")).alias("maker"),
-        item_score().alias("score"),
-        "ratings_count",
-        period_signal(F.col("blurb")).alias("period"),
-    )
-    joined = (
-        meta.join(ids, ["kind", "pos"])
-        .join(hits, item, "left")
-        .join(sums, item, "left")
-        .join(F.broadcast(priors), "genre", "left")
-    )
+    joined = meta.join(hits, item, "left").join(sums, item, "left").join(F.broadcast(priors), "genre", "left")
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     b = {a: zero(f"b_{a}") for a in AXES}
     b["history"] = b["history"] + F.col("period")
     return joined.select(
         "gid", "kind", "pos", "kind_rank", "turn", "genre", "title_key", "base_key", "maker", "score",
-        eligible_target(fixed.MIN_QUALITY, fixed.MIN_RATINGS).alias("eligible"),
+        "eligible",
         *[zero(f"g_{a}").alias(f"g_{a}") for a in AXES],
         *[b[a].alias(f"b_{a}") for a in AXES],
         *[zero(f"l_{a}").alias(f"l_{a}") for a in AXES],
@@ -246,16 +245,17 @@ class Features:
     idf: dict[str, float]
 
 
-def build_features(items: DataFrame, lexicon: Lexicon | None = None) -> Features:
-    """Each stage that several later ones read is written once."""
-    spark = items.sparkSession
-    ids = number_items(items.select("kind", "pos")).select("kind", "pos", "kind_rank", "gid", "turn")
-    counts = materialise(word_counts(items), "words")
+def build_features(texts: DataFrame, narrow: DataFrame, lexicon: Lexicon | None = None) -> Features:
+    """`texts` has kind, pos, blurb; `narrow` is the catalogue without texts. Each stage that
+    several later ones read is written once."""
+    spark = texts.sparkSession
+    meta = materialise(item_meta(narrow), "meta")
+    counts = materialise(word_counts(texts, meta), "words")
     priors = prior_table(spark)
-    base = corpus_baseline(items.select("genre"), priors)
+    base = corpus_baseline(meta.select("genre"), priors)
     profiles = materialise(learn_profiles(counts, priors, base), "profiles")
     lex = lexicon_table(spark, lexicon or Lexicon.fixed())
-    parts = materialise(raw_parts(items, ids, counts, profiles, lex, priors), "parts")
+    parts = materialise(raw_parts(meta, counts, profiles, lex, priors), "parts")
     idf = axis_idf(parts)
     vectors = materialise(facets(parts, idf), "vectors")
-    return Features(ids, counts, profiles, parts, vectors, idf)
+    return Features(meta.select("kind", "pos", "kind_rank", "gid", "turn"), counts, profiles, parts, vectors, idf)

@@ -23,7 +23,8 @@ AXES = sim.AXES
 
 @lru_cache(maxsize=4)
 def _features(app: str, d: str) -> sim.Features:
-    return sim.build_features(catalogue(SparkSession.active(), d), o.LEX)
+    spark = SparkSession.active()
+    return sim.build_features(catalogue(spark, d), entries(spark, d), o.LEX)
 
 
 def features(spark, d) -> sim.Features:

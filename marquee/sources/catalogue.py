@@ -6,6 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.text import period_signal
 from ..operators.numbering import dense_position
 from ..schema import KINDS
 from ..session import materialise
@@ -99,12 +100,13 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @lru_cache(maxsize=8)
 def _entries(app: str, sf_dir: str) -> DataFrame:
     spark = SparkSession.active()
-    return materialise(catalogue(spark, sf_dir).drop("blurb"), "entries")
+    items = catalogue(spark, sf_dir).withColumn("period", period_signal(F.col("blurb")))
+    return materialise(items.drop("blurb"), "entries")
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue without its texts, written once per application: everything but text
-    search and the word features reads this narrow table."""
+    """The catalogue without its texts but with their period signal, written once per
+    application: everything but text search and word counts reads this narrow table."""
     return _entries(spark.sparkContext.applicationId, sf_dir)
 
 
