@@ -18,7 +18,7 @@ def main() -> None:
     from marquee.plans import QUERIES
     from marquee.plans.recommend_oracle import LEX
     from marquee.session import local_session, materialise
-    from marquee.sources.catalogue import catalogue, entries
+    from marquee.sources.catalogue import entries, texts
 
     spark = local_session(cpus, cpus)
     times: dict[str, float] = {}
@@ -41,7 +41,7 @@ def main() -> None:
     ]:
         timed(name, run(name))
 
-    features = timed("recommend_features", lambda: sim.build_features(catalogue(spark, sf_dir), entries(spark, sf_dir), LEX))
+    features = timed("recommend_features", lambda: sim.build_features(texts(spark, sf_dir), entries(spark, sf_dir), LEX))
     cands = timed("recommend_candidates", lambda: materialise(nb.candidates(features), "bench"))
     timed("recommend_assign", lambda: materialise(nb.neighbour_slots(nb.assign(cands)), "bench"))
 

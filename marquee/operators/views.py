@@ -100,7 +100,9 @@ def score_floor_ladder(view: View, floors: list[float], rest: Column) -> Column:
 def relaxation_counts(items: DataFrame, view: View, floors: list[float], flags: dict[str, Column]) -> DataFrame:
     """How many rows would pass with one control released: one scan, conditional counts.
 
-    `flags` adds the status and favourite controls as boolean columns. Suggestions without a
+    `flags` adds the status and favourite controls as boolean columns, and may replace a
+    control by a column computed before (the text search, so that texts stay out of joins).
+    Suggestions without a
     row are dropped; the first two are what a user sees."""
     p = {**view.predicates(), **flags}
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import quality as dq, reports
 from ..operators.summaries import catalogue_stats
 from ..sources.artefacts import slim_index
-from ..sources.catalogue import catalogue, entries, kind_spans, read_table
+from ..sources.catalogue import entries, kind_spans, read_table, texts
 from .oracle import CAT, q
 from .recommend_queries import features, open_slots
 from .registry import query
@@ -166,5 +166,5 @@ def _(spark, d):
 )
 def _(spark, d):
     content = F.concat_ws("|", "kind", F.coalesce("title", F.lit("")), F.coalesce(F.col("year").cast("string"), F.lit("")), "blurb")
-    return dq.fingerprint(catalogue(spark, d), "pos", content)
+    return dq.fingerprint(texts(spark, d), "pos", content)
 

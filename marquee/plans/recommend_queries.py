@@ -12,7 +12,7 @@ from ..operators import neighbours as nb, reports, similarity as sim
 from ..operators.adaptations import adaptations
 from ..session import materialise, side_by_side
 from ..sources.artefacts import slim_index
-from ..sources.catalogue import catalogue, entries
+from ..sources.catalogue import entries, texts
 from . import recommend_oracle as o
 from .oracle import CAT
 from .registry import query
@@ -24,7 +24,7 @@ AXES = sim.AXES
 @lru_cache(maxsize=4)
 def _features(app: str, d: str) -> sim.Features:
     spark = SparkSession.active()
-    return sim.build_features(catalogue(spark, d), entries(spark, d), o.LEX)
+    return sim.build_features(texts(spark, d), entries(spark, d), o.LEX)
 
 
 def features(spark, d) -> sim.Features:
@@ -101,7 +101,7 @@ def _(spark, d):
     THEN 0.5::DOUBLE ELSE 0 END AS period FROM cat""",
 )
 def _(spark, d):
-    return catalogue(spark, d).select("kind", "pos", period_signal(F.col("blurb")).alias("period"))
+    return texts(spark, d).select("kind", "pos", period_signal(F.col("blurb")).alias("period"))
 
 
 @query("genre_prior", f"WITH {o.PARTS} SELECT kind, pos, {', '.join(G)}, prior_tone, prior_scale FROM parts")
@@ -409,7 +409,7 @@ def _(spark, d):
     jargon = F.array(*[F.lit(w) for w in fixed.JARGON.split() + ["thonst", "eren"]])
     subjects = F.array(*[F.lit(w) for w in SUBJECTS])
     share = lambda lst: F.round(F.avg(F.arrays_overlap(tokens, lst).cast("int")), 6)
-    return catalogue(spark, d).groupBy("kind").agg(
+    return texts(spark, d).groupBy("kind").agg(
         share(jargon).alias("jargon_share"), share(subjects).alias("subject_share")
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import best_score, item_key, popularity, score_band
 from ..operators import filters as flt, sorting, summaries, views
 from ..sources.artefacts import slim_index
-from ..sources.catalogue import catalogue, entries, number_items
+from ..sources.catalogue import entries, number_items, texts
 from .common import events, marked_keys
 from .oracle import BEST, CAT, HAY, ITEM_KEY, MARKS, NUM, jsround
 from .registry import query
@@ -21,12 +21,12 @@ VIEW_SQL = f"""contains({HAY}, 'the') AND {BEST} >= 70 AND coalesce(year, 0) BET
 @query("search_haystack", f"WITH {CAT} SELECT kind, pos, length({HAY}) AS hay_length, md5({HAY}) AS hay_md5 FROM cat")
 def _(spark, d):
     hay = flt.search_haystack()
-    return catalogue(spark, d).select("kind", "pos", F.length(hay).alias("hay_length"), F.md5(hay).alias("hay_md5"))
+    return texts(spark, d).select("kind", "pos", F.length(hay).alias("hay_length"), F.md5(hay).alias("hay_md5"))
 
 
 @query("filter_text", f"WITH {CAT} SELECT kind, pos, title FROM cat WHERE contains({HAY}, 'ation')")
 def _(spark, d):
-    return catalogue(spark, d).filter(flt.text_matches("  ATION ")).select(*KEY)
+    return texts(spark, d).filter(flt.text_matches("  ATION ")).select(*KEY)
 
 
 @query("filter_min_score", f"WITH {CAT} SELECT kind, pos, title, {BEST} AS best FROM cat WHERE {BEST} >= 70")
@@ -65,7 +65,7 @@ def _(spark, d):
 
 @query("passes_view", f"WITH {CAT} SELECT kind, pos, title, {BEST} AS best FROM cat WHERE {VIEW_SQL}")
 def _(spark, d):
-    return VIEW.apply(catalogue(spark, d)).select(*KEY, best_score().alias("best"))
+    return VIEW.apply(texts(spark, d)).select(*KEY, best_score().alias("best"))
 
 
 @query(
@@ -74,7 +74,7 @@ def _(spark, d):
     WHERE kind = 'movies' AND contains({HAY}, 'tion') AND {BEST} >= 70""",
 )
 def films_by_word(spark, d):
-    films = catalogue(spark, d).filter(F.col("kind") == "movies")
+    films = texts(spark, d).filter(F.col("kind") == "movies")
     view = flt.View(query="tion", min_score=70).apply(films)
     return sorting.sort_view(view, "best-desc").select(*KEY, "year", best_score().alias("best"))
 
@@ -234,7 +234,7 @@ def _(spark, d):
     f"WITH {CAT} SELECT count(*) AS shown, coalesce({jsround('avg(metacritic)')}, 0) AS avg_metacritic FROM cat WHERE {VIEW_SQL}",
 )
 def _(spark, d):
-    return summaries.view_summary(VIEW.apply(catalogue(spark, d)))
+    return summaries.view_summary(VIEW.apply(texts(spark, d)))
 
 
 SLIM_ONLY = f"""slim AS (SELECT kind, pos, title, year,
@@ -405,9 +405,10 @@ _LADDER = " ".join(
       UNION ALL SELECT 4, 'fav', fa FROM c UNION ALL SELECT 5, 'search', se FROM c) WHERE n > 0""",
 )
 def _(spark, d):
-    items = views.personal_columns(catalogue(spark, d), marked_keys(spark, d, "purchase"), marked_keys(spark, d, "click"))
+    searched = texts(spark, d).withColumn("hit", TIGHT.predicates()["search"]).drop("blurb")  # no text is shuffled
+    items = views.personal_columns(searched, marked_keys(spark, d, "purchase"), marked_keys(spark, d, "click"))
     pos = F.col("pos")
-    flags = {"status": F.col("done") | (pos % 2 == 0), "fav": F.col("favourite") | (pos % 5 < 4)}
+    flags = {"search": F.col("hit"), "status": F.col("done") | (pos % 2 == 0), "fav": F.col("favourite") | (pos % 5 < 4)}
     return views.relaxation_counts(items, TIGHT, [0, 60, 70, 80, 90], flags)
 
 

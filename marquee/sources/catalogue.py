@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import period_signal
 from ..operators.numbering import dense_position
-from ..schema import KINDS
+from ..schema import ITEM, KINDS
 from ..session import materialise
 
 # Labels each kind uses; one of the film labels has no prior on purpose.
@@ -50,10 +50,10 @@ def _genre(kind: Column, q: Column) -> Column:
     return out
 
 
-def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document. `pos` is the order key within a kind (the document id)."""
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, all columns but `verified`: a projection of one scan, for text
+    search and word counts. `pos` is the order key within a kind (the document id)."""
     docs = read_table(spark, sf_dir, "documents")
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     d = F.col("doc_id")
     q = F.floor(d / 4)
     kind = F.element_at(
@@ -63,8 +63,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     screen = is_k["movies"] | is_k["shows"]
     head = F.regexp_extract("text", r"^[ \t\r\n]*((?:[^ \t\r\n]+[ \t\r\n]+){0,3}[^ \t\r\n]+)", 1)
     person = F.concat(F.col("lang"), F.lit(" "), (q % 50).cast("string"))
-    base = docs.join(labels, "doc_id", "left").withColumn("kind", kind)
-    return base.select(
+    return docs.withColumn("kind", kind).select(
         "kind",
         d.alias("pos"),
         F.regexp_replace(head, r"[ \t\r\n]+", " ").alias("title"),
@@ -74,7 +73,6 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("year"),
         _genre(F.col("kind"), q).alias("genre"),
         F.col("text").alias("blurb"),
-        (~is_k["books"] & (F.coalesce(F.col("quality"), F.lit(0)) == 1)).alias("verified"),
         F.when(~is_k["books"] & (q % 7 != 0), 40 + (d * 7) % 60).cast("int").alias("metacritic"),
         F.when(is_k["games"] & (q % 6 != 0), (40 + (d * 3) % 57) / 10.0).cast("double").alias("ign"),
         F.when(is_k["games"] & (q % 5 != 0), (30 + (d * 13) % 67) / 10.0).cast("double").alias("user_score"),
@@ -97,11 +95,25 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_verified(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
+    """Adds the mark of items whose label says so; books are never marked."""
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos"), "quality")
+    mark = (F.col("kind") != "books") & (F.coalesce(F.col("quality"), F.lit(0)) == 1)
+    rest = [c for c in items.columns if c not in ITEM.names]
+    joined = items.join(labels, "pos", "left").withColumn("verified", mark)
+    return joined.select(*[c for c in ITEM.names if c in joined.columns], *rest)
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole catalogue, texts and marks included."""
+    return _with_verified(spark, sf_dir, texts(spark, sf_dir))
+
+
 @lru_cache(maxsize=8)
 def _entries(app: str, sf_dir: str) -> DataFrame:
     spark = SparkSession.active()
-    items = catalogue(spark, sf_dir).withColumn("period", period_signal(F.col("blurb")))
-    return materialise(items.drop("blurb"), "entries")
+    narrow = texts(spark, sf_dir).withColumn("period", period_signal(F.col("blurb"))).drop("blurb")
+    return materialise(_with_verified(spark, sf_dir, narrow), "entries")
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
