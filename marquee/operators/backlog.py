@@ -52,9 +52,11 @@ def enrich(rows: DataFrame, entries: DataFrame, index: DataFrame | None = None)
     """List rows with their catalogue entry, quality and length. `rows` has user_id, row_id,
     kind and the columns of an export row."""
     matched = match_lists(rows, title_index(entries) if index is None else index)
-    side = entries.select("kind", F.col("pos").alias("match_pos"), F.struct(*ENTRY).alias("entry"))
+    side = entries.select("kind", F.col("pos").alias("_at"), F.struct(*ENTRY).alias("entry"))
+    # Rows without a match get keys of their own: as nulls they would all meet in one task.
+    at = F.coalesce("match_pos", -F.col("row_id") - 1)
     item_cols = ["title", "creator", "year", "pages", "isbn", "my_rating", "their_rating", "status", "shelves"]
-    joined = matched.withColumn("item", F.struct(*item_cols)).join(side, ["kind", "match_pos"], "left")
+    joined = matched.withColumn("item", F.struct(*item_cols)).withColumn("_at", at).join(side, ["kind", "_at"], "left")
     q = quality_of()
     return (
         joined.withColumn("_q", q)

@@ -38,41 +38,43 @@ def lookup_by_title(wanted: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def open_items(urls: DataFrame, items: DataFrame, url: str = "url", step: int = 6) -> DataFrame:
+def open_items(urls: DataFrame, items: DataFrame, url: str = "url") -> DataFrame:
     """What a shared address opens: the item of that key, else of that title, else the first
     item whose title starts so. `urls` has kind, an id `url_id` and the address.
 
-    Three equi-joins against lists that are unique per key. The prefix rule compares from the
-    first `step` characters on, so items and tokens meet on (kind, first characters); tokens
-    shorter than that meet on their own length."""
+    Three equi-joins against lists that are unique per key. For the last one titles are cut to
+    the lengths that occur among the tokens, and the first item per start is kept, so a common
+    start costs a row per task, not a row per pair."""
     asked = (
         urls.withColumn("token", open_token(F.col(url)))
         .filter(F.col("token").isNotNull())
         .withColumn("_low", F.lower(F.trim("token")))
     )
     by_key = items.groupBy("kind", item_key().alias("token")).agg(F.min("pos").alias("pos_key"))
-    by_title = first_by_title(items).select("kind", F.col("title_key").alias("_low"), F.col("pos").alias("pos_title"))
-    exact = asked.join(by_key, ["kind", "token"], "left").join(by_title, ["kind", "_low"], "left")
-    open_ = exact.filter(F.col("pos_key").isNull() & F.col("pos_title").isNull() & (F.col("_low") != ""))
-    tokens = open_.select("kind", "_low").distinct().withColumn("_n", F.least(F.length("_low"), F.lit(step)))
-    heads = first_by_title(items).select(
-        "kind", "title_key", "pos", F.explode(F.sequence(F.lit(1), F.lit(step))).alias("_n")
-    )
+    titles = first_by_title(items)
+    by_title = titles.select("kind", F.col("title_key").alias("_low"), F.col("pos").alias("pos_title"))
+    lengths = asked.agg(F.collect_set(F.length("_low")).alias("_n")).withColumn("_one", F.lit(1))
     starts = (
-        tokens.withColumn("_head", F.substring(F.col("_low"), F.lit(1), F.col("_n")))
-        .join(heads.withColumn("_head", F.substring(F.col("title_key"), F.lit(1), F.col("_n"))), ["kind", "_n", "_head"])
-        .filter(F.startswith("title_key", "_low"))
-        .groupBy("kind", "_low")
+        titles.withColumn("_one", F.lit(1))
+        .join(F.broadcast(lengths), "_one")  # one row
+        .select("kind", "title_key", "pos", F.explode("_n").alias("_n"))
+        .filter((F.col("_n") > 0) & (F.col("_n") <= F.length("title_key")))
+        .groupBy("kind", F.substring(F.col("title_key"), F.lit(1), F.col("_n")).alias("_low"))
         .agg(F.min("pos").alias("pos_start"))
     )
-    return exact.join(starts, ["kind", "_low"], "left").select(
-        "url_id", "kind", "token",
-        F.coalesce("pos_key", "pos_title", "pos_start").alias("pos"),
-        F.when(F.col("pos_key").isNotNull(), "key")
-        .when(F.col("pos_title").isNotNull(), "title")
-        .when(F.col("pos_start").isNotNull(), "start")
-        .otherwise("none")
-        .alias("how"),
+    return (
+        asked.join(by_key, ["kind", "token"], "left")
+        .join(by_title, ["kind", "_low"], "left")
+        .join(starts, ["kind", "_low"], "left")
+        .select(
+            "url_id", "kind", "token",
+            F.coalesce("pos_key", "pos_title", "pos_start").alias("pos"),
+            F.when(F.col("pos_key").isNotNull(), "key")
+            .when(F.col("pos_title").isNotNull(), "title")
+            .when(F.col("pos_start").isNotNull(), "start")
+            .otherwise("none")
+            .alias("how"),
+        )
     )
 
 
@@ -182,12 +184,16 @@ def media_file_fallback(missing: DataFrame, media: DataFrame) -> DataFrame:
     file name says what it is and starts with the title. `media` has page, place, file, src."""
     named = F.regexp_replace("file", "^File:", "")
     fit = media.filter(named.rlike(MEDIA_NAME)).withColumn("_name", fold_loose(named))
-    return (
-        missing.join(fit, "page")
-        .filter(F.startswith("_name", fold_loose(F.col("title"))))
-        .groupBy("kind", "pos")
+    asked = missing.withColumn("_f", fold_loose(F.col("title")))
+    # Items of one page and title share an answer, so files meet distinct pairs only.
+    found = (
+        asked.select("page", "_f").distinct()
+        .join(fit, "page")
+        .filter(F.startswith("_name", "_f"))
+        .groupBy("page", "_f")
         .agg(F.min_by("src", "place").alias("picture"))
     )
+    return asked.join(found, ["page", "_f"]).select("kind", "pos", "picture")
 
 
 def book_covers(books: DataFrame, editions: DataFrame) -> DataFrame:

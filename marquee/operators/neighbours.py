@@ -191,7 +191,9 @@ def _score_group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def plain_candidates(vectors: DataFrame, grain: int | None = None, chunk: int = CHUNK) -> DataFrame:
+def plain_candidates(
+    vectors: DataFrame, grain: int | None = None, chunk: int = CHUNK, item_block: int = ITEM_BLOCK
+) -> DataFrame:
     """Best 8 per item and medium by the score without the rare-word bonus, for each block of
     targets; the best 8 of an item are among its blocks' best. `grain` sets how fine the cells
     are (the number of targets by default)."""
@@ -226,15 +228,22 @@ def plain_candidates(vectors: DataFrame, grain: int | None = None, chunk: int =
     )
     order = [f.split()[0] for f in fields.split(", ")][:-3]
     demands = spread(items.select(*order), "gid").mapInPandas(_demands(cells, pilots, fixed.WIDE), fields)
-    salts = max(1, -(-sizes["n"] // ITEM_BLOCK))
-    demands = demands.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn(
-        "salt", (F.col("gid") % salts).cast("int")
+    cells["salts"] = 1
+    if sizes["n"] > item_block:
+        # A cell many items still look at is scored in several groups, each with all its targets.
+        demands = materialise(demands, "demands")
+        load = demands.groupBy("cell").agg(F.count("*").alias("load")).toPandas().set_index("cell")["load"]
+        cells["salts"] = [max(1, -(-int(load.get(c, 0)) // item_block)) for c in cells["cell"]]
+    small = lambda: F.broadcast(vectors.sparkSession.createDataFrame(cells[["cell", "chunks", "salts"]]))
+    demands = (
+        demands.drop("chunks").join(small(), "cell")
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
+        .withColumn("salt", F.pmod(F.xxhash64("gid", F.lit("item")), F.col("salts")).cast("int"))
     )
-    chunks = vectors.sparkSession.createDataFrame(cells[["cell", "chunks"]])
     blocks = (
-        targets.join(F.broadcast(chunks), "cell")
+        targets.join(small(), "cell")
         .withColumn("chunk", F.pmod(F.xxhash64("gid"), F.col("chunks")).cast("int"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))))
     )
     group = ["cell", "chunk", "salt"]
     return demands.groupBy(*group).cogroup(blocks.groupBy(*group)).applyInPandas(_score_group, CANDIDATE)
@@ -330,7 +339,8 @@ def candidates(features: Features) -> DataFrame:
     """Best 8 per item and medium with rank `place`; the bonus counts where there is one."""
     both = plain_candidates(features.vectors).unionByName(rare_candidates(features))
     key = ["gid", "kind_rank", "turn", "target_rank", "neighbour"]
-    merged = both.groupBy(*key).agg(F.max("sim").alias("sim"), F.max("axis").alias("axis"))
+    # Spread by list once; the merge and the ranking both keep to that.
+    merged = both.repartition("gid", "target_rank").groupBy(*key).agg(F.max("sim").alias("sim"), F.max("axis").alias("axis"))
     return top_per_group(merged, ["gid", "target_rank"], [F.desc("sim"), F.asc("neighbour")], fixed.WIDE, "place")
 
 

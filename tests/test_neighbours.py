@@ -62,11 +62,14 @@ def brute_force(rows):
     return {(g, k, j) for (g, k), c in best.items() for _, j in sorted(c)[:8]}
 
 
-@pytest.mark.parametrize("grain,chunk,hot", [(0, 2048, 0.0), (100_000, 16, 0.0), (2_000_000, 7, 0.0), (100_000, 16, 0.4)])
-def test_plain_candidates_equal_all_pairs(spark, grain, chunk, hot):
+@pytest.mark.parametrize(
+    "grain,chunk,hot,block",
+    [(0, 2048, 0.0, 65536), (100_000, 16, 0.0, 65536), (2_000_000, 7, 0.0, 65536), (100_000, 16, 0.4, 65536), (0, 40, 0.4, 25)],
+)
+def test_plain_candidates_equal_all_pairs(spark, grain, chunk, hot, block):
     df, rows = random_vectors(spark, 240, 5, hot)
     got = top_per_group(
-        nb.plain_candidates(df, grain, chunk), ["gid", "target_rank"], [F.desc("sim"), F.asc("neighbour")], 8
+        nb.plain_candidates(df, grain, chunk, block), ["gid", "target_rank"], [F.desc("sim"), F.asc("neighbour")], 8
     )
     assert {(r["gid"], r["target_rank"], r["neighbour"]) for r in got.collect()} == brute_force(rows)
 
