@@ -55,21 +55,21 @@ def pair_keys(vectors: DataFrame, side: str) -> DataFrame:
 
 
 def cell_of(n_targets: int) -> Column:
-    """Cell of a target: kind and tone, finer as the catalogue grows. At most
-    4 * 4 * 13 * 4 * 4 = 3,328 cells, so their bounds always fit a broadcast."""
-    tone = F.least(F.lit(3), F.floor((F.col("tone") + 1) * 2)).cast("int")
-    cell = F.col("kind_rank") * 4 + tone
-    width = 1
-    if n_targets > 20_000:
+    """Cell of a target: kind, tone, then scale, quality and strongest axis as the catalogue
+    grows. At most 4 * 8 * 8 * 4 * 13 = 13,312 cells, so their bounds always fit a broadcast."""
+    tones, scales, qualities, by_axis = (
+        (4, 1, 1, False) if n_targets <= 20_000 else (4, 4, 4, False) if n_targets <= 1_000_000 else (8, 8, 4, True)
+    )
+    part = lambda c, n: F.least(F.lit(n - 1), F.floor((F.col(c) + 1) * n / 2)).cast("int")
+    cell = (F.col("kind_rank") * tones + part("tone", tones)) * scales + part("scale", scales)
+    quality = F.least(F.lit(qualities - 1), F.floor((F.col("score") - 60) * qualities / 40)).cast("int")
+    cell = cell * qualities + quality
+    if by_axis:
         top = F.greatest(*[F.col(v) for v in VEC])
         axis = F.lit(0)
         for i in reversed(range(len(VEC))):
             axis = F.when(F.col(VEC[i]) == top, F.lit(i)).otherwise(axis)
-        cell, width = cell * 13 + axis, width * 13
-    if n_targets > 1_000_000:
-        scale = F.least(F.lit(3), F.floor((F.col("scale") + 1) * 2)).cast("int")
-        quality = F.least(F.lit(3), F.floor((F.col("score") - 60) / 10)).cast("int")
-        cell = (cell * 4 + scale) * 4 + quality
+        cell = cell * len(VEC) + axis
     return cell
 
 
@@ -210,7 +210,7 @@ def plain_candidates(
             F.max("score").alias("top"),
         )
         .withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
-        .toPandas()  # at most 3,328 rows
+        .toPandas()  # at most 13,312 rows
     )
     if cells.empty:
         return vectors.sparkSession.createDataFrame([], CANDIDATE)

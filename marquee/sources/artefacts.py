@@ -41,9 +41,12 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CRLF lines, doubled quotes, UTF-8; one file per partition."""
-    df.write.csv(path, header=True, quote='"', escape='"', lineSep="\r\n", encoding="UTF-8", emptyValue="")
+def write_csv(df: DataFrame, path: str, mark: bool = True) -> None:
+    """CRLF lines, doubled quotes, UTF-8; one file per partition. The byte order mark that
+    spreadsheets look for leads the first column's name, and with it every file."""
+    first = df.columns[0]
+    out = df.withColumnRenamed(first, "\ufeff" + first) if mark else df
+    out.write.csv(path, header=True, quote='"', escape='"', lineSep="\r\n", encoding="UTF-8", emptyValue="")
 
 
 def copy_titles(view: DataFrame, block: int = 4096) -> DataFrame:

@@ -64,8 +64,10 @@ def compare(spark, con, sf_dir, name, fn, sql):
     secs = time.time() - t0
     if sql is None:
         return "rows", secs, f"{len(got[1])} rows"
+    t1 = time.time()
     rel = con.execute(sql)
     want = rows_of([c[0] for c in rel.description], rel.fetchall())
+    oracle_secs = time.time() - t1
     if got[0] != want[0]:
         return "FAIL", secs, f"columns {got[0]} != {want[0]}"
     if len(got[1]) != len(want[1]):
@@ -73,7 +75,7 @@ def compare(spark, con, sf_dir, name, fn, sql):
     bad = [(g, w) for g, w in zip(got[1], want[1]) if g != w or [type(x) for x in g] != [type(x) for x in w]]
     if bad:
         return "FAIL", secs, f"{len(bad)} of {len(got[1])} rows differ, e.g.\n   spark {bad[0][0]}\n   duck  {bad[0][1]}"
-    return "ok", secs, f"{len(got[1])} rows" + ("" if got[1] else "  EMPTY")
+    return "ok", secs, f"{len(got[1])} rows, oracle {oracle_secs:.1f}s" + ("" if got[1] else "  EMPTY")
 
 
 def main(argv):
