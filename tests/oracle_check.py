@@ -1,4 +1,4 @@
-"""Compare registered queries with their oracle SQL: python tests/oracle_check.py [sf] [name-part ...]"""
+"""Compare registered queries with their oracle SQL: python tests/oracle_check.py [scale or folder] [name-part ...]"""
 
 from __future__ import annotations
 
@@ -83,7 +83,7 @@ def main(argv):
 
     sf = argv[0] if argv else "0.01"
     parts = argv[1:]
-    sf_dir = f"/root/testdata/sf{sf}"
+    sf_dir = sf if sf.startswith("/") else f"/root/testdata/sf{sf}"
     only = os.environ.get("PLANS")
     if only:
         import types
