@@ -23,14 +23,17 @@ def _pairs(frag: Column) -> Column:
     )
 
 
-def _last(pairs: Column, key: str) -> Column:
-    """Later pairs overwrite earlier ones."""
-    hits = F.filter(pairs, lambda p: p["key"] == key)
-    return F.try_element_at(hits, F.lit(-1))["value"]
+def _last(frag: Column, key: str) -> Column:
+    """Raw value of a key, null if absent; later pairs overwrite earlier ones. A plain regex
+    serves unless some key is itself percent-encoded."""
+    hits = F.filter(_pairs(frag), lambda p: p["key"] == key)
+    coded = F.try_element_at(hits, F.lit(-1))["value"]
+    plain = F.when(frag.rlike(f"(^|&){key}="), F.regexp_extract(frag, f"^(?:.*&)?{key}=([^&]*)", 1))
+    return F.when(frag.rlike("(^|&)[^=&]*%[^=&]*="), coded).otherwise(plain)
 
 
 def state_value(url: Column, key: str) -> Column:
-    return decode_component(_last(_pairs(fragment(url)), key))
+    return decode_component(_last(fragment(url), key))
 
 
 def state_map(url: Column) -> Column:
@@ -55,7 +58,7 @@ def state_genres(url: Column) -> Column:
 
 def open_token(url: Column) -> Column:
     """The item to open; a plus sign means a blank here."""
-    raw = _last(_pairs(fragment(url)), "open")
+    raw = _last(fragment(url), "open")
     return decode_component(F.replace(raw, F.lit("+"), F.lit(" ")))
 
 

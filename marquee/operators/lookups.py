@@ -8,6 +8,7 @@ from ..functions import fixed
 from ..functions.scores import item_key, thumb_step
 from ..functions.text import fold_loose
 from ..functions.viewstate import open_token
+from ..session import materialise
 from ..sources.catalogue import kind_spans
 from .sorting import top_per_group
 
@@ -45,11 +46,11 @@ def open_items(urls: DataFrame, items: DataFrame, url: str = "url") -> DataFrame
     Three equi-joins against lists that are unique per key. For the last one titles are cut to
     the lengths that occur among the tokens, and the first item per start is kept, so a common
     start costs a row per task, not a row per pair."""
-    asked = (
-        urls.withColumn("token", open_token(F.col(url)))
-        .filter(F.col("token").isNotNull())
-        .withColumn("_low", F.lower(F.trim("token")))
-    )
+    # Addresses without a token drop out in the explode, which also has each parsed only once;
+    # the result feeds two branches and is written.
+    token = F.explode(F.array_compact(F.array(open_token(F.col(url)))))
+    parsed = urls.select("url_id", "kind", token.alias("token"))
+    asked = materialise(parsed.withColumn("_low", F.lower(F.trim("token"))), "tokens")
     by_key = items.groupBy("kind", item_key().alias("token")).agg(F.min("pos").alias("pos_key"))
     titles = first_by_title(items)
     by_title = titles.select("kind", F.col("title_key").alias("_low"), F.col("pos").alias("pos_title"))

@@ -53,6 +53,11 @@ def test_view_state(spark):
     assert one(spark, vs.state_genres, url) == ["Action RPG", "Drama"]
     assert one(spark, vs.open_token, url) == "The One|1999"
     assert one(spark, lambda c: vs.state_value(c, "g"), "https://x.org/") is None
+    coded = "https://x.org/a#search=one&se%61rch=two&reopen=no&open="
+    assert one(spark, lambda c: vs.state_value(c, "search"), coded) == "two"
+    assert one(spark, vs.open_token, coded) == ""
+    assert one(spark, vs.open_token, "https://x.org/a#open=1&x=2&open=b+c%2Bd") == "b c+d"
+    assert one(spark, vs.state_map, coded) == {"search": "two", "reopen": "no", "open": ""}
 
 
 def test_packing_round_trip(spark):
