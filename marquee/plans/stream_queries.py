@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.clock import micros
 from ..operators import matching
 from ..sources.catalogue import entries, read_table
 from ..streaming import cache, debounce, lockout, runner, sets
@@ -77,7 +78,7 @@ FROM l QUALIFY rank <= 8"""
 def _(spark, d):
     uses = runner.event_stream(spark, d).select(
         "user_id", F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").alias("item_id"),
-        F.unix_micros("ts").alias("us"), "event_id",
+        micros(F.col("ts")).alias("us"), "event_id",
     )
     lists = runner.run_available(sets.recent_stream(uses), "recents")
     return sets.latest_version(lists).select("user_id", "kind", "item_id", "event_id", "rank")
@@ -110,7 +111,7 @@ def _(spark, d):
 )
 def _(spark, d):
     toggles = runner.event_stream(spark, d).filter(F.col("event_type").isin("click", "view")).select(
-        "user_id", "event_id", F.unix_micros("ts").alias("us"), (F.get_json_object("props", "$.k").cast("long") % 9).alias("k")
+        "user_id", "event_id", micros(F.col("ts")).alias("us"), (F.get_json_object("props", "$.k").cast("long") % 9).alias("k")
     )
     return runner.run_available(sets.tray_stream(toggles), "tray").drop("batch")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.clock import micros
 from .runner import WATERMARK
 
 SPAN = 64  # length of a time bucket in gaps
@@ -17,7 +18,7 @@ def debounce(events: DataFrame, key: str, gap_seconds: float, immediate: Column
     gaps, and the events of a bucket's first gap are also shown to the bucket before it, so
     every window sees one key and bucket only."""
     gap = int(gap_seconds * 1e6)
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = micros(F.col("ts"))
     wide = gap * SPAN
     here = F.floor(us / wide)
     shown = F.array_compact(

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed
+from ..functions.clock import micros
 
 STEPS = [int(s * 1_000_000) for s in fixed.LOCK_STEPS_SECONDS]
 TOP = len(STEPS) - 1
@@ -55,7 +56,7 @@ def _replayed(pdf: pd.DataFrame, fails: int, until: int) -> tuple[pd.DataFrame,
 def attempts(events: DataFrame) -> DataFrame:
     """Errors are failed attempts, sign-ups successful ones."""
     return events.filter(F.col("event_type").isin("error", "signup")).select(
-        "user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        "user_id", "event_id", "ts", micros(F.col("ts")).alias("us"),
         (F.col("event_type") == "signup").alias("ok"),
     )
 
