@@ -12,3 +12,12 @@ def op8_token_counts(spark, sf_dir):
     from .token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
