@@ -21,3 +21,32 @@ def op10_best_fit_packing(spark, sf_dir):
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+hexed AS (
+  SELECT page_id, body, sha1(encode(body)) AS sha, min(page_id) OVER (PARTITION BY sha1(encode(body))) AS first_id FROM p
+),
+bits AS (
+  SELECT *, list_transform(range(0, 32), lambda i: (
+      ('0x' || substr(sha || '00', 1 + (5 * i // 4)::INT, 2))::INT >> (8 - 5 - (5 * i % 4))::INT) & 31) AS digits
+  FROM hexed
+)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(digits, lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', d + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM bits
+"""
+
+
+@query("op4_warc", OP4_SQL)
+def op4_warc(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .warc import archive_folder, read_archives, write_archives
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("binary").alias("payload"))
+    manifest = write_archives(pages, archive_folder(spark))
+    return read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
