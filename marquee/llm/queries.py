@@ -50,3 +50,37 @@ def op4_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("binary").alias("payload"))
     manifest = write_archives(pages, archive_folder(spark))
     return read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+e AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '###', '#\##'), '</turn>', '<\/turn>') AS esc,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prev FROM t
+),
+g AS (
+  SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(length(CASE role WHEN 'system' THEN '### System: ' WHEN 'user' THEN '### User: ' ELSE '### Assistant: ' END)
+        + length(esc) + length(' </turn>' || chr(10)))::BIGINT AS formatted_chars,
+    bool_and(CASE role WHEN 'system' THEN prev IS NULL WHEN 'user' THEN prev IS NULL OR prev IN ('system', 'assistant')
+             WHEN 'assistant' THEN coalesce(prev = 'user', false) ELSE false END)
+      AND last(role ORDER BY turn, role, text) = 'assistant' AS is_valid
+  FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, is_valid FROM g
+"""
+
+
+@query("op3_chat_format", OP3_SQL)
+def op3_chat_format(spark, sf_dir):
+    from .chat import digest, format_conversations
+
+    said = r"\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return digest(format_conversations(turns))
