@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from ..session import prepare
 
+#: Bytes of a batch that goes to a Python worker: texts vary in length, so a count of rows bounds nothing.
+BATCH_BYTES = 8 << 20
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def bounded(spark):
+    """A session whose batches for Python workers are bounded in bytes."""
+    spark = prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def query(name: str, sql: str | None = None):
     """Register a function (spark, sf_dir) -> DataFrame, with its oracle if SQL can say it."""
 
     def wrap(fn):
         def run(spark, sf_dir):
-            return fn(prepare(spark), sf_dir)
+            return fn(bounded(spark), sf_dir)
 
         QUERIES[name] = run
         if sql is not None:

@@ -71,7 +71,7 @@ def cutter(tok):
     return cut
 
 
-def _pre_tokens(vocabulary, flush: int = 400_000):
+def _pre_tokens(vocabulary, flush: int = 150_000):
     """Batches of texts -> distinct pre-tokens with their frequencies, summed within the task."""
 
     def run(batches):
@@ -106,7 +106,7 @@ def _encode(vocabulary):
     return run
 
 
-def _frequencies(vocabulary, hot, rows_out: int = 60_000):
+def _frequencies(vocabulary, hot, rows_out: int = 20_000):
     """Documents -> one row that holds what the frequent pre-tokens add up to, and one row for each
     other pre-token with its frequency. The first row's key matches no pre-token and differs per
     document, so that no key gathers rows."""
