@@ -84,3 +84,10 @@ def op3_chat_format(spark, sf_dir):
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return digest(format_conversations(turns))
+
+
+@query("op7_nearest_neighbours")
+def op7_nearest_neighbours(spark, sf_dir):
+    from .nearest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
