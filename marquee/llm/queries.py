@@ -91,3 +91,10 @@ def op7_nearest_neighbours(spark, sf_dir):
     from .nearest import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+@query("op9_near_duplicates")
+def op9_near_duplicates(spark, sf_dir):
+    from .near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
