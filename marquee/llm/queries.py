@@ -98,3 +98,10 @@ def op9_near_duplicates(spark, sf_dir):
     from .near_dup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    from .language import identify_documents
+
+    return identify_documents(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")

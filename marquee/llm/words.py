@@ -13,8 +13,11 @@ import pyarrow.compute as pc
 import regex
 
 _NOT_WORD = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
+_NOT_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_IS_LETTER = _IS_WORD.copy()
+_IS_LETTER[48:58] = False
 #: Lead bytes of two-byte characters that are not all letters, and of longer ones.
 _ODD = np.zeros(256, bool)
 _ODD[[0xC2, *range(0xCA, 256)]] = True
@@ -43,8 +46,11 @@ def _flat(texts: pa.Array):
     return raw, off - off[0]
 
 
-def word_hashes(texts: pa.Array):
-    """(hash of each word, first word of each text and the end) of a string array without nulls."""
+def runs_of(texts: pa.Array, with_digits: bool = True):
+    """(bytes, which belong to words, start of each word, first word of each text and the end).
+
+    Bytes of a word end at its first byte that belongs to none.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.type != pa.string():
@@ -55,26 +61,33 @@ def word_hashes(texts: pa.Array):
     odd[:-1] |= (raw[:-1] == 0xC3) & ((after == 0x97) | (after == 0xB7))
     if odd.any():
         hit = np.unique(np.searchsorted(off, np.flatnonzero(odd), "right") - 1)
-        some = texts.to_pylist()
+        some, cut = texts.to_pylist(), _NOT_WORD if with_digits else _NOT_LETTER
         for i in hit.tolist():
-            some[i] = _NOT_WORD.sub(" ", some[i].lower())
+            some[i] = cut.sub(" ", some[i].lower())
         raw, off = _flat(pa.array(some, pa.string()))
-    word = _IS_WORD[raw]
-    if not word.any():
-        return np.zeros(0, "u8"), np.zeros(len(texts) + 1, "i8")
+    word = (_IS_WORD if with_digits else _IS_LETTER)[raw]
     first = word.copy()
     first[1:] &= ~word[:-1]
     edges = off[1:-1]
     edges = edges[edges < len(raw)]
     first[edges] |= word[edges]
     starts = np.flatnonzero(first)
-    # Blank bytes after a word belong to its run of bytes and count as zero.
+    return raw, word, starts, np.searchsorted(starts, off)
+
+
+def word_hashes(texts: pa.Array):
+    """(hash of each word, first word of each text and the end) of a string array without nulls."""
+    raw, word, starts, bounds = runs_of(texts)
+    if not len(starts):
+        return np.zeros(0, "u8"), bounds
+    # Bytes between words count as zero.
     lengths = np.diff(np.append(starts, len(raw)))
-    place = np.arange(starts[0], len(raw)) - np.repeat(starts, lengths)
-    part = _BYTE[raw[starts[0] :]] * _PLACE[place & (_PLACES - 1)]
-    part[~word[starts[0] :]] = 0
-    hashes = mix(np.add.reduceat(part, starts - starts[0]))
-    return hashes, np.searchsorted(starts, off)
+    place = np.arange(starts[0], len(raw), dtype="i4" if len(raw) < 1 << 31 else "i8")
+    place -= np.repeat(starts.astype(place.dtype), lengths)
+    part = _BYTE[raw[starts[0] :]]
+    part *= _PLACE[place & (_PLACES - 1)]
+    part *= word[starts[0] :]
+    return mix(np.add.reduceat(part, starts - starts[0])), bounds
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
