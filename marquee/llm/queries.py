@@ -105,3 +105,10 @@ def op5_language_id(spark, sf_dir):
     from .language import identify_documents
 
     return identify_documents(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark, sf_dir):
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
