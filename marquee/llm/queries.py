@@ -112,3 +112,10 @@ def op1_decontamination(spark, sf_dir):
     from .decontaminate import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_quality")
+def op6_quality(spark, sf_dir):
+    from .quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"))
