@@ -119,3 +119,13 @@ def op6_quality(spark, sf_dir):
     from .quality import score_quality
 
     return score_quality(table(spark, sf_dir, "documents"))
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .secrets import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word_at", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
