@@ -167,18 +167,18 @@ def frames(stream, step: int = 1 << 15):
         zdict = zstd.ZstdCompressionDict(stream.read(struct.unpack("<I", head[4:])[0]))
         rest = b""
     unpack = zstd.ZstdDecompressor(dict_data=zdict)
-    one, parts = unpack.decompressobj(), []
+    one, parts, begun = unpack.decompressobj(), [], False
     while True:
         if not rest:
             rest = stream.read(step)
             if not rest:
                 break
         parts.append(one.decompress(rest))
-        rest = b""
+        rest, begun = b"", True
         if one.eof:
             yield b"".join(parts)
-            rest, one, parts = one.unused_data, unpack.decompressobj(), []
-    if parts and any(parts):
+            rest, one, parts, begun = one.unused_data, unpack.decompressobj(), [], False
+    if begun:
         raise ValueError("archive ends within a record")
 
 
