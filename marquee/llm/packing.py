@@ -28,7 +28,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
-from .token_counts import tokenizer
+from .token_counts import per_worker, tokenizer
+from .words import slices
 
 CAPACITY = 4096
 GROUP_ITEMS = 20_000
@@ -44,12 +45,20 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt
 
 
 class WordIds:
-    """Text -> token ids as little-endian 32-bit bytes; each distinct word is encoded once per worker."""
+    """Texts -> token ids as little-endian 32-bit bytes.
 
-    def __init__(self, tok, most: int = 250_000):
-        self.tok, self.most, self.chunks, self.words = tok, most, {}, {}
+    Runs of characters without white space are looked up; the words of unknown ones are encoded
+    together, once each, and told apart by their last tokens, which carry the end of a word. The
+    look-up table has two generations, so what is frequent stays and memory is bounded.
+    """
+
+    def __init__(self, tok, most: int = 400_000):
+        self.tok, self.most, self.new, self.old = tok, most, {}, {}
         self.find = regex.compile(WORD).findall
         self.latin = regex.compile(LATIN).fullmatch
+        vocab = tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         added = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
         self.added = {k: np.array([i], "<u4").tobytes() for k, i in added.items()}
         names = sorted(map(re.escape, added), key=len, reverse=True)
@@ -58,45 +67,94 @@ class WordIds:
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def chunk(self, chunk: str) -> bytes:
-        """Ids of a run of characters without white space."""
-        words, out = self.words, []
-        for w in self.find(chunk):
-            got = words.get(w)
+    def words_of(self, chunk: str):
+        """Words of a lower-case run without white space; letters, alone or with one mark behind, need no pattern."""
+        if chunk.isalpha():
+            return (chunk,)
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return (chunk[:-1], chunk[-1])
+        return self.find(chunk)
+
+    def encode_words(self, words: list[str]) -> dict:
+        if not words:
+            return {}
+        ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cuts) != len(words):
+            return {w: self.whole(w) for w in words}
+        raw = ids.tobytes()
+        return {w: raw[4 * a : 4 * b] for w, a, b in zip(words, [0, *cuts], cuts)}
+
+    def turn(self) -> None:
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+
+    def learn(self, chunks: set) -> None:
+        """Puts the ids of all chunks into the newer generation."""
+        new, old, unknown = self.new, self.old.get, []
+        for c in chunks:
+            got = old(c)
             if got is None:
-                if len(words) > self.most:
-                    words.clear()
-                got = words[w] = self.whole(w)
-            out.append(got)
-        got = b"".join(out)
-        if len(self.chunks) > self.most:
-            self.chunks.clear()
-        self.chunks[chunk] = got
-        return got
-
-    def plain(self, text: str) -> bytes:
-        if not self.latin(text):
-            return self.whole(text)
-        get, slow = self.chunks.get, self.chunk
-        return b"".join([get(c) or slow(c) for c in text.lower().split()])
-
-    def __call__(self, text: str) -> bytes:
-        if self.special is None or not self.special.search(text):
-            return self.plain(text)
-        parts = self.special.split(text)
-        return b"".join(self.added[p] if k % 2 else self.plain(p) for k, p in enumerate(parts))
+                unknown.append(c)
+            else:
+                new[c] = got
+        parts = [self.words_of(c) for c in unknown]
+        known = {}
+        for p in parts:
+            for w in p:
+                known[w] = new.get(w) or old(w)
+        known |= self.encode_words([w for w, got in known.items() if got is None])
+        for c, p in zip(unknown, parts):
+            new[c] = known[p[0]] if len(p) == 1 else b"".join([known[w] for w in p])
+
+    def is_plain(self, text: str) -> bool:
+        """Whether lower case and white space are all that the normaliser changes."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.latin(text) is not None
+        return not any(c in raw for c in (b"\x1c", b"\x1d", b"\x1e", b"\x1f"))
+
+    def pieces(self, text: str):
+        """Parts of a text: lists of chunks, or ids where the library has to encode."""
+        parts = self.special.split(text) if self.special is not None and self.special.search(text) else [text]
+        for k, p in enumerate(parts):
+            yield self.added[p] if k % 2 else p.lower().split() if self.is_plain(p) else self.whole(p)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        self.turn()
+        get, docs, unknown = self.new.get, [], set()
+        for text in texts:
+            parts = []
+            for p in self.pieces(text):
+                got = list(map(get, p)) if type(p) is list else [p]
+                if None in got:
+                    unknown.update([c for c, g in zip(p, got) if g is None])
+                parts.append((p, got))
+            docs.append(parts)
+        if unknown:
+            self.learn(unknown)
+        out = []
+        for parts in docs:
+            for p, got in parts:
+                if None in got:
+                    got[:] = [get(c) if g is None else g for c, g in zip(p, got)]
+            out.append(b"".join([b"".join(got) for _, got in parts]))
+        return out
 
 
 def _cut(vocabulary, end_id: int, capacity: int):
     """Documents -> their pieces. The salt numbers a task's pieces, so equal rows can go to different groups."""
 
     def run(batches):
-        ids, end = WordIds(tokenizer(vocabulary.value)), np.array([end_id], "<u4").tobytes()
+        tok = tokenizer(vocabulary.value)
+        ids = per_worker(("word ids", vocabulary.value), lambda: WordIds(tok))
+        end = np.array([end_id], "<u4").tobytes()
         salt, width = 0, 4 * capacity
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "text", 2 << 20)):
             cols = [[] for _ in range(6)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = memoryview(ids(text) + end)
+            for doc_id, got in zip(batch.column(0).to_pylist(), ids(batch.column(1).to_pylist())):
+                got = memoryview(got + end)
                 for k, at in enumerate(range(0, len(got), width)):
                     part = got[at : at + width]
                     salt += 1

@@ -35,17 +35,23 @@ SETTLED = (
     r"　-〿ぁ-ゖゝ-ヺ一-龥가-힣]*+"
 )
 
-_TOKENIZERS: dict = {}
+def per_worker(key, make):
+    """What a Python worker keeps between its tasks. Functions reach tasks by value, with variables
+    of their own, so it hangs on a module that is imported in the worker."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_kept_per_worker", {})
+    key = (key[0], hash(key[1]))
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
 
 
 def tokenizer(json_text: str):
     """One tokenizer per worker and vocabulary."""
     from tokenizers import Tokenizer
 
-    key = hash(json_text)
-    if key not in _TOKENIZERS:
-        _TOKENIZERS[key] = Tokenizer.from_str(json_text)
-    return _TOKENIZERS[key]
+    return per_worker(("tokenizer", json_text), lambda: Tokenizer.from_str(json_text))
 
 
 def cutter(tok):
