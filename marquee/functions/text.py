@@ -104,8 +104,10 @@ def inflections(c: Column) -> Column:
 
 
 def unwrap_excel(c: Column) -> Column:
+    """What stands in ="..." or =...; a cell without the leading = stays as it is."""
     s = F.trim(F.coalesce(c, F.lit("")))
-    return F.trim(F.regexp_extract(s, '(?s)^(?:="?|"?)(.*?)"?$', 1))
+    form = r'^="?([^\n\r\u2028\u2029]*?)"?$'
+    return F.trim(F.when(s.rlike(form), F.regexp_extract(s, form, 1)).otherwise(s))
 
 
 def to_number(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import words
 from ..session import side_by_side
@@ -82,20 +82,29 @@ def hardcoded_counts(pages: DataFrame, counts: DataFrame) -> DataFrame:
     return joined.select("page_id", F.explode(F.filter("numbers", stated)).alias("number"))
 
 
-def index_alignment(ids: DataFrame, slim: DataFrame, packed: DataFrame) -> DataFrame:
-    """Counts per kind agree, offsets are running sums, packed text is complete, and every
-    packed number is that of an item."""
+def index_alignment(ids: DataFrame, slim: DataFrame, packed: DataFrame, meta: DataFrame) -> DataFrame:
+    """Counts per kind agree with the slim index and the artefact's metadata, offsets are running sums
+    of the counts in the order of the offsets, packed text is complete, and every packed number is
+    that of an item. The slot width is the metadata's."""
+    width = meta.agg(F.max("digits")).first()[0] or 3
     a = ids.groupBy("kind").agg(F.count("*").alias("a"), F.min("gid").alias("low"), F.max("gid").alias("high"))
     b = slim.groupBy("kind").agg(F.count("*").alias("b"))
-    per = a.join(b, "kind", "full").agg(
-        F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("count_gaps"),
-        F.count_if(F.col("high") - F.col("low") + 1 != F.col("a")).alias("offset_gaps"),
+    # One row per kind of item: a handful.
+    before = W.orderBy("offset", "kind").rowsBetween(W.unboundedPreceding, -1)
+    m = meta.select("kind", "offset", F.col("n").alias("m"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("due"))
+    per = a.join(b, "kind", "full").join(m, "kind", "full").agg(
+        F.count_if(~F.col("a").eqNullSafe(F.col("b")) | ~F.col("a").eqNullSafe(F.col("m"))).alias("count_gaps"),
+        F.count_if(
+            ~F.col("offset").eqNullSafe(F.col("due"))
+            | ~F.col("low").eqNullSafe(F.col("offset"))
+            | (F.col("high") - F.col("low") + 1 != F.col("a"))
+        ).alias("offset_gaps"),
     )
     n = ids.agg(F.count("*").alias("n"))
     length = side_by_side(packed.agg(F.sum(F.length("packed")).alias("len")), n).select(
-        (F.col("len") != F.col("n") * STRIDE * 4).cast("long").alias("length_gaps")
+        (F.coalesce("len", F.lit(0)) != F.col("n") * STRIDE * (width + 1)).cast("long").alias("length_gaps")
     )
-    slots = unpack_neighbours(packed).withColumn("_one", F.lit(1))
+    slots = unpack_neighbours(packed, width).withColumn("_one", F.lit(1))
     stray = slots.join(F.broadcast(n.withColumn("_one", F.lit(1))), "_one").agg(
         F.count_if((F.col("neighbour") < 0) | (F.col("neighbour") >= F.col("n"))).alias("stray")
     )

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.packing import pack_slot, unpack_axis, unpack_gid
+from ..functions.packing import digits_for, pack_slot, unpack_axis, unpack_gid
 from ..functions.scores import basis_label, score_band
 from ..session import side_by_side
 from .similarity import AXES
-from .sorting import top_per_group
 
 STRIDE = 3 * fixed.K_PER_MEDIUM
 
@@ -42,7 +41,12 @@ def decorate(slots: DataFrame, ids: DataFrame, slim: DataFrame) -> DataFrame:
     return slots.select("gid", "slot", "neighbour", "axis").join(shown, "neighbour")
 
 
-def pack_neighbours(ids: DataFrame, slots: DataFrame, width: int = 3) -> DataFrame:
+def slot_digits(ids: DataFrame) -> int:
+    """Digits of an item number in a packed slot."""
+    return digits_for(ids.count())
+
+
+def pack_neighbours(ids: DataFrame, slots: DataFrame, width: int) -> DataFrame:
     """gid -> nine fixed-width slots; an empty slot is all zeros."""
     cell = F.struct("slot", pack_slot(F.col("neighbour"), F.col("axis"), width).alias("cell"))
     rows = slots.groupBy("gid").agg(F.map_from_entries(F.collect_list(cell)).alias("cells"))  # at most nine
@@ -59,7 +63,7 @@ def pack_neighbours(ids: DataFrame, slots: DataFrame, width: int = 3) -> DataFra
     )
 
 
-def unpack_neighbours(packed: DataFrame, width: int = 3) -> DataFrame:
+def unpack_neighbours(packed: DataFrame, width: int) -> DataFrame:
     step = width + 1
     slots = packed.select("gid", "packed", F.explode(F.sequence(F.lit(0), F.lit(STRIDE - 1))).alias("slot"))
     cell = F.substring(F.col("packed"), F.col("slot") * step + 1, F.lit(step))
@@ -93,7 +97,3 @@ def hub_report(ids: DataFrame, slots: DataFrame) -> DataFrame:
         F.coalesce(F.max("inbound"), F.lit(0)).alias("worst_hub"),
         F.round(F.count_if(F.col("inbound").isNull()) / F.count("*"), 6).alias("never_recommended"),
     )
-
-
-def first_by(df: DataFrame, group: list[str], order: str) -> DataFrame:
-    return top_per_group(df, group, [F.asc(order)], 1, "_r").drop("_r")

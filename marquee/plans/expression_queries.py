@@ -49,7 +49,7 @@ _RAW = """([ '="978' || event_id || '"', '=""', ' plain ' || event_id, '"' || ev
 @query(
     "unwrap_excel",
     f"""WITH r AS (SELECT event_id, {_RAW} AS raw FROM events) SELECT event_id, trim(CASE WHEN starts_with(trim(raw), '="')
-    THEN regexp_replace(substr(trim(raw), 3), '"$', '') ELSE regexp_replace(regexp_replace(trim(raw), '^"', ''), '"$', '') END) AS isbn FROM r""",
+    THEN regexp_replace(substr(trim(raw), 3), '"$', '') ELSE trim(raw) END) AS isbn FROM r""",
 )
 def _(spark, d):
     e = F.col("event_id").cast("string")

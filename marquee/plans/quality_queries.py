@@ -8,8 +8,9 @@ from ..operators import quality as dq, reports
 from ..operators.summaries import catalogue_stats
 from ..sources.artefacts import slim_index
 from ..sources.catalogue import entries, kind_spans, read_table, texts
+from ..sources.neighbour_files import metadata
 from .oracle import CAT, q
-from .recommend_queries import features, open_slots
+from .recommend_queries import assigned, features
 from .registry import query
 
 TABLES = "documents labels pages conversations events benchmark embeddings".split()
@@ -98,8 +99,8 @@ def _(spark, d):
 )
 def _(spark, d):
     f = features(spark, d)
-    packed = reports.pack_neighbours(f.ids, open_slots(spark, d))
-    return dq.index_alignment(f.ids, slim_index(entries(spark, d)), packed)
+    packed = reports.pack_neighbours(f.ids, assigned(spark, d), reports.slot_digits(f.ids))
+    return dq.index_alignment(f.ids, slim_index(entries(spark, d)), packed, metadata(f.ids))
 
 
 @query("required_title", f"WITH {CAT} SELECT kind, count(*) FILTER (coalesce(title, '') = '') AS untitled, count(*) AS n FROM cat GROUP BY kind")

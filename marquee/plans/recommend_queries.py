@@ -249,8 +249,8 @@ def _(spark, d):
     return open_slots(spark, d).select("gid", "slot", "neighbour", "axis")
 
 
-_PACK = f"""{o.SLOTS},
-dig AS (SELECT *, '0123456789abcdefghijklmnopqrstuvwxyz' AS z FROM slots),
+_PACK = f"""{o.ASSIGNED},
+dig AS (SELECT *, '0123456789abcdefghijklmnopqrstuvwxyz' AS z FROM aslots),
 cell AS (SELECT gid, slot, z[neighbour // 1296 + 1] || z[(neighbour // 36) % 36 + 1] || z[neighbour % 36 + 1] || z[axis + 2] AS c FROM dig),
 pack AS (SELECT num.gid, {' || '.join(f"coalesce(max(c) FILTER (slot = {s}), '0000')" for s in range(9))} AS packed
   FROM num LEFT JOIN cell ON cell.gid = num.gid GROUP BY num.gid)"""
@@ -258,21 +258,24 @@ pack AS (SELECT num.gid, {' || '.join(f"coalesce(max(c) FILTER (slot = {s}), '00
 
 @query("pack_neighbours", f"WITH {_PACK} SELECT gid, packed FROM pack")
 def _(spark, d):
-    return reports.pack_neighbours(features(spark, d).ids, open_slots(spark, d))
+    ids = features(spark, d).ids
+    return reports.pack_neighbours(ids, assigned(spark, d), reports.slot_digits(ids))
 
 
-@query("unpack_neighbours", f"WITH {o.SLOTS} SELECT gid, slot, neighbour, axis FROM slots")
+@query("unpack_neighbours", f"WITH {o.ASSIGNED} SELECT gid, slot, neighbour, axis FROM aslots")
 def _(spark, d):
-    return reports.unpack_neighbours(reports.pack_neighbours(features(spark, d).ids, open_slots(spark, d)))
+    ids = features(spark, d).ids
+    width = reports.slot_digits(ids)
+    return reports.unpack_neighbours(reports.pack_neighbours(ids, assigned(spark, d), width), width)
 
 
-_DOM = f"""{o.SLOTS}, h AS (SELECT gid, axis, count(*) AS n, max(slot) AS reached FROM slots WHERE axis >= 0 GROUP BY gid, axis),
+_DOM = f"""{o.ASSIGNED}, h AS (SELECT gid, axis, count(*) AS n, max(slot) AS reached FROM aslots WHERE axis >= 0 GROUP BY gid, axis),
 dom AS (SELECT gid, axis FROM h QUALIFY row_number() OVER (PARTITION BY gid ORDER BY n DESC, reached) = 1)"""
 
 
 @query("dominant_axis", f"WITH {_DOM} SELECT gid, axis FROM dom")
 def _(spark, d):
-    return reports.dominant_axis(open_slots(spark, d))
+    return reports.dominant_axis(assigned(spark, d))
 
 
 _PHRASES = ", ".join(f"'{fixed.AXIS_PHRASE[a]}'" for a in AXES)
@@ -283,19 +286,19 @@ _PHRASES = ", ".join(f"'{fixed.AXIS_PHRASE[a]}'" for a in AXES)
     f"WITH {_DOM} SELECT gid, 'Mostly picked because both are ' || ([{_PHRASES}])[axis + 1] || '.' AS reason FROM dom",
 )
 def _(spark, d):
-    return reports.explain(open_slots(spark, d))
+    return reports.explain(assigned(spark, d))
 
 
 @query(
     "decorate_neighbours",
-    f"""WITH {o.SLOTS}, {SLIM_ONLY}
+    f"""WITH {o.ASSIGNED}, {SLIM_ONLY}
     SELECT s.gid, s.slot, s.neighbour, s.axis, n.kind AS neighbour_kind, m.title, m.year, m.score,
       CASE WHEN m.score IS NULL THEN 'none' WHEN m.score >= 80 THEN 'good' WHEN m.score >= 60 THEN 'mid' ELSE 'bad' END AS band,
       CASE WHEN n.kind = 'books' THEN 'readers' WHEN m.verified = 1 THEN 'critics ✓' ELSE 'critics' END AS basis
-    FROM slots s JOIN num n ON n.gid = s.neighbour JOIN slim m ON m.kind = n.kind AND m.pos = n.pos""",
+    FROM aslots s JOIN num n ON n.gid = s.neighbour JOIN slim m ON m.kind = n.kind AND m.pos = n.pos""",
 )
 def _(spark, d):
-    return reports.decorate(open_slots(spark, d), features(spark, d).ids, slim_index(entries(spark, d)))
+    return reports.decorate(assigned(spark, d), features(spark, d).ids, slim_index(entries(spark, d)))
 
 
 # ---- with the capacity limit; the oracle walks the items one by one ----

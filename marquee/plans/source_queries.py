@@ -17,8 +17,8 @@ from ..sources.lists import list_rows, lookup_cache
 from .common import marked_keys
 from .list_queries import LISTS, VERDICTS
 from .oracle import CAT, ITEM_KEY, MARKS, NUM
-from .recommend_oracle import AXES, SLOTS
-from .recommend_queries import features, open_slots
+from .recommend_oracle import ASSIGNED, AXES
+from .recommend_queries import assigned, features
 from .registry import query
 from .view_queries import SLIM
 
@@ -222,23 +222,24 @@ _AXES = "[" + ", ".join(f"'{a}'" for a in AXES) + "]"
 
 @query(
     "neighbour_artifact_meta",
-    f"WITH {NUM} SELECT kind, min(gid) AS \"offset\", count(*) AS n, 9 AS stride, {_AXES} AS axes FROM num GROUP BY kind",
+    f"WITH {NUM} SELECT kind, min(gid) AS \"offset\", count(*) AS n, 9 AS stride, 3 AS digits, {_AXES} AS axes FROM num GROUP BY kind",
 )
 def _(spark, d):
     f = features(spark, d)
     path = fresh_path(spark, "artifact")
-    packed = reports.pack_neighbours(f.ids, open_slots(spark, d))
+    packed = reports.pack_neighbours(f.ids, assigned(spark, d), reports.slot_digits(f.ids))
     neighbour_files.write_artifact(path, f.ids, packed, adaptations(f.vectors))
     return spark.read.parquet(f"{path}/meta").drop("built", "phrases")
 
 
-@query("neighbour_artifact_slots", f"WITH {SLOTS} SELECT gid, slot, neighbour, axis FROM slots")
+@query("neighbour_artifact_slots", f"WITH {ASSIGNED} SELECT gid, slot, neighbour, axis FROM aslots")
 def _(spark, d):
     f = features(spark, d)
     path = fresh_path(spark, "artifact")
-    packed = reports.pack_neighbours(f.ids, open_slots(spark, d))
+    packed = reports.pack_neighbours(f.ids, assigned(spark, d), reports.slot_digits(f.ids))
     neighbour_files.write_artifact(path, f.ids, packed, adaptations(f.vectors))
-    return reports.unpack_neighbours(spark.read.schema(packed.schema).parquet(f"{path}/neighbours"))
+    digits = spark.read.parquet(f"{path}/meta").first()["digits"]
+    return reports.unpack_neighbours(spark.read.schema(packed.schema).parquet(f"{path}/neighbours"), digits)
 
 
 _SAFE = "CASE WHEN regexp_matches({t}, '^[=+\\-@\\t\\r]') THEN '''' || {t} ELSE coalesce({t}, '') END"

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
-from ..operators.reports import STRIDE
+from ..operators.reports import STRIDE, slot_digits
 from .catalogue import kind_spans
 
 
 def metadata(ids: DataFrame) -> DataFrame:
-    """One row per kind: offset and count; axes, phrases and stride beside."""
+    """One row per kind: offset and count; axes, phrases, stride and the digits of an item number beside."""
     axes = F.array(*[F.lit(a) for a in fixed.AXES])
     phrases = F.array(*[F.lit(fixed.AXIS_PHRASE[a]) for a in fixed.AXES])
     return kind_spans(ids.select("kind")).select(
-        "kind", "offset", "n", F.lit(STRIDE).alias("stride"), axes.alias("axes"), phrases.alias("phrases")
+        "kind", "offset", "n", F.lit(STRIDE).alias("stride"), F.lit(slot_digits(ids)).alias("digits"), axes.alias("axes"), phrases.alias("phrases")
     )
 
 

@@ -61,12 +61,43 @@ def test_view_state(spark):
 
 
 def test_packing_round_trip(spark):
-    rows = [(g, a) for g in (1, 35, 36, 1295, 46655) for a in range(-1, 13)]
-    df = spark.createDataFrame(rows, "g long, a int").withColumn("c", packing.pack_slot(F.col("g"), F.col("a")))
-    back = df.select("g", "a", packing.unpack_gid(F.col("c")).alias("g2"), packing.unpack_axis(F.col("c")).alias("a2"))
+    rows = [(g, a) for g in (0, 1, 35, 36, 1295, 46655, 46656, 100_000, 1_679_615, 2_000_000) for a in range(-1, 13)]
+    width = packing.digits_for(2_000_001)
+    df = spark.createDataFrame(rows, "g long, a int").withColumn("c", packing.pack_slot(F.col("g"), F.col("a"), width))
+    back = df.select("g", "a", packing.unpack_gid(F.col("c"), width).alias("g2"), packing.unpack_axis(F.col("c"), width).alias("a2"))
     assert all(r["g"] == r["g2"] and r["a"] == r["a2"] for r in back.collect())
 
 
+def test_packing_width(spark):
+    assert [packing.digits_for(n) for n in (0, 1, 46_656, 46_657, 1_679_616, 1_679_617)] == [3, 3, 3, 4, 4, 5]
+    with pytest.raises(Exception, match="does not fit"):
+        spark.range(46_656, 46_657).select(packing.pack_slot(F.col("id"), F.lit(0), 3)).collect()
+
+
+def test_packed_index_check(spark):
+    """The check passes for a sound index and names each fault."""
+    from marquee.operators import quality, reports
+
+    ids = spark.createDataFrame([("a", p, p) for p in range(3)] + [("b", p, 3 + p) for p in range(2)], "kind string, pos long, gid long")
+    slim = ids.select("kind", "pos")
+    slots = spark.createDataFrame([(0, 0, 4, 1), (4, 2, 0, -1)], "gid long, slot int, neighbour long, axis int")
+    meta = spark.createDataFrame([("a", 0, 3, 4), ("b", 3, 2, 4)], "kind string, offset long, n long, digits int")
+    packed = reports.pack_neighbours(ids, slots, 4)
+    bad = lambda *args: {r["check"]: r["bad"] for r in quality.index_alignment(*args).collect()}
+    assert set(bad(ids, slim, packed, meta).values()) == {0}
+    assert bad(ids, slim, packed, meta.withColumn("offset", F.col("offset") + (F.col("kind") == "b").cast("long")))["offset_gaps"] > 0
+    assert bad(ids, slim, packed, meta.withColumn("n", F.lit(3).cast("long")))["count_gaps"] > 0
+    assert bad(ids, slim, packed.withColumn("packed", F.concat("packed", F.lit("0"))), meta)["length_gaps"] == 1
+    stray = reports.pack_neighbours(ids, slots.withColumn("neighbour", F.col("neighbour") + 100), 4)
+    assert bad(ids, slim, stray, meta)["stray"] == 2
+
+
+def test_unwrap_excel(spark):
+    cells = {'="0441"': "0441", '=""': "", "=12": "12", '"abc"': '"abc"', 'abc"': 'abc"', ' ="x ': "x", None: "", '="a"b"': 'a"b', "=": ""}
+    df = spark.createDataFrame([(k, v) for k, v in cells.items()], "c string, want string")
+    assert [r["got"] for r in df.select("want", tx.unwrap_excel(F.col("c")).alias("got")).collect()] == list(cells.values())
+
+
 def test_embedded_arrays():
     page = 'x = "const A = ["; const A  = [{"t": "a ] b [ \\" c", "n": [1, [2]]}, {"t": "d"}];\nconst B = [broken'
     assert pages.array_text(page[18:], "A") == '[{"t": "a ] b [ \\" c", "n": [1, [2]]}, {"t": "d"}]'
