@@ -259,6 +259,8 @@ def _score(kind, dims, keep):
             if not cuts:
                 continue
             at = np.concatenate([np.arange(a, b) for a, b in cuts])
+            # A block can hold leaves of two trees, and so a row twice.
+            at = at[np.unique(rep[at], return_index=True)[1]]
             s = (x[at] @ y[i]) / (nx[at] * ny[i])
             best = np.lexsort((rep[at], -s))[:keep]
             out[0].append(np.full(len(best), query[i]))
