@@ -69,7 +69,10 @@ class Forest:
             return self._close(rows, tree)
         normal = (normal / size).astype("f4")
         p = x[rows] @ normal.astype("f8")
-        cut = float(np.median(p))
+        half = len(p) // 2
+        middle = np.partition(p, [half - 1, half])[[half - 1, half]]
+        # Between two members, so that rounding cannot move one across.
+        cut = float(middle.mean())
         lower = p < cut
         if lower.all() or not lower.any():
             return self._close(rows, tree)
