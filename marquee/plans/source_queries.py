@@ -166,6 +166,35 @@ def _(spark, d):
     return exports.normalise_imdb(_round_trip(spark, _imdb(spark, d)))
 
 
+_GOODREADS_ROWS = f"""SELECT 'goodreads' AS source, 'books' AS kind, {_T("CASE WHEN row_id % 7 = 0 THEN title || ', \"annotated\"' ELSE title END")} AS title,
+    {_T('creator')} AS creator, CAST(coalesce(nullif(year, 0), 2000 + row_id % 20) AS INTEGER) AS year, pages,
+    CASE WHEN row_id % 2 <> 0 THEN '978' || row_id WHEN row_id % 4 <> 0 THEN '0' || row_id ELSE '' END AS isbn,
+    nullif(my_rating, 0) AS my_rating, their_rating, status, ['list', CASE status WHEN 'done' THEN 'purchase' WHEN 'doing' THEN 'view' ELSE ev.event_type END] AS shelves
+    FROM lists JOIN events ev ON ev.event_id = row_id WHERE kind = 'books' AND title <> ''"""
+_FILM_ROWS = f"""SELECT 'letterboxd', 'movies', {_T('title')}, '', year, CAST(NULL AS DOUBLE), '', CASE WHEN row_id % 2 = 0 AND status = 'done' THEN my_rating END,
+    CAST(NULL AS DOUBLE), CASE WHEN row_id % 2 = 0 AND ((status = 'done' AND my_rating IS NOT NULL) OR row_id % 9 = 0) THEN 'done' ELSE 'todo' END, []
+    FROM lists WHERE kind = 'movies' AND title <> ''"""
+_RATING_ROWS = f"""SELECT 'imdb', 'movies', {_T("CASE WHEN row_id % 6 = 0 THEN title || ' (orig)' ELSE title END")}, {_T('creator')}, year, CAST(NULL AS DOUBLE), '',
+    CASE WHEN status = 'done' THEN my_rating END, their_rating, CASE WHEN status = 'done' AND my_rating IS NOT NULL THEN 'done' ELSE 'todo' END, []
+    FROM lists WHERE kind = 'shows' AND title <> ''"""
+
+
+@query("read_export", f"WITH {LISTS} {_GOODREADS_ROWS} UNION ALL {_FILM_ROWS} UNION ALL {_RATING_ROWS}")
+def _(spark, d):
+    """One folder: a book list with its columns the other way round and one more, a film diary, a
+    watchlist without ratings, a ratings list, and a file of no known service."""
+    base = fresh_path(spark, "mixed")
+    books = _goodreads(spark, d)
+    artefacts.write_csv(books.select(F.lit("yes").alias("Surplus"), *reversed(books.columns)), f"{base}/books")
+    films = _letterboxd(spark, d).withColumn("even", F.regexp_extract("Letterboxd URI", "([0-9]+)$", 1).cast("long") % 2 == 0)
+    diary = films.filter("even").withColumns({"Rewatch": F.lit("Yes"), "Tags": F.lit("a, b")})
+    artefacts.write_csv(diary.select("Date", "Name", "Year", "Letterboxd URI", "Rating", "Rewatch", "Tags", "Watched Date"), f"{base}/diary")
+    artefacts.write_csv(films.filter("not even").select("Date", "Name", "Year", "Letterboxd URI"), f"{base}/watchlist")
+    artefacts.write_csv(_imdb(spark, d), f"{base}/ratings")
+    artefacts.write_csv(list_rows(spark, d).select("row_id", "title"), f"{base}/other")
+    return exports.read_export(spark, f"{base}/*").drop("file")
+
+
 @query(
     "detect_source",
     """SELECT 'books' AS folder, 'goodreads' AS source UNION ALL SELECT 'films', 'letterboxd' UNION ALL SELECT 'ratings', 'imdb'

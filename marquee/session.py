@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -34,10 +37,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured."""
+    """The cluster's shared folder. Where none is set, a single process makes one of its own and
+    removes it at its end; executors on other machines would not see it, so elsewhere it is an error."""
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get(WORK_KEY, None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="marquee-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set(WORK_KEY, base)
     return base.rstrip("/")
 
@@ -64,7 +71,5 @@ def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Narrow rows over all cores, for work that is heavy per row; input that already comes in
-    enough partitions stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    """Narrow rows over all cores, for work that is heavy per row."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import clean_trailing, to_number, unwrap_excel
@@ -16,15 +18,56 @@ FILM_COLUMNS = ["Date", "Name", "Year", "Letterboxd URI", "Rating", "Watched Dat
 RATING_COLUMNS = ["Const", "Title Type", "Title", "Original Title", "Directors", "Year", "Your Rating", "IMDb Rating"]
 
 
-def read_export_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Real CSV: quotes, doubled quotes, embedded commas and line ends; cells trimmed,
-    short rows padded with empty text. A byte order mark is dropped by the reader."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+#: Cells of a record that are read; an export has about two dozen.
+MAX_COLUMNS = 96
+
+
+def _by_header(columns: list[str]):
+    """Batches of (file, cells) in file order -> one row per record, with its cells under the names in
+    the file's own first record. A name the file lacks gives empty text; of repeated names the last counts."""
+
+    def run(batches):
+        file, header = None, []
+        for batch in batches:
+            files = batch.column(0)
+            edges = pc.indices_nonzero(pc.not_equal(files[1:], files[:-1])).to_pylist() if batch.num_rows > 1 else []
+            cuts = [0, *[e + 1 for e in edges], batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b and files[a].as_py() != file:
+                    file = files[a].as_py()
+                    header = [(batch.column(i + 1)[a].as_py() or "").strip() for i in range(batch.num_columns - 1)]
+                    while header and not header[-1]:
+                        header.pop()
+                    a += 1
+                if a < b:
+                    at = {name: i + 1 for i, name in enumerate(header)}
+                    empty = pa.nulls(b - a, pa.string())
+                    got = [batch.column(at[c]).slice(a, b - a) if c in at else empty for c in columns]
+                    names = pa.array([header] * (b - a), pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([files.slice(a, b - a), names, *got], ["file", "header", *[f"v{i}" for i in range(len(columns))]])
+
+    return run
+
+
+def read_keyed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """file, header and the named columns of every record of the CSV files in a folder, whatever the
+    order of their columns. Real CSV: quotes, doubled quotes, embedded commas and line ends; cells
+    trimmed. A file is read once, by one task, and its first record stays with that task."""
+    cells = [f"c{i}" for i in range(MAX_COLUMNS)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
     raw = spark.read.schema(schema).csv(
-        path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True,
-        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, encoding="UTF-8",
+        path, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=True,
+        ignoreTrailingWhiteSpace=True, encoding="UTF-8",
     )
-    return raw.select(*[F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in columns])
+    names = [f"v{i}" for i in range(len(columns))]
+    kinds = "file string, header array<string>" + "".join(f", {n} string" for n in names)
+    keyed = raw.select(F.col("_metadata.file_path").alias("file"), *cells).mapInArrow(_by_header(columns), kinds)
+    return keyed.select("file", "header", *[F.trim(F.coalesce(n, F.lit(""))).alias(c) for n, c in zip(names, columns)])
+
+
+def read_export_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The named columns of the CSV files in a folder, by name; absent ones are empty text."""
+    return read_keyed(spark, path, columns).drop("file", "header")
 
 
 def detect_source(header: Column) -> Column:
@@ -38,12 +81,9 @@ def detect_source(header: Column) -> Column:
 
 
 def file_headers(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file with its first line split into column names."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("n"))
-    first = lines.groupBy("file").agg(F.min_by("value", "n").alias("line"))
-    clean = F.regexp_replace("line", "^﻿", "")
-    cells = F.transform(F.split(clean, ","), lambda c: F.trim(F.regexp_replace(c, '^"|"\r?$|\r$', "")))
-    return first.select("file", cells.alias("header")).withColumn("source", detect_source(F.col("header")))
+    """One row per file that has records: its column names and which service wrote it."""
+    seen = read_keyed(spark, path, []).dropDuplicates(["file"])
+    return seen.withColumn("source", detect_source(F.col("header")))
 
 
 def _text(name: str) -> Column:
@@ -55,16 +95,14 @@ def _positive(c: Column) -> Column:
     return F.nullif(c, F.lit(0.0))
 
 
-def _row(df: DataFrame, keep: list[str], **cols: Column) -> DataFrame:
+def _row(df: DataFrame, keep: list[str], cols: dict[str, Column]) -> DataFrame:
     return df.select(*keep, *[c.alias(n) for n, c in cols.items()]).filter(F.col("title") != "")
 
 
-def normalise_goodreads(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+def _goodreads() -> dict[str, Column]:
     shelf = F.lower(_text("Exclusive Shelf"))
     labels = F.filter(F.transform(F.split(_text("Bookshelves"), ","), lambda s: F.trim(s)), lambda s: s != "")
-    return _row(
-        df,
-        list(keep),
+    return dict(
         title=_text("Title"),
         creator=_text("Author"),
         year=F.coalesce(_positive(to_number(_text("Original Publication Year"))), to_number(_text("Year Published"))).cast("int"),
@@ -77,11 +115,9 @@ def normalise_goodreads(df: DataFrame, keep: list[str] = ()) -> DataFrame:
     )
 
 
-def normalise_letterboxd(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+def _letterboxd() -> dict[str, Column]:
     rating = to_number(_text("Rating"))
-    return _row(
-        df,
-        list(keep),
+    return dict(
         title=_text("Name"),
         creator=F.lit(""),
         year=to_number(_text("Year")).cast("int"),
@@ -94,10 +130,8 @@ def normalise_letterboxd(df: DataFrame, keep: list[str] = ()) -> DataFrame:
     )
 
 
-def normalise_imdb(df: DataFrame, keep: list[str] = ()) -> DataFrame:
-    return _row(
-        df,
-        list(keep),
+def _imdb() -> dict[str, Column]:
+    return dict(
         title=F.coalesce(F.nullif(_text("Title"), F.lit("")), _text("Original Title")),
         creator=_text("Directors"),
         year=to_number(_text("Year")).cast("int"),
@@ -110,6 +144,40 @@ def normalise_imdb(df: DataFrame, keep: list[str] = ()) -> DataFrame:
     )
 
 
+#: Service -> the kind of its items and its columns.
+SERVICES = {"goodreads": ("books", _goodreads), "letterboxd": ("movies", _letterboxd), "imdb": ("movies", _imdb)}
+
+
+def normalise_goodreads(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    return _row(df, list(keep), _goodreads())
+
+
+def normalise_letterboxd(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    return _row(df, list(keep), _letterboxd())
+
+
+def normalise_imdb(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    return _row(df, list(keep), _imdb())
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """Any mix of exports in a folder: file, source, kind and the normalised columns of every item.
+    A file is recognised by its column names; files of no known service give no rows."""
+    known = list(dict.fromkeys([*BOOK_COLUMNS, *FILM_COLUMNS, *RATING_COLUMNS]))
+    rows = read_keyed(spark, path, known).withColumn("source", detect_source(F.col("header"))).filter("source is not null")
+    parts = {name: (kind, cols()) for name, (kind, cols) in SERVICES.items()}
+
+    def pick(value):
+        out = F.when(F.lit(False), None)
+        for name, (kind, cols) in parts.items():
+            out = out.when(F.col("source") == name, value(kind, cols))
+        return out
+
+    columns = {"kind": pick(lambda kind, _: F.lit(kind))}
+    columns |= {c: pick(lambda _, cols, c=c: cols[c]) for c in _imdb()}
+    return _row(rows, ["file", "source"], columns)
+
+
 PASTED = r"^(.*?)[\s(]*((?:19|20)\d{2})\)?$"
 
 
@@ -118,9 +186,7 @@ def read_pasted(lines: DataFrame, line: str = "value", keep: list[str] = ()) ->
     s = F.trim(F.regexp_replace(F.col(line), "\r", ""))
     dated = s.rlike(PASTED)
     title = F.when(dated, F.regexp_extract(s, PASTED, 1)).otherwise(s)
-    return _row(
-        lines,
-        list(keep),
+    return _row(lines, list(keep), dict(
         title=clean_trailing(title),
         creator=F.lit(""),
         year=F.when(dated, F.nullif(F.regexp_extract(s, PASTED, 2), F.lit("")).try_cast("int")),
@@ -130,4 +196,4 @@ def read_pasted(lines: DataFrame, line: str = "value", keep: list[str] = ()) ->
         their_rating=F.lit(None).cast("double"),
         status=F.lit("todo"),
         shelves=F.array().cast("array<string>"),
-    )
+    ))

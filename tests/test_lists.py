@@ -134,3 +134,37 @@ def test_backlog(spark):
     assert (stats["total"], stats["considered"], stats["matched"], stats["timed"], stats["shown"]) == (7, 6, 3, 4, 2)
     empty = backlog.enrich(rows, cat.limit(0))
     assert empty.count() == 7 and empty.filter("in_catalogue").count() == 0
+
+
+def test_columns_go_by_name(spark):
+    """Reordered, missing and surplus columns; film diary, watchlist and ratings in one folder."""
+    from marquee.session import fresh_path
+
+    base = fresh_path(spark, "mixed")
+    files = {
+        "books": 'Title,Book Id,Author,Exclusive Shelf\n"Dune, again",7,Someone,read\nShort\n',
+        "diary": "\ufeffDate,Name,Year,Letterboxd URI,Rating,Rewatch,Tags,Watched Date\n2024-01-03,Seen,1999,u,,,,2024-01-02\n2024-01-04,Unseen,2001,u,,Yes,x,\n",
+        "watchlist": "Date,Name,Year,Letterboxd URI\n2024-01-03,Later,2010,u\n",
+        "ratings": "Your Rating,Title Type,Const,Title,Surplus\n8,movie,tt1,Rated,x\n,movie,tt2,Unrated,x\n",
+        "other": "a,b\n1,2\n",
+        "empty": "",
+    }
+    jvm = spark._jvm
+    for name, text in files.items():
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}.csv")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(text.encode()))
+        out.close()
+    rows = exports.read_export(spark, f"{base}/*.csv").collect()
+    got = {r["title"]: (r["source"], r["kind"], r["status"], r["my_rating"], r["creator"]) for r in rows}
+    assert got == {
+        "Dune, again": ("goodreads", "books", "done", None, "Someone"),
+        "Short": ("goodreads", "books", "todo", None, ""),
+        "Seen": ("letterboxd", "movies", "done", None, ""),
+        "Unseen": ("letterboxd", "movies", "todo", None, ""),
+        "Later": ("letterboxd", "movies", "todo", None, ""),
+        "Rated": ("imdb", "movies", "done", 8.0, ""),
+        "Unrated": ("imdb", "movies", "todo", None, ""),
+    }
+    headers = {r["file"].rsplit("/", 1)[1]: r["source"] for r in exports.file_headers(spark, f"{base}/*.csv").collect()}
+    assert headers == {"books.csv": "goodreads", "diary.csv": "letterboxd", "watchlist.csv": "letterboxd", "ratings.csv": "imdb", "other.csv": None}
