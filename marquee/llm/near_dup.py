@@ -13,9 +13,9 @@ the decision is exact. Links are closed to classes.
 
 Candidates without pairs of a whole group: a bucket of at most SMALL texts compares them with one another (a constant per
 text). A larger bucket is split by further sketches, twice. What is still large holds texts of one
-kind: there, every text meets the bucket's leader, in rounds with another leader each, and what the
-rounds leave in other classes than the bucket's largest meets the bucket's remaining texts. A pair
-is aligned once, and not if it is in one class already.
+kind: each of its texts meets LEADERS of them. Leaders are the texts with most copies, then the first in one order of all texts, so
+the buckets of one kind share them. Texts that are then in another class than most of their bucket meet
+MORE_LEADERS others. Work is in proportion to the texts; a pair is aligned once.
 
 Defined results: a null text is empty; texts without a word are copies if they are equal; texts of fewer words than K have one
 run; null ids stay in the result without a class (class_id null, kept); repeated rows are copies of
@@ -35,7 +35,8 @@ K = 5
 THRESHOLD = 0.8
 BANDS = 16
 SMALL = 16
-STAR_ROUNDS = 3
+LEADERS = 4
+MORE_LEADERS = 32
 
 SIGNATURE = "doc_id long, f1 long, f2 long, n_words long, bands array<long>"
 _U = np.uint64
@@ -180,32 +181,33 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
     return both.mapInArrow(_verify(k, threshold), "a long, b long")
 
 
-def close(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, comp): connected components. Every round each vertex joins the neighbour of the lowest
-    priority, links are renamed to the joined vertices, and loops and repetitions go; priorities
-    are drawn anew per round, so a chain shrinks by a constant factor as well."""
-    comp = vertices.select("rep", F.col("rep").alias("comp")).distinct()
-    left = materialise(links.select("a", "b").distinct(), "links")
+def close(links: DataFrame) -> DataFrame:
+    """(rep, comp) of all texts with a link: connected components. Every round each vertex joins the
+    neighbour of the lowest priority, links are renamed to the joined vertices, and loops and
+    repetitions go; priorities are drawn anew per round, so a chain shrinks by a constant factor as well."""
+    steps, left = [], links.select("a", "b")
     for step in range(200):
-        if left.isEmpty():
-            break
         ways = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)).alias("h"), F.col(c).alias("v"))
         joined = ways.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("v"), F.least("m", rank("a"))["v"].alias("to"))
-        joined = materialise(joined, "joined")
-        comp = materialise(
-            comp.join(joined.withColumnRenamed("v", "comp"), "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "comp"
-        )
-        ends = left.join(joined.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(joined.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
-        left = materialise(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
-    return comp
+        steps.append(materialise(joined, "joined"))
+        to = lambda end, name: steps[-1].select(F.col("v").alias(end), F.col("to").alias(name))
+        ends = left.join(to("a", "x"), "a").join(to("b", "y"), "b").filter("x <> y")
+        left = materialise(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        if left.isEmpty():
+            break
+    # From the last round back: where the vertices of a round end up.
+    ended = steps[-1]
+    for joined in reversed(steps[:-1]):
+        later = ended.select(F.col("v").alias("to"), F.col("to").alias("end"))
+        ended = joined.join(later, "to", "left").select("v", F.coalesce("end", "to").alias("to"))
+    return materialise(ended.select(F.col("v").alias("rep"), F.col("to").alias("comp")), "comp")
 
 
 def buckets_of(reps: DataFrame, small: int):
     """(small buckets, large buckets): rows (bucket, rep, n) of buckets with at least two texts.
 
-    Bucket keys are hashes of one sketch; keys of buckets above `small` are split by one more
-    sketch, in two ways each, twice.
+    Bucket keys are hashes of one sketch; buckets above `small` are split by one more sketch, twice.
     """
     bands = len(reps.first()["bands"])
     level = reps.filter("n > 0").select("rep", "n", F.posexplode("bands").alias("j", "s"))
@@ -219,7 +221,7 @@ def buckets_of(reps: DataFrame, small: int):
         large = level.filter(F.col("size") > small)
         if depth == 2:
             return few, large.select("bucket", "rep", "n")
-        level = large.select("rep", "n", "bucket", F.explode(F.array((F.col("j") + 1) % bands, (F.col("j") + 2) % bands)).alias("j"))
+        level = large.select("rep", "n", "bucket", ((F.col("j") + 1) % bands).alias("j"))
         level = level.join(reps.select("rep", "bands"), "rep").select(
             "rep", "n", "j", F.xxhash64("bucket", "j", F.element_at("bands", (F.col("j") + 1).cast("int"))).alias("bucket")
         )
@@ -232,7 +234,7 @@ def _ordered(frame: DataFrame, threshold: float) -> DataFrame:
 
 
 def link(reps: DataFrame, rows: DataFrame, k: int, threshold: float, small: int):
-    """(links, comp) of representatives (rep, n = runs, bands, copies); rows has the texts."""
+    """(links, comp of the linked ones or None) of representatives (rep, n = runs, bands, copies); rows has the texts."""
     few, large = buckets_of(reps, small)
     met = few.select("rep").unionByName(large.select("rep")).distinct().select(F.col("rep").alias("doc_id"))
     texts = materialise(rows.join(met.hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
@@ -241,39 +243,38 @@ def link(reps: DataFrame, rows: DataFrame, k: int, threshold: float, small: int)
     lists = few.groupBy("bucket").agg(F.collect_list(member).alias("ms"))
     each = lists.select(F.explode("ms").alias("x"), "ms").select("x", F.explode(F.filter("ms", lambda y: y["rep"] > F.col("x.rep"))).alias("y"))
     near = each.select(F.col("x.rep").alias("a"), F.col("x.n").alias("n"), F.col("y.rep").alias("b"), F.col("y.n").alias("m"))
-    links = materialise(verify(_ordered(near, threshold), texts, k, threshold), "near")
-    comp = close(reps, links)
-    if large.isEmpty():
+    found = near
+    some = not large.isEmpty()
+    if some:
+        large = materialise(large.join(reps.select("rep", "copies"), "rep"), "large")
+        found = near.unionByName(_with_leaders(large, large, LEADERS, 0))
+    pairs = materialise(_ordered(found, threshold), "pairs")
+    links = materialise(verify(pairs, texts, k, threshold), "near")
+    if links.isEmpty() or not some:
+        return links, None if links.isEmpty() else close(links)
+    comp = close(links)
+    here = large.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    main = here.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
+    apart = here.join(main, "bucket").filter("comp <> main")
+    more = _ordered(_with_leaders(apart, here, MORE_LEADERS, 1), threshold).join(pairs, ["a", "b"], "left_anti")
+    again = materialise(verify(more, texts, k, threshold), "near")
+    if again.isEmpty():
         return links, comp
-    large = materialise(large.join(reps.select("rep", "copies"), "rep"), "large")
-    tested = None
-    for step in range(STAR_ROUNDS + 1):
-        here = large.join(comp, "rep")
-        several = here.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket")
-        here = here.join(several, "bucket")
-        if step < STAR_ROUNDS:
-            # The leader is the text with most copies; later rounds take another one each.
-            rank = F.struct("copies", F.xxhash64("rep", F.lit(step)), "rep", "n", "comp") if step == 0 else F.struct(F.xxhash64("rep", F.lit(step)), "rep", "n", "comp")
-            lead = here.groupBy("bucket").agg(F.max(rank).alias("l")).select("bucket", F.col("l.rep").alias("b"), F.col("l.n").alias("m"), F.col("l.comp").alias("with"))
-            open_pairs = here.join(lead, "bucket").filter("comp <> with").select(F.col("rep").alias("a"), "n", "b", "m")
-        else:
-            counts = here.groupBy("bucket", "comp").count()
-            main = counts.groupBy("bucket").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
-            rest = here.join(main, "bucket")
-            few_rest = rest.filter("comp <> main").select("bucket", F.col("rep").alias("a"), "n", F.col("comp").alias("ca"))
-            open_pairs = few_rest.join(here.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), "comp"), "bucket").filter("ca <> comp")
-        pairs = _ordered(open_pairs, threshold)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty() and step == STAR_ROUNDS:
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        more = materialise(verify(pairs, texts, k, threshold), "near")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comp = close(reps, links)
-    return links, comp
+    links = links.unionByName(again)
+    return links, close(links)
+
+
+def _with_leaders(members: DataFrame, all_members: DataFrame, leaders: int, order: int) -> DataFrame:
+    """Each member of a bucket with the bucket's leaders: the one with most copies, then by the given order."""
+    rank = W.partitionBy("bucket").orderBy(F.xxhash64("rep", F.lit(order)), "rep")
+    first = all_members.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= leaders).select("bucket", "rep", "n")
+    most = all_members.groupBy("bucket").agg(F.max(F.struct("copies", F.xxhash64("rep").alias("h"), "rep", "n")).alias("l"))
+    lead = first.unionByName(most.select("bucket", "l.rep", "l.n")).distinct()
+    # At most leaders + 1 in a list; a member's buckets mostly name the same ones.
+    lists = lead.groupBy("bucket").agg(F.collect_list(F.struct("rep", "n")).alias("ls"))
+    met = members.join(lists, "bucket").groupBy("rep", "n").agg(F.array_distinct(F.flatten(F.collect_list("ls"))).alias("ls"))
+    met = met.select(F.col("rep").alias("a"), "n", F.explode("ls").alias("l"))
+    return met.select("a", "n", F.col("l.rep").alias("b"), F.col("l.n").alias("m"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, bands: int = BANDS, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,9 +292,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, b
     links, comp = link(reps, rows, k, threshold, small)
     ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     degree = ways.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    least = comp.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    classes = reps.select(*key, "rep", "copies").join(comp.join(least, "comp"), "rep").join(degree, "rep", "left")
-    classes = materialise(classes.select(*key, "class_id", F.col("copies").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    if comp is None:
+        comp = reps.select("rep", F.col("rep").alias("comp")).limit(0)
+    least = comp.groupBy("comp").agg(F.min("rep").alias("least"))
+    classes = reps.select(*key, "rep", "copies").join(comp.join(least, "comp").select("rep", "least"), "rep", "left").join(degree, "rep", "left")
+    classes = materialise(classes.select(*key, F.coalesce("least", "rep").alias("class_id"), F.col("copies").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
     out = named.select("doc_id", *key).join(classes, key).select("doc_id", "class_id", "n_copies", "n_links")
     none = F.lit(None).cast("long")
     return out.unionByName(signed.filter("doc_id is null").select("doc_id", none.alias("class_id"), none.alias("n_copies"), none.alias("n_links")))

@@ -80,11 +80,12 @@ def open_items(urls: DataFrame, items: DataFrame, url: str = "url") -> DataFrame
 
 
 def recent_items(uses: DataFrame, keep: int = fixed.RECENT_KEEP) -> DataFrame:
-    """Latest `keep` distinct items per user, newest first. `uses` has user_id, kind, item_id,
-    ts and event_id; each item counts once, at its last use."""
+    """Latest `keep` distinct items per user, newest first, and whether an item is among the few
+    that are shown. `uses` has user_id, kind, item_id, ts and event_id; each item counts once, at its last use."""
     last = uses.groupBy("user_id", "kind", "item_id").agg(F.max(F.struct("ts", "event_id")).alias("last"))
     flat = last.select("user_id", "kind", "item_id", F.col("last.ts").alias("ts"), F.col("last.event_id").alias("event_id"))
-    return top_per_group(flat, ["user_id"], [F.desc("ts"), F.desc("event_id")], keep)
+    kept = top_per_group(flat, ["user_id"], [F.desc("ts"), F.desc("event_id")], keep)
+    return kept.withColumn("shown", F.col("rank") <= fixed.RECENT_SHOW)
 
 
 def resolve_recents(recents: DataFrame, items: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from .matching import titles_agree, years_agree_strict
 from .sorting import top_per_group
 
 GAMES = "games"
-SAMPLES = {"corrected": 15, "year mismatch": 12, "title mismatch": 10, "not found": 10}
 
 
 def found_year(kind: Column) -> Column:
@@ -66,11 +65,13 @@ def reconcile_summary(verdicts: DataFrame) -> DataFrame:
 
 
 def sample_verdicts(verdicts: DataFrame) -> DataFrame:
-    """The first few of each verdict that a person should read."""
-    some = top_per_group(verdicts.filter(F.col("verdict").isin(list(SAMPLES))), ["kind", "verdict"], [F.asc("pos")], 15)
+    """The first few of each verdict that a person should read; films and series have shorter lists than games."""
+    most = max(n for sizes in (fixed.SAMPLES_GAMES, fixed.SAMPLES_SCREEN) for n in sizes.values())
+    some = top_per_group(verdicts.filter(F.col("verdict").isin(list(fixed.SAMPLES_GAMES))), ["kind", "verdict"], [F.asc("pos")], most)
     keep = F.lit(False)
-    for name, n in SAMPLES.items():
-        keep = keep | ((F.col("verdict") == name) & (F.col("rank") <= n))
+    for sizes, mine in ((fixed.SAMPLES_GAMES, F.col("kind") == GAMES), (fixed.SAMPLES_SCREEN, F.col("kind") != GAMES)):
+        for name, n in sizes.items():
+            keep = keep | (mine & (F.col("verdict") == name) & (F.col("rank") <= n))
     return some.filter(keep)
 
 

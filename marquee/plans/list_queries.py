@@ -198,8 +198,9 @@ def _(spark, d):
 @query(
     "sample_verdicts",
     f"""WITH {VERDICTS}, r AS (SELECT kind, pos, title, verdict, row_number() OVER (PARTITION BY kind, verdict ORDER BY pos) AS rank FROM verdicts)
-    SELECT * FROM r WHERE (verdict = 'corrected' AND rank <= 15) OR (verdict = 'year mismatch' AND rank <= 12)
-      OR (verdict IN ('title mismatch', 'not found') AND rank <= 10)""",
+    SELECT * FROM r WHERE (verdict = 'corrected' AND rank <= CASE kind WHEN 'games' THEN 15 ELSE 12 END)
+      OR (verdict = 'year mismatch' AND rank <= CASE kind WHEN 'games' THEN 12 ELSE 10 END)
+      OR (verdict IN ('title mismatch', 'not found') AND rank <= CASE kind WHEN 'games' THEN 10 ELSE 6 END)""",
 )
 def _(spark, d):
     return rec.sample_verdicts(_verdicts(spark, d)).select("kind", "pos", "title", "verdict", "rank")

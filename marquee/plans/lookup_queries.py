@@ -140,14 +140,14 @@ def _(spark, d):
     "recent_items",
     """WITH u AS (SELECT user_id, event_type AS kind, json_extract_string(props, '$.k') AS item_id, ts, event_id FROM events),
     l AS (SELECT user_id, kind, item_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM u GROUP BY 1, 2, 3)
-    SELECT user_id, kind, item_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank
+    SELECT user_id, kind, item_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank, rank <= 5 AS shown
     FROM l QUALIFY rank <= 8""",
 )
 def _(spark, d):
     uses = read_table(spark, d, "events").select(
         "user_id", F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").alias("item_id"), "ts", "event_id"
     )
-    return lookups.recent_items(uses).select("user_id", "kind", "item_id", "event_id", "rank")
+    return lookups.recent_items(uses).select("user_id", "kind", "item_id", "event_id", "rank", "shown")
 
 
 @query(
