@@ -63,14 +63,16 @@ def attribute_rows(items: DataFrame) -> DataFrame:
 
 def compare(items: DataFrame) -> DataFrame:
     """Trays of two to four items side by side; the best value of a row is flagged unless all
-    values tie. A tray holds at most four items, so every window is tiny."""
+    values tie. A tray holds at most four items, so every window is tiny; a fuller one is an error."""
     tray = Window.partitionBy("tray")
     row = Window.partitionBy("tray", "attribute")
     known = F.count("num").over(row)
     top, low = F.max("num").over(row), F.min("num").over(row)
+    full = F.raise_error(F.concat(F.lit("a tray holds more than "), F.lit(str(fixed.COMPARE_MAX)), F.lit(" items"))).cast("boolean")
+    fits = F.when(F.col("_n") > fixed.COMPARE_MAX, full).otherwise(True)
     wins = (known >= 2) & (top != low) | (known == 1)
     return (
-        attribute_rows(items.withColumn("_n", F.count("*").over(tray)).filter("_n >= 2").drop("_n"))
+        attribute_rows(items.withColumn("_n", F.count("*").over(tray)).filter((F.col("_n") >= 2) & fits).drop("_n"))
         .withColumn("best", F.coalesce(wins & (F.col("num") == top), F.lit(False)))
         .drop("num")
     )
@@ -103,7 +105,8 @@ def relaxation_counts(items: DataFrame, view: View, floors: list[float], flags:
     `flags` adds the status and favourite controls as boolean columns, and may replace a
     control by a column computed before (the text search, so that texts stay out of joins).
     Suggestions without a
-    row are dropped; the first two are what a user sees."""
+    row are dropped; the first two are what a user sees (`picked`). `floor` is the score that the first
+    control would be lowered to."""
     p = {**view.predicates(), **flags}
 
     def without(name: str) -> Column:
@@ -119,11 +122,14 @@ def relaxation_counts(items: DataFrame, view: View, floors: list[float], flags:
         score_floor_ladder(view, floors, without("min")).alias("_min"),
         *[F.count_if(without(n)).alias(n) for n in named],
     )
-    rows = [F.struct(F.lit(0).alias("place"), F.lit("min").alias("control"), F.col("_min.n").alias("n"))]
+    none = F.lit(None).cast("double")
+    rows = [F.struct(F.lit(0).alias("place"), F.lit("min").alias("control"), F.col("_min.n").alias("n"), F.col("_min.value").alias("floor"))]
     rows += [
-        F.struct(F.lit(order.index(n)).alias("place"), F.lit(n).alias("control"), F.col(n).alias("n")) for n in named
+        F.struct(F.lit(order.index(n)).alias("place"), F.lit(n).alias("control"), F.col(n).alias("n"), none.alias("floor")) for n in named
     ]
-    return counts.select(F.inline(F.array(*rows))).filter(F.col("n") > 0)
+    offered = F.filter(F.array(*rows), lambda r: r["n"] > 0)
+    picked = F.transform(offered, lambda r, i: F.struct(r["place"].alias("place"), r["control"].alias("control"), r["n"].alias("n"), r["floor"].alias("floor"), (i < 2).alias("picked")))
+    return counts.select(F.inline(picked))
 
 
 def personal_columns(items: DataFrame, done: DataFrame, favourites: DataFrame) -> DataFrame:

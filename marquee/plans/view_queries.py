@@ -393,16 +393,17 @@ _LADDER = " ".join(
     f"WHEN count(*) FILTER ({_without('min')} AND {BEST} >= {f}) > 0 THEN count(*) FILTER ({_without('min')} AND {BEST} >= {f})"
     for f in (90, 80, 70, 60, 0)
 )
+_FLOOR = " ".join(f"WHEN count(*) FILTER ({_without('min')} AND {BEST} >= {f}) > 0 THEN {f}" for f in (90, 80, 70, 60, 0))
 
 
 @query(
     "relaxation_counts",
-    f"""WITH {_PERSONAL}, c AS (SELECT CASE {_LADDER} END AS mn, count(*) FILTER ({_without('years')}) AS ye,
+    f"""WITH {_PERSONAL}, c AS (SELECT CASE {_LADDER} END AS mn, CASE {_FLOOR} END AS fl, count(*) FILTER ({_without('years')}) AS ye,
       count(*) FILTER ({_without('genres')}) AS ge, count(*) FILTER ({_without('status')}) AS st,
       count(*) FILTER ({_without('fav')}) AS fa, count(*) FILTER ({_without('search')}) AS se FROM pers)
-    SELECT * FROM (SELECT 0 AS place, 'min' AS control, mn AS n FROM c UNION ALL SELECT 1, 'years', ye FROM c
-      UNION ALL SELECT 2, 'genres', ge FROM c UNION ALL SELECT 3, 'status', st FROM c
-      UNION ALL SELECT 4, 'fav', fa FROM c UNION ALL SELECT 5, 'search', se FROM c) WHERE n > 0""",
+    SELECT *, row_number() OVER (ORDER BY place) <= 2 AS picked FROM (SELECT 0 AS place, 'min' AS control, mn AS n, CAST(fl AS DOUBLE) AS floor FROM c
+      UNION ALL SELECT 1, 'years', ye, NULL FROM c UNION ALL SELECT 2, 'genres', ge, NULL FROM c UNION ALL SELECT 3, 'status', st, NULL FROM c
+      UNION ALL SELECT 4, 'fav', fa, NULL FROM c UNION ALL SELECT 5, 'search', se, NULL FROM c) WHERE n > 0""",
 )
 def _(spark, d):
     searched = texts(spark, d).withColumn("hit", TIGHT.predicates()["search"]).drop("blurb")  # no text is shuffled
