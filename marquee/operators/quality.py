@@ -165,7 +165,19 @@ def fingerprint(rows: DataFrame, id_col: str, content: Column, volatile: str | N
     return level.select(F.substring("_h", 1, digits).alias("fingerprint"))
 
 
-def is_current(fresh: DataFrame, previous: str) -> bool:
-    """Whether a new fingerprint equals the stored one, so that nothing need be published."""
-    row = fresh.first()
-    return bool(row) and row["fingerprint"] == previous
+def inputs_fingerprint(inputs: list[tuple[str, DataFrame]], digits: int = 10) -> DataFrame:
+    """One fingerprint over several inputs in the given order: their names and their own full
+    fingerprints (frames of one row from fingerprint(..., digits=64)); an input without rows counts by its name."""
+    parts = None
+    for place, (name, own) in enumerate(inputs):
+        one = own.agg(F.max("fingerprint").alias("own")).select(F.lit(place).alias("place"), F.lit(name).alias("name"), F.coalesce("own", F.lit("")).alias("own"))
+        parts = one if parts is None else parts.unionByName(one)
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("place", "name", "own"))), lambda s: F.concat(s["name"], F.lit(":"), s["own"]))
+    return parts.agg(F.substring(F.sha2(F.array_join(joined, "|"), 256), 1, digits).alias("fingerprint"))
+
+
+def publish(fresh: DataFrame, previous: DataFrame) -> DataFrame:
+    """fingerprint and published: false where the stored fingerprint (a frame of at most one row) is
+    the same, so that nothing need be written."""
+    old = previous.agg(F.max("fingerprint").alias("_old"))
+    return side_by_side(fresh, old).select("fingerprint", (~F.col("fingerprint").eqNullSafe(F.col("_old"))).alias("published"))
