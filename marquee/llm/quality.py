@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import mix, slices, word_hashes
+from .words import BYTE, PLACE, mix, slices, word_hashes
 
 WORDS = 1024
 SHAPES = 512
@@ -57,6 +57,11 @@ for _kind, _chars in ((4, b" \t\r"), (5, b"\n"), (6, b".,;:!?'\"()-"), (7, b"#$%
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:] = 1, 2, 3, 1
 
 
+_FUNCTION = word_hashes(pa.array([" ".join(FUNCTION_WORDS)]))[0]
+_FUNCTION_BITS = np.zeros(1 << 16, bool)
+_FUNCTION_BITS[_FUNCTION & np.uint64(0xFFFF)] = True
+
+
 def traits(part: pa.RecordBatch):
     """(word hashes, bounds, kinds of bytes, byte bounds, traits by name) of a slice of texts."""
     col = part.column("text")
@@ -71,11 +76,11 @@ def traits(part: pa.RecordBatch):
     share = lambda hit: np.bincount(doc[hit], minlength=len(col))
     of_word = np.repeat(np.arange(len(col)), np.diff(bounds))
 
-    key = words ^ mix(of_word.astype("u8") + np.uint64(5))
-    order = np.argsort(key, kind="stable")
+    # Text number in the high bits, 40 bits of the word below: equal words of a text become neighbours.
+    key = np.sort(of_word.astype("u8") << np.uint64(40) | words >> np.uint64(24))
     new = np.ones(len(key), bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    n_distinct = np.bincount(of_word[order][new], minlength=len(col))
+    new[1:] = key[1:] != key[:-1]
+    n_distinct = np.bincount((key[new] >> np.uint64(40)).astype("i8"), minlength=len(col))
     # Lines: sums of placed bytes between line ends.
     starts = np.flatnonzero(np.append(True, raw[:-1] == 10)) if len(raw) else np.zeros(0, "i8")
     starts = np.union1d(starts, off[:-1][np.diff(off) > 0])
@@ -83,11 +88,14 @@ def traits(part: pa.RecordBatch):
     line_doc = doc[starts] if len(raw) else np.zeros(0, "i8")
     if len(raw):
         place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
-        line = mix(np.add.reduceat(mix(raw.astype("u8") + place.astype("u8") * np.uint64(257)), starts)) ^ mix(line_doc.astype("u8") + np.uint64(3))
+        line = np.add.reduceat(BYTE[raw] * PLACE[place & (len(PLACE) - 1)], starts) ^ mix(line_doc.astype("u8") + np.uint64(3))
     _, first = np.unique(line, return_index=True)
     n_lines = np.bincount(line_doc, minlength=len(col))
     different = np.bincount(line_doc[first], minlength=len(col))
-    function = np.isin(words, _function_hashes())
+    # Few words pass a look at 16 of their bits; those are compared whole.
+    maybe = np.flatnonzero(_FUNCTION_BITS[words & np.uint64(0xFFFF)])
+    function = np.zeros(len(words), bool)
+    function[maybe] = np.isin(words[maybe], _FUNCTION)
     got = {
         "symbols": share(kind == 7) / size,
         "distinct": n_distinct / n,
@@ -100,10 +108,6 @@ def traits(part: pa.RecordBatch):
     return words, bounds, kind, off, got
 
 
-def _function_hashes():
-    return word_hashes(pa.array([" ".join(FUNCTION_WORDS)]))[0]
-
-
 def votes(got: dict, n_words: np.ndarray) -> np.ndarray:
     """Pattern of each text: base three, 0 no vote, 1 bad, 2 good. Texts of under ten words get votes on characters only."""
     pattern = np.zeros(len(n_words), "i8")
@@ -125,30 +129,29 @@ def _patterns(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(votes(got, np.diff(bounds)))], ["doc_id", "h", "pattern"])
 
 
-def vectors(part: pa.RecordBatch) -> np.ndarray:
-    """Texts x WIDTH: hashed features; each family is scaled by itself."""
+def vectors(part: pa.RecordBatch):
+    """(texts x WIDTH hashed features, words per text); each family of features is scaled by itself."""
     words, bounds, kind, off, got = traits(part)
     rows = part.num_rows
     of_word = np.repeat(np.arange(rows), np.diff(bounds))
     a = np.bincount(of_word * WORDS + (words >> np.uint64(50)).astype("i8") % WORDS, minlength=rows * WORDS).reshape(rows, WORDS)
     a = np.sqrt(a / np.maximum(np.diff(bounds), 1)[:, None])
-    doc = np.repeat(np.arange(rows), np.diff(off))
-    three = np.zeros(len(kind), "i8")
+    doc = np.repeat(np.arange(rows, dtype="i4") * SHAPES, np.diff(off))
     if len(kind) > 2:
-        three[2:] = kind[2:].astype("i8") * 64 + kind[1:-1] * 8 + kind[:-2]
-    b = np.bincount(doc * SHAPES + three, minlength=rows * SHAPES).reshape(rows, SHAPES)
+        doc[2:] += (kind[2:].astype("i4") << 6) | (kind[1:-1].astype("i4") << 3) | kind[:-2]
+    b = np.bincount(doc, minlength=rows * SHAPES).reshape(rows, SHAPES)
     b = np.sqrt(b / np.maximum(np.diff(off), 1)[:, None])
     c = np.zeros((rows, TRAITS))
     for j, (_, trait, *_rest) in enumerate(LABELLERS):
         step = np.minimum((np.minimum(got[trait], 1.0) * 40).astype("i8"), 40)
         c[np.arange(rows), j * 41 + step] = 0.5
-    return np.hstack([0.3 * a, b, c]).astype("f4")
+    return np.hstack([0.3 * a, b, c]).astype("f4"), np.diff(bounds)
 
 
 def _examples(batches):
     for batch in batches:
         for part in slices(batch, "text"):
-            x = vectors(part).astype("<f2")
+            x = vectors(part)[0].astype("<f2")
             yield pa.RecordBatch.from_arrays([part.column("h"), part.column("pattern"), pa.array([r.tobytes() for r in x], pa.binary())], ["h", "pattern", "x"])
 
 
@@ -195,8 +198,8 @@ def _score(shared):
         w, b = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                s = 1 / (1 + np.exp(-np.clip(vectors(part) @ w + b, -30, 30)))
-                s = np.where(np.diff(word_hashes(part.column("text"))[1]) > 0, s, 0.0)
+                x, n_words = vectors(part)
+                s = np.where(n_words > 0, 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(s.astype("f8"))], ["doc_id", "h", "score"])
 
     return run

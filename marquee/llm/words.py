@@ -32,9 +32,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-_BYTE = mix(np.arange(1, 257, dtype="u8") * _U(0x9E3779B97F4A7C15))
+BYTE = mix(np.arange(1, 257, dtype="u8") * _U(0x9E3779B97F4A7C15))
 _PLACES = 1 << 16
-_PLACE = mix(np.arange(7, 7 + _PLACES, dtype="u8")) | _U(1)
+PLACE = mix(np.arange(7, 7 + _PLACES, dtype="u8")) | _U(1)
 
 
 def _flat(texts: pa.Array):
@@ -84,8 +84,8 @@ def word_hashes(texts: pa.Array):
     lengths = np.diff(np.append(starts, len(raw)))
     place = np.arange(starts[0], len(raw), dtype="i4" if len(raw) < 1 << 31 else "i8")
     place -= np.repeat(starts.astype(place.dtype), lengths)
-    part = _BYTE[raw[starts[0] :]]
-    part *= _PLACE[place & (_PLACES - 1)]
+    part = BYTE[raw[starts[0] :]]
+    part *= PLACE[place & (_PLACES - 1)]
     part *= word[starts[0] :]
     return mix(np.add.reduceat(part, starts - starts[0])), bounds
 
@@ -112,5 +112,5 @@ def shingles(words: np.ndarray, off: np.ndarray, k: int):
     for j in range(k):
         here = at + j
         inside = here < end
-        total += np.where(inside, words[np.minimum(here, max(len(words) - 1, 0))], _U(0)) * _PLACE[j + 11] if len(words) else 0
+        total += np.where(inside, words[np.minimum(here, max(len(words) - 1, 0))], _U(0)) * PLACE[j + 11] if len(words) else 0
     return mix(total), out
