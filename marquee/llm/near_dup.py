@@ -36,7 +36,7 @@ THRESHOLD = 0.8
 BANDS = 16
 SMALL = 16
 LEADERS = 4
-MORE_LEADERS = 32
+MORE_LEADERS = 96
 
 SIGNATURE = "doc_id long, f1 long, f2 long, n_words long, bands array<long>"
 _U = np.uint64
