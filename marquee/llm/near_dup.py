@@ -12,10 +12,13 @@ verified by an alignment in the band of diagonals that a similarity of THRESHOLD
 the decision is exact. Links are closed to classes.
 
 Candidates without pairs of a whole group: a bucket of at most SMALL texts compares them with one another (a constant per
-text). A larger bucket is split by further sketches, twice. What is still large holds texts of one
-kind: each of its texts meets LEADERS of them. Leaders are the texts with most copies, then the first in one order of all texts, so
-the buckets of one kind share them. Texts that are then in another class than most of their bucket meet
-MORE_LEADERS others. Work is in proportion to the texts; a pair is aligned once.
+text). Texts of larger buckets are first linked cheaply: buckets are split by further sketches, twice, and
+each text of a bucket that stays large meets LEADERS of it. Leaders are the texts with most copies, then the
+first in one order of all texts, so the buckets of one kind share them.
+An exact rest follows: similar texts have a run in common among the rarest of both, at a place from which on enough
+runs are left (prefix and position filter over labelled runs), so all pairs of texts of large buckets
+that have such a run and are in two classes are aligned. No similar pair of them is left out; only the
+texts apart from the main class of a run make pairs. A pair is aligned once.
 
 Defined results: a null text is empty; texts without a word are copies if they are equal; texts of fewer words than K have one
 run; null ids stay in the result without a class (class_id null, kept); repeated rows are copies of
@@ -36,7 +39,6 @@ THRESHOLD = 0.8
 BANDS = 16
 SMALL = 16
 LEADERS = 4
-MORE_LEADERS = 96
 
 SIGNATURE = "doc_id long, f1 long, f2 long, n_words long, bands array<long>"
 _U = np.uint64
@@ -205,22 +207,25 @@ def close(links: DataFrame) -> DataFrame:
 
 
 def buckets_of(reps: DataFrame, small: int):
-    """(small buckets, large buckets): rows (bucket, rep, n) of buckets with at least two texts.
+    """(small buckets, large buckets, crowd): rows (bucket, rep, n) of buckets with at least two texts, and
+    the (rep) of all texts that were in a large bucket before any split.
 
     Bucket keys are hashes of one sketch; buckets above `small` are split by one more sketch, twice.
     """
     bands = len(reps.first()["bands"])
     level = reps.filter("n > 0").select("rep", "n", F.posexplode("bands").alias("j", "s"))
     level = level.select("rep", "n", "j", F.xxhash64("j", "s").alias("bucket"))
-    few = None
+    few = crowd = None
     for depth in range(3):
         sizes = level.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
         level = materialise(level.join(sizes, "bucket"), "buckets")
         part = level.filter(F.col("size") <= small).select("bucket", "rep", "n")
         few = part if few is None else few.unionByName(part)
         large = level.filter(F.col("size") > small)
+        if depth == 0:
+            crowd = materialise(large.select("rep").distinct(), "crowd")
         if depth == 2:
-            return few, large.select("bucket", "rep", "n")
+            return few, large.select("bucket", "rep", "n"), crowd
         level = large.select("rep", "n", "bucket", ((F.col("j") + 1) % bands).alias("j"))
         level = level.join(reps.select("rep", "bands"), "rep").select(
             "rep", "n", "j", F.xxhash64("bucket", "j", F.element_at("bands", (F.col("j") + 1).cast("int"))).alias("bucket")
@@ -235,8 +240,8 @@ def _ordered(frame: DataFrame, threshold: float) -> DataFrame:
 
 def link(reps: DataFrame, rows: DataFrame, k: int, threshold: float, small: int):
     """(links, comp of the linked ones or None) of representatives (rep, n = runs, bands, copies); rows has the texts."""
-    few, large = buckets_of(reps, small)
-    met = few.select("rep").unionByName(large.select("rep")).distinct().select(F.col("rep").alias("doc_id"))
+    few, large, crowd = buckets_of(reps, small)
+    met = few.select("rep").unionByName(crowd).distinct().select(F.col("rep").alias("doc_id"))
     texts = materialise(rows.join(met.hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
     member = F.struct("rep", "n")
     # At most `small` texts in a bucket: their pairs are a constant per text.
@@ -247,28 +252,67 @@ def link(reps: DataFrame, rows: DataFrame, k: int, threshold: float, small: int)
     some = not large.isEmpty()
     if some:
         large = materialise(large.join(reps.select("rep", "copies"), "rep"), "large")
-        found = near.unionByName(_with_leaders(large, large, LEADERS, 0))
+        found = near.unionByName(_with_leaders(large, LEADERS))
     pairs = materialise(_ordered(found, threshold), "pairs")
     links = materialise(verify(pairs, texts, k, threshold), "near")
-    if links.isEmpty() or not some:
-        return links, None if links.isEmpty() else close(links)
-    comp = close(links)
-    here = large.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    main = here.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
-    apart = here.join(main, "bucket").filter("comp <> main")
-    more = _ordered(_with_leaders(apart, here, MORE_LEADERS, 1), threshold).join(pairs, ["a", "b"], "left_anti")
-    again = materialise(verify(more, texts, k, threshold), "near")
+    comp = None if links.isEmpty() else close(links)
+    if crowd.isEmpty():
+        return links, comp
+    rest = rest_pairs(texts.join(crowd, "rep", "left_semi"), comp, k, threshold).join(pairs, ["a", "b"], "left_anti")
+    again = materialise(verify(materialise(rest, "rest"), texts, k, threshold), "near")
     if again.isEmpty():
         return links, comp
     links = links.unionByName(again)
     return links, close(links)
 
 
-def _with_leaders(members: DataFrame, all_members: DataFrame, leaders: int, order: int) -> DataFrame:
-    """Each member of a bucket with the bucket's leaders: the one with most copies, then by the given order."""
-    rank = W.partitionBy("bucket").orderBy(F.xxhash64("rep", F.lit(order)), "rep")
-    first = all_members.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= leaders).select("bucket", "rep", "n")
-    most = all_members.groupBy("bucket").agg(F.max(F.struct("copies", F.xxhash64("rep").alias("h"), "rep", "n")).alias("l"))
+def _labelled_runs(k: int):
+    """Texts -> their runs, told apart by their number of earlier occurrences; t tells apart texts of one id."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, off = word_hashes(part.column("text"))
+                runs, at = shingles(words, off, k)
+                n = np.diff(at)
+                cols = [np.repeat(part.column(c).to_numpy(), n) for c in ("rep", "t")]
+                cols += [np.repeat(n, n), occurrence_labels(runs, at).view("i8")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rep", "t", "n", "run"])
+
+    return run
+
+
+def rest_pairs(texts: DataFrame, comp: DataFrame | None, k: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of the texts that can be similar and are in two classes, smaller id first, once each.
+
+    Two similar texts have at least threshold * (n + m) / (1 + threshold) labelled runs in common. In one order of
+    all runs, rare ones first, that many are left from the first common one on in both of them.
+    """
+    texts = texts.withColumn("t", F.xxhash64("text")).dropDuplicates(["rep", "t"])
+    runs = materialise(texts.select("rep", "t", "text").mapInArrow(_labelled_runs(k), "rep long, t long, n long, run long"), "runs")
+    # Runs of one text only come first in its order and match nothing.
+    often = runs.groupBy("run").agg(F.count("*").alias("freq")).filter("freq > 1")
+    back = W.partitionBy("rep", "t").orderBy(F.desc("freq"), F.desc("run"))
+    ranked = runs.join(often, "run").withColumn("left", F.row_number().over(back)).filter(F.col("left") >= F.col("n") * threshold - 1e-6)
+    if comp is None:
+        prefix = ranked.withColumn("comp", F.col("rep"))
+    else:
+        prefix = ranked.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    prefix = materialise(prefix.select("run", "rep", "n", "left", "comp"), "prefix")
+    kinds = prefix.groupBy("run", "comp").count().groupBy("run").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("kinds"))
+    here = materialise(prefix.join(kinds.filter("kinds > 1"), "run"), "here")
+    other = here.select("run", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("left").alias("left_b"), F.col("comp").alias("comp_b"))
+    x = here.filter("comp <> main").withColumnRenamed("rep", "a")
+    need = (F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - 1e-6
+    both = x.join(other, (x["run"] == other["run"]) & (F.col("comp") != F.col("comp_b")) & (F.least("left", "left_b") >= need))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _with_leaders(members: DataFrame, leaders: int) -> DataFrame:
+    """Each member of a bucket with the bucket's leaders: the one with most copies, then by one order of all texts."""
+    rank = W.partitionBy("bucket").orderBy(F.xxhash64("rep", F.lit(0)), "rep")
+    first = members.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= leaders).select("bucket", "rep", "n")
+    most = members.groupBy("bucket").agg(F.max(F.struct("copies", F.xxhash64("rep").alias("h"), "rep", "n")).alias("l"))
     lead = first.unionByName(most.select("bucket", "l.rep", "l.n")).distinct()
     # At most leaders + 1 in a list; a member's buckets mostly name the same ones.
     lists = lead.groupBy("bucket").agg(F.collect_list(F.struct("rep", "n")).alias("ls"))

@@ -119,6 +119,23 @@ def test_a_large_group_of_near_copies(spark):
     assert got == plain_classes(rows)
 
 
+def links_of(spark, bands, n=60, pairs=20):
+    """Links of texts with given sketches, of which the first 2 * pairs are twins with one other word."""
+    rng = random.Random(11)
+    texts = [prose(rng, 60) for _ in range(n)]
+    for i in range(pairs):
+        texts[2 * i + 1] = texts[2 * i][:30] + ["other"] + texts[2 * i][31:]
+    reps = spark.createDataFrame([(i, 56, bands(i), 1) for i in range(n)], "rep long, n long, bands array<long>, copies long")
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    links, _ = near_dup.link(reps, rows, 5, 0.8, 16)
+    return {(r["a"], r["b"]) for r in links.collect()}
+
+
+def test_links_of_no_leader_are_found(spark):
+    """All texts are in one bucket in every band: most twins are no leaders."""
+    assert links_of(spark, lambda i: list(range(16)), n=200) == {(2 * i, 2 * i + 1) for i in range(20)}
+
+
 def test_near_copies_edges(spark):
     rows = frame(spark, [(7, "p q r s t u"), (7, "p q r s t u"), (3, "p q r s t u"), (None, "p q r s t u")])
     got = sorted((str(r["doc_id"]), r["class_id"], r["n_copies"]) for r in near_dup.near_duplicates(rows).collect())
