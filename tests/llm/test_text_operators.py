@@ -136,6 +136,11 @@ def test_links_of_no_leader_are_found(spark):
     assert links_of(spark, lambda i: list(range(16)), n=200) == {(2 * i, 2 * i + 1) for i in range(20)}
 
 
+def test_links_in_one_large_bucket_are_found(spark):
+    """The only equal sketch of all twins is in a large bucket, whose splits leave each text alone."""
+    assert links_of(spark, lambda i: [0] + [100 * i + j for j in range(1, 16)]) == {(2 * i, 2 * i + 1) for i in range(20)}
+
+
 def test_near_copies_edges(spark):
     rows = frame(spark, [(7, "p q r s t u"), (7, "p q r s t u"), (3, "p q r s t u"), (None, "p q r s t u")])
     got = sorted((str(r["doc_id"]), r["class_id"], r["n_copies"]) for r in near_dup.near_duplicates(rows).collect())
