@@ -322,7 +322,7 @@ def _with_leaders(members: DataFrame, leaders: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, bands: int = BANDS, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (smallest id of the class), n_copies (rows with the same words), n_links (similar other texts) per row."""
+    """doc_id, class_id (smallest id of the class), n_copies (rows with the same words) per row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     signed = materialise(rows.mapInArrow(_signatures(k, bands), SIGNATURE), "signatures")
     key = ["f1", "f2", "n_words"]
@@ -332,15 +332,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, b
     reps = materialise(reps.withColumn("n", runs), "reps")
     if reps.isEmpty():
         none = F.lit(None).cast("long")
-        return signed.select("doc_id", none.alias("class_id"), none.alias("n_copies"), none.alias("n_links"))
-    links, comp = link(reps, rows, k, threshold, small)
-    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    degree = ways.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
+        return signed.select("doc_id", none.alias("class_id"), none.alias("n_copies"))
+    _, comp = link(reps, rows, k, threshold, small)
     if comp is None:
         comp = reps.select("rep", F.col("rep").alias("comp")).limit(0)
     least = comp.groupBy("comp").agg(F.min("rep").alias("least"))
-    classes = reps.select(*key, "rep", "copies").join(comp.join(least, "comp").select("rep", "least"), "rep", "left").join(degree, "rep", "left")
-    classes = materialise(classes.select(*key, F.coalesce("least", "rep").alias("class_id"), F.col("copies").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    out = named.select("doc_id", *key).join(classes, key).select("doc_id", "class_id", "n_copies", "n_links")
+    classes = reps.select(*key, "rep", "copies").join(comp.join(least, "comp").select("rep", "least"), "rep", "left")
+    classes = materialise(classes.select(*key, F.coalesce("least", "rep").alias("class_id"), F.col("copies").alias("n_copies")), "classes")
+    out = named.select("doc_id", *key).join(classes, key).select("doc_id", "class_id", "n_copies")
     none = F.lit(None).cast("long")
-    return out.unionByName(signed.filter("doc_id is null").select("doc_id", none.alias("class_id"), none.alias("n_copies"), none.alias("n_links")))
+    return out.unionByName(signed.filter("doc_id is null").select("doc_id", none.alias("class_id"), none.alias("n_copies")))

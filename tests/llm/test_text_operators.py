@@ -141,6 +141,12 @@ def test_links_in_one_large_bucket_are_found(spark):
     assert links_of(spark, lambda i: [0] + [100 * i + j for j in range(1, 16)]) == {(2 * i, 2 * i + 1) for i in range(20)}
 
 
+def test_only_exact_counts(spark):
+    """Links are tested until classes are known, not all of them, so no number of links is given."""
+    rows = frame(spark, [(1, "p q r s t u")])
+    assert near_dup.near_duplicates(rows).columns == near_dup.near_duplicates(rows.limit(0)).columns == ["doc_id", "class_id", "n_copies"]
+
+
 def test_near_copies_edges(spark):
     rows = frame(spark, [(7, "p q r s t u"), (7, "p q r s t u"), (3, "p q r s t u"), (None, "p q r s t u")])
     got = sorted((str(r["doc_id"]), r["class_id"], r["n_copies"]) for r in near_dup.near_duplicates(rows).collect())
