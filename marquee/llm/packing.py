@@ -3,12 +3,12 @@
 Tokenising turns each document into pieces of at most `capacity` tokens and keeps only their
 lengths and checksums. Pieces are dealt into groups of bounded size; each group packs its pieces
 best fit, longest first. Bins that are nearly full are final. The others become items themselves:
-groups are merged in a tree, and best fit runs again over the underfull bins of each merged group,
-round after round, until one group is left or a round merges nothing. A bin's place in a later bin
+they are dealt anew into as many groups of about the same bounded size as they need, and best fit runs again over
+each group, round after round, until a round merges nothing. A bin's place in a later bin
 is a shift, so a piece's final place is its first offset plus the shifts on the way up.
 
-Groups are formed from counts, never from keys, so no key can make a group large; a worst case
-(bins that no other bin fits into) ends the rounds instead of gathering them.
+Groups are formed from counts and hashes of single items, never from keys, so no key can make a group large, and
+bins that no other bin fits into stay in groups of that size and end the rounds.
 
 Defined results: a null text is empty (one end token); every repeated row is packed on its own;
 null ids stay null; pieces with equal lengths are ordered by id and piece; further columns of the
@@ -234,13 +234,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_I
     before = None
     for level in range(1, MAX_ROUNDS + 1):
         n = left.count()
-        if n < 2 or (groups == 1 and before == n):
+        if n < 2 or before == n:
             break
-        before = n
-        merged = min(max(1, -(-n // group_items)), max(1, -(-groups // 2)))
-        fan = -(-groups // merged)
-        groups = merged
-        items = left.select((F.col("grp") / fan).cast("long").alias("grp"), F.col("bin").alias("item"), "length")
+        before, groups = n, -(-n // group_items)
+        dealt = F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups)).alias("grp")
+        items = left.select(dealt, F.col("bin").alias("item"), "length")
         step = materialise(
             items.groupBy("grp").applyInPandas(
                 _pack_group(["length", "item"], capacity, level), "grp long, item long, length long, bin long, off long"

@@ -103,3 +103,16 @@ def test_residual_rounds(spark, shape):
     used = placed_well(out, 100)
     best = len(set(best_fit(sorted(lengths.tolist(), reverse=True), 100)[0]))
     assert used <= best * 1.03 + 1
+
+
+def test_groups_stay_bounded(spark):
+    """No two of the pieces fit together: no round may gather them in one group."""
+    rows = [(i, 0, 0, 60 + i % 4, i, i) for i in range(500)]
+    frame = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
+    out = pack(materialise(frame, "test"), capacity=100, group_items=50).collect()
+    assert placed_well(out, 100) == len(out) == 500
+    sizes = {}
+    for r in out:
+        group = r["sequence_id"] >> 24
+        sizes[group] = sizes.get(group, 0) + 1
+    assert max(sizes.values()) <= 2 * 50
