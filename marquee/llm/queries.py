@@ -129,3 +129,53 @@ def op2_secret_scan(spark, sf_dir):
 
     found = scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "word_at", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
+
+
+OP11_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+),
+low AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM runs GROUP BY ALL
+),
+-- Bytes of the UTF-8 text; behind each byte eight steps of the checksum, marked by -1.
+steps AS (
+  SELECT w, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''), lambda c: CASE
+      WHEN unicode(c) < 128 THEN [unicode(c), -1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[]
+      ELSE [192 + (unicode(c) >> 6), -1, -1, -1, -1, -1, -1, -1, -1, 128 + (unicode(c) & 63), -1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[] END)) AS s
+  FROM low
+),
+sums AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, s), lambda c, x: CASE
+      WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) AS h FROM steps
+),
+typed AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM sums
+),
+vocab AS (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+-- Every word without each of its code points in turn.
+less AS (SELECT word, n, p, substr(word, 1, p::INT) || substr(word, p::INT + 2) AS part FROM (SELECT *, unnest(range(length(word))) AS p FROM vocab)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.part = b.part AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM less a JOIN vocab v ON a.part = v.word
+  UNION SELECT v.word, a.word, a.n FROM less a JOIN vocab v ON a.part = v.word
+),
+near AS (SELECT word, count(*) AS n_near, min((-m, other)) AS best FROM pairs GROUP BY word),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * v.n THEN best[2] END AS form,
+    CASE WHEN -best[1] >= 2 * v.n THEN -best[1] END AS form_n FROM vocab v LEFT JOIN near USING (word)
+),
+walk AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON walk.at = forms.word WHERE forms.form IS NOT NULL
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n
+FROM forms f JOIN (SELECT walk.word, walk.at AS root FROM walk JOIN forms ON walk.at = forms.word WHERE forms.form IS NULL) r USING (word)
+"""
+
+
+@query("op11_spelling_variants", OP11_SQL)
+def op11_spelling_variants(spark, sf_dir):
+    from .variants import spelling_variants, vocabulary
+
+    return spelling_variants(vocabulary(table(spark, sf_dir, "documents")))
