@@ -179,3 +179,31 @@ def op11_spelling_variants(spark, sf_dir):
     from .variants import spelling_variants, vocabulary
 
     return spelling_variants(vocabulary(table(spark, sf_dir, "documents")))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .repair import damage, repair_report
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ids = turns.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")).alias("conv")).distinct()
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    found = repair_report(damage(turns)).withColumn("has_rows", F.lit(True))
+    filled = [F.when(F.col("has_rows"), F.col(c)).otherwise(F.lit(0)).cast("long").alias(c) for c in numbers]
+    no_rows = F.sha2(F.lit(""), 256)
+    return ids.join(found, "conv", "left").select(
+        "conv_id", *filled, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", no_rows).alias("repaired_sha256")
+    )
+
+
+@query("op13_sharding")
+def op13_sharding(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .sharding import shard_documents
+
+    found = shard_documents(table(spark, sf_dir, "documents"))
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return found.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
