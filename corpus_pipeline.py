@@ -5,12 +5,13 @@ written as Parquet and read again as the next one's docs. All but the last retur
 
 language        documents without a language (null text, no letter) or without a main one (less than half of the
                 letters) go; `lang` is what was found
-near_duplicates the document with the smallest id of each class stays; documents without an id stay
+near_duplicates the document with the smallest id of each class stays, one without an id only if none has one
 decontamination documents that hold a benchmark item go
 secrets         secrets are replaced in the text; `n_chars` follows
 packing         pieces of the documents with their sequence and offset
 
-Rows that repeat one id and its text count as copies. Extra columns are dropped by the first stage, so that they can clash with nothing.
+Decisions are made and take effect by row: its key is a hash of id and text, so rows that share an id but not the text, or have no id,
+are told apart. Rows that repeat id and text are copies of each other. Extra columns are dropped by the first stage, so that they can clash with nothing.
 """
 
 from __future__ import annotations
@@ -25,9 +26,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MAIN_SHARE = 0.5
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs less the rows of the ids in a stored frame of distinct ids. Null ids match nothing."""
-    return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of the row."""
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
+
+
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Documents less the rows of a stored frame of distinct keys."""
+    return rows.join(keys, "row", "left_anti").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +54,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from marquee.llm.near_dup import near_duplicates as classes
 
     bounded(spark)
-    found = materialise(classes(docs), "classes")
-    more = materialise(found.filter("class_id <> doc_id").select("doc_id").distinct(), "copies")
-    kept = without(docs, more)
-    # Rows that share an id are told apart by nothing else: one of them stays.
-    repeated = materialise(found.filter("class_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    rows = keyed(docs)
+    found = materialise(classes(rows, id_col="row").select(F.col("doc_id").alias("row"), "class_id"), "classes")
+    several = found.groupBy("class_id").count().filter("count > 1").select("class_id")
+    members = found.join(several, "class_id").distinct().join(rows.select("row", "doc_id").distinct(), "row")
+    members = materialise(members, "members")
+    first = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("row"))
+    first = materialise(first.select("row"), "first")
+    kept = rows.join(materialise(members.select("row").join(first, "row", "left_anti"), "copies"), "row", "left_anti")
+    # Rows that repeat id and text are told apart by nothing else: one of them stays.
+    repeated = materialise(found.join(first, "row", "left_semi").groupBy("row").count().filter("count > 1").select("row"), "repeated")
     if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+        return kept.select(*COLUMNS)
+    again = kept.join(repeated, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
     return without(kept, repeated).unionByName(again)
 
 
@@ -63,15 +74,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from marquee.llm.decontaminate import leaks
 
     bounded(spark)
-    found = leaks(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, materialise(found.select("doc_id").distinct(), "leaks"))
+    rows = keyed(docs)
+    found = leaks(rows, table(spark, sf_dir, "benchmark"), id_col="row")
+    return without(rows, materialise(found.select(F.col("doc_id").alias("row")).distinct(), "leaks"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from marquee.llm.secrets import redact, scan
 
-    found = materialise(scan(docs).filter("is_secret"), "secrets")
-    return redact(docs, found).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    rows = keyed(docs)
+    found = materialise(scan(rows, id_col="row").filter("is_secret"), "secrets")
+    found = found.withColumnRenamed("doc_id", "row")
+    return redact(rows, found, id_col="row").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@
 
 The weight of a term is its IDF to the power IDF_POWER: function words otherwise decide the cosine of short windows.
 Items are taken in blocks of at most ITEMS per pass, which bounds what is broadcast. Items longer
-than LONGEST words are checked in parts; a text that holds a part holds the item. Items of fewer
-than FEW words count only if all of them are there, in order, and nothing else between.
+than LONGEST words are checked in equal parts; a text that holds a part holds the item; a last sentence is looked for with the last
+part, an answer that is given with each. Items of fewer than FEW words are looked up in the hashes of all runs of as many words and count only if
+all of them are there, in order, and nothing else between.
 
 Defined results: one row per document id and item that it holds, with the best stretch; null texts and texts without words hold
 nothing; documents with null ids are searched and reported together with a null id; items without a word or
@@ -37,6 +38,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
+from .registry import ship
 from .words import mix, slices, word_hashes
 
 PASSAGE = 64
@@ -196,20 +198,40 @@ class Items:
         words, bounds = short([t or "" for t in texts]), word_hashes(pa.array([t or "" for t in texts], pa.string()))[1]
         tails = [(a if a is not None else _last_sentence(t or "")) for a, t in zip(answers, texts)]
         tail_words, tail_bounds = short(tails), word_hashes(pa.array(tails, pa.string()))[1]
-        self.ids, self.words, self.answers, self.by_size = [], [], [], {}
+        self.ids, self.words, self.answers, self.by_size, few = [], [], [], {}, {}
         for i, item in enumerate(ids):
-            own = words[bounds[i] : bounds[i + 1]]
-            for a in range(0, len(own), LONGEST):
-                part = own[a : a + LONGEST]
-                if a and len(part) < FEW:
-                    continue
-                size = max(2 * BLOCK, 1 << (len(part) - 1).bit_length()) if len(part) else 0
+            own, tail = words[bounds[i] : bounds[i + 1]], tail_words[tail_bounds[i] : tail_bounds[i + 1]]
+            if 0 < len(own) < FEW:
+                few.setdefault(len(own), []).append((item, own))
+                continue
+            # Parts of about the same length, so that none is short.
+            cuts = np.linspace(0, len(own), -(-len(own) // LONGEST) + 1).astype("i8").tolist()
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                part = own[a:b]
+                size = max(2 * BLOCK, 1 << (len(part) - 1).bit_length())
                 v = vectors[terms_of(part)].sum(axis=0)
                 self.by_size.setdefault(size, []).append((len(self.ids), v / max(np.sqrt(v @ v), 1e-30)))
                 self.ids.append(item)
                 self.words.append(part)
-                self.answers.append(tail_words[tail_bounds[i] : tail_bounds[i + 1]] if len(own) <= LONGEST else part[:0])
+                # The last sentence stands with the last part; an answer that was given may stand anywhere.
+                self.answers.append(tail if answers[i] is not None or k == len(cuts) - 2 else part[:0])
         self.by_size = {s: (np.array([i for i, _ in x]), np.array([v for _, v in x], "f4").T.copy()) for s, x in self.by_size.items()}
+        # Items of few words, by length: sorted hashes of their words in order, and the items.
+        self.few = {}
+        for n, x in few.items():
+            runs = run_hashes(np.concatenate([w for _, w in x]), n)[::n]
+            order = np.argsort(runs, kind="stable")
+            self.few[n] = runs[order], np.array([k for k, _ in x], object)[order], np.array([w for _, w in x])[order]
+
+
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of n words."""
+    if len(words) < n:
+        return np.zeros(0, "u8")
+    total = np.zeros(len(words) - n + 1, "u8")
+    for j in range(n):
+        total = mix(total + words[j : len(words) - n + 1 + j].astype("u8") + np.uint64(j + 1))
+    return total
 
 
 def _last_sentence(text: str) -> str:
@@ -235,10 +257,21 @@ def padded(words: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) ->
     return np.where(at < high[:, None], words[np.minimum(at, len(words) - 1)], 0)
 
 
-def holds(item: np.ndarray, around: np.ndarray) -> bool:
-    """Whether around has all of item, one word right after another."""
-    at = np.flatnonzero(around[: max(0, len(around) - len(item) + 1)] == item[0])
-    return any((around[i : i + len(item)] == item).all() for i in at)
+def few_words(items: Items, words: np.ndarray, bounds: np.ndarray):
+    """(item, stretch, first word, number of words) where all words of a short item stand one right after another."""
+    for n, (runs, ids, own) in items.few.items():
+        here = run_hashes(words, n)
+        left = np.searchsorted(runs, here, "left")
+        at = np.flatnonzero((left < len(runs)) & (runs[np.minimum(left, len(runs) - 1)] == here))
+        stretch = np.searchsorted(bounds, at, "right") - 1
+        # The first place in a stretch says all.
+        _, once = np.unique(stretch * (len(runs) + 1) + left[at], return_index=True)
+        at, stretch = at[once], stretch[once]
+        for p, d, k in zip(at.tolist(), stretch.tolist(), left[at].tolist()):
+            while k < len(runs) and runs[k] == here[p]:
+                if p + n <= bounds[d + 1] and (words[p : p + n] == own[k]).all():
+                    yield ids[k], d, p, n
+                k += 1
 
 
 def judge(items: Items, numbers: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray):
@@ -255,13 +288,11 @@ def judge(items: Items, numbers: np.ndarray, words: np.ndarray, low: np.ndarray,
         for i, x in enumerate(mine[cut]):
             wide[i, : len(x)] = x
         share[cut] = lcs(wide, padded(words, low[cut], high[cut], int((high - low)[cut].max()))) / n[cut]
-    for i in np.flatnonzero((n >= FEW) & (share >= REWORDED)).tolist():
+    for i in np.flatnonzero(share >= REWORDED).tolist():
         tail = items.answers[numbers[i]]
         if len(tail):
             answer[i] = lcs(tail[None, :], words[low[i] : high[i]][None, :])[0] / len(tail)
         kept[i] = share[i] >= COPIED or answer[i] >= ANSWERED
-    for i in np.flatnonzero((n < FEW) & (share >= 1)).tolist():
-        kept[i] = holds(mine[i], words[low[i] : high[i]])
     return share, answer, kept
 
 
@@ -295,12 +326,15 @@ def _search(shared, cosine: float):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches):
-        items, vectors = shared.value
+        items, vectors = shared()
         of_item = np.array(items.ids, object)
         for batch in batches:
             for part, words, bounds in stretches(batch):
                 total, cuts, n_blocks = window_vectors(words, bounds, vectors)
                 ids, first = part.column("doc_id").to_pylist(), part.column("first").to_numpy(zero_copy_only=False)
+                short = [(ids[d], item, int(first[d] + p - bounds[d]), n, 1.0, 0.0) for item, d, p, n in few_words(items, words, bounds)]
+                if short:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*short), kinds)], names)
                 for size, (numbers, unit) in items.by_size.items():
                     doc, a, b = windows(n_blocks, size // BLOCK, max(1, size // BLOCK // 2))
                     for at in range(0, len(doc), 1 << 14):
@@ -345,7 +379,7 @@ def leaks(
     for b in range(blocks):
         block = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow()
         items = Items(block["item_id"].to_pylist(), block["text"].to_pylist(), block["answer"].to_pylist(), vectors)
-        shared = spark.sparkContext.broadcast((items, vectors))
+        shared = ship(spark, (items, vectors))
         got = words.mapInArrow(_search(shared, cosine), HIT)
         out = got if out is None else out.unionByName(got)
     best = F.max(F.struct("lcs", "answer", (-F.col("first_word")).alias("f"), "n_words")).alias("m")

@@ -13,7 +13,7 @@ their share.
 Defined results: `und` with score 0 for null texts and texts without a letter; a text whose scripts no
 language uses gets the first language that training saw most often, with the share as usual; null ids are kept; repeated rows
 get equal results; further columns are left out; without training rows every text is `und`; an
-empty table gives an empty result.
+empty table gives an empty result. Marks that stand on no letter are none. More than MOST_LANGUAGES languages are an error.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .registry import ship
 from .words import mix, runs_of, slices
 
 BUCKETS = 1 << 16
@@ -29,6 +30,8 @@ SMOOTHING = 0.1
 SCRIPT_SHARE = 0.01
 FLOOR = 12.0
 SWITCH = 10.0
+#: The tables of the model have a column per language.
+MOST_LANGUAGES = 256
 NEVER = -1e4
 UNKNOWN = "und"
 
@@ -122,6 +125,19 @@ class Model:
         self.uses = (share >= SCRIPT_SHARE).T.copy()
         self.usual = int(np.argmax(words.sum(axis=1))) if len(names) else 0
 
+    def all_scores(self, raw, word, starts, step: int = 1 << 20):
+        """Scores of all words, from about `step` bytes at a time, so that a long text needs no large table of bytes."""
+        if len(raw) <= 2 * step:
+            return self.word_scores(raw, word, starts)
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, len(raw), step)))
+        cuts = cuts[cuts < len(starts)]
+        ends = np.append(starts[cuts[1:]], len(raw))
+        parts = []
+        for a, b, end in zip(cuts, np.append(cuts[1:], len(starts)), ends):
+            at = starts[a]
+            parts.append(self.word_scores(raw[at:end], word[at:end], starts[a:b] - at))
+        return np.concatenate(parts)
+
     def word_scores(self, raw, word, starts):
         """Score of each word in each language: relative to the best candidate, NEVER for others."""
         gram, used = trigrams(raw, word, starts)
@@ -149,23 +165,23 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
         return path
     live = np.searchsorted(-size, -np.arange(1, longest + 1), "right")
     value = scores[begin[: live[0]]].astype("f8")
-    stay, lead = [], []
+    # By word: whether a language came from itself, and which other it would have come from.
+    stay, lead = np.zeros(scores.shape, bool), np.zeros(len(scores), "i2")
     for t in range(1, longest):
         n = live[t]
-        v = value[:n]
+        v, here = value[:n], begin[:n] + t
         top = v.argmax(axis=1)
         jump = v[np.arange(n), top][:, None] - penalty
         keeps = v >= jump
-        stay.append(keeps)
-        lead.append(top.astype("i2"))
-        value[:n] = np.where(keeps, v, jump) + scores[begin[:n] + t]
+        stay[here], lead[here] = keeps, top
+        value[:n] = np.where(keeps, v, jump) + scores[here]
     at = value.argmax(axis=1).astype("i2")
     for t in range(longest - 1, -1, -1):
         n = live[t]
-        path[begin[:n] + t] = at[:n]
+        here = begin[:n] + t
+        path[here] = at[:n]
         if t:
-            keeps, top = stay[t - 1], lead[t - 1]
-            at[:n] = np.where(keeps[np.arange(n), at[:n]], at[:n], top)
+            at[:n] = np.where(stay[here, at[:n]], at[:n], lead[here])
     return path
 
 
@@ -176,7 +192,7 @@ def _label(shared):
     """Rows (key columns, text) -> key columns, lang_pred, score, spans."""
 
     def run(batches):
-        model = shared.value
+        model = shared()
         names = np.array(model.names, object)
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
@@ -184,7 +200,7 @@ def _label(shared):
                 n = part.num_rows
                 pred, score, spans = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
                 if len(starts) and len(names):
-                    path = viterbi(model.word_scores(raw, word, starts), bounds, SWITCH)
+                    path = viterbi(model.all_scores(raw, word, starts), bounds, SWITCH)
                     letters = np.add.reduceat(word[starts[0] :].astype("i8"), starts - starts[0])
                     doc = np.repeat(np.arange(n), np.diff(bounds))
                     held = np.bincount(doc * len(names) + path, letters, n * len(names)).reshape(n, -1)
@@ -212,7 +228,9 @@ def _label(shared):
 def train(rows: DataFrame) -> Model:
     """Counts over all rows (lang, text) with a language; the table of counts has at most BUCKETS rows per language."""
     rows = rows.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
-    names = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    names = sorted(r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in the training rows")
     counts = np.zeros((len(names), BUCKETS + len(SCRIPT_NAMES)), "i8")
     if names:
         got = rows.mapInArrow(_count(names), "lang long, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
@@ -222,7 +240,7 @@ def train(rows: DataFrame) -> Model:
 
 def identify(rows: DataFrame, model: Model, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, lang_pred, score, spans (lang, first_word, words) of every row. Only the text is looked at."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = ship(rows.sparkSession, model)
     texts = rows.select(*keys, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
     return texts.mapInArrow(_label(shared), f"{kinds}, lang_pred string, score double, spans array<struct<lang: string, first_word: bigint, words: bigint>>")

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import materialise
+from .registry import ship
 
 SAMPLE = 20_000
 LEAF = 16
@@ -36,6 +37,8 @@ TREES = 12
 PROBES = 400
 RECALL_TARGET = 0.98
 BLOCK_LEAVES = 16
+#: Vectors of a block that are scored in one task, about; a larger block is salted.
+GROUP_ROWS = 1 << 14
 
 
 class Forest:
@@ -198,7 +201,7 @@ def _place(model, kind, dims):
     """Distinct vectors -> a row per tree: block of leaves, leaf, rep, vec."""
 
     def run(batches):
-        forest = model.value
+        forest = model()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -219,7 +222,7 @@ def _probe(model, kind, dims, k):
     """Query vectors -> a row per block with the leaves to look at."""
 
     def run(batches):
-        forest = model.value
+        forest = model()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -278,7 +281,7 @@ def _score(kind, dims, keep):
 
 def nearest(
     table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
-    trees: int = TREES, leaf: int = LEAF, sample_rows: int = SAMPLE, recall_target: float = RECALL_TARGET,
+    trees: int = TREES, leaf: int = LEAF, sample_rows: int = SAMPLE, recall_target: float = RECALL_TARGET, group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row that is_query(id column) selects."""
     spark = table.sparkSession
@@ -297,13 +300,18 @@ def nearest(
     forest = Forest(sample, trees, leaf)
     forest.calibrate(sample, k, PROBES, recall_target)
     forest.sample_leaf = None
-    model = spark.sparkContext.broadcast(forest)
+    model = ship(spark, forest)
 
     placed = vectors.select("rep", "vec").mapInArrow(_place(model, kind, dims), "block long, leaf long, rep long, vec binary")
     asked = vectors.filter("asked").select("rep", "vec")
     asked = asked.repartition(spark.sparkContext.defaultParallelism, "rep")
     probes = asked.mapInArrow(_probe(model, kind, dims, k), "block long, leaves array<long>, rep long, vec binary")
-    found = placed.groupBy("block").cogroup(probes.groupBy("block")).applyInPandas(_score(kind, dims, k + 1), "query long, rep long, score double")
+    # Leaves grow with the table: a block is cut by a hash of its vectors, and its queries meet every part.
+    blocks = -(-len(forest.leaf_rows) // BLOCK_LEAVES)
+    salts = max(1, -(-usual["count"] * trees // (blocks * group_rows)))
+    parts = placed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).groupBy("block", "salt")
+    asking = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).groupBy("block", "salt")
+    found = parts.cogroup(asking).applyInPandas(_score(kind, dims, k + 1), "query long, rep long, score double")
     once = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
     best = once.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "rep"))).filter(F.col("r") <= k + 1)
 

@@ -49,11 +49,12 @@ class WordIds:
 
     Runs of characters without white space are looked up; the words of unknown ones are encoded
     together, once each, and told apart by their last tokens, which carry the end of a word. The
-    look-up table has two generations, so what is frequent stays and memory is bounded.
+    look-up table has two generations, each bounded in entries and characters, so what is frequent stays.
     """
 
-    def __init__(self, tok, most: int = 400_000):
-        self.tok, self.most, self.new, self.old = tok, most, {}, {}
+    def __init__(self, tok, most: int = 100_000, most_chars: int = 2 << 20):
+        self.tok, self.most, self.most_chars = tok, most, most_chars
+        self.new, self.old, self.held = {}, {}, 0
         self.find = regex.compile(WORD).findall
         self.latin = regex.compile(LATIN).fullmatch
         vocab = tok.get_vocab()
@@ -86,12 +87,13 @@ class WordIds:
         return {w: raw[4 * a : 4 * b] for w, a, b in zip(words, [0, *cuts], cuts)}
 
     def turn(self) -> None:
-        if len(self.new) > self.most:
-            self.new, self.old = {}, self.new
+        if len(self.new) > self.most or self.held > self.most_chars:
+            self.new, self.old, self.held = {}, self.new, 0
 
     def learn(self, chunks: set) -> None:
         """Puts the ids of all chunks into the newer generation."""
         new, old, unknown = self.new, self.old.get, []
+        self.held += sum(map(len, chunks))
         for c in chunks:
             got = old(c)
             if got is None:

@@ -26,6 +26,8 @@ SHAPES = 512
 TRAITS = 512
 WIDTH = WORDS + SHAPES + TRAITS
 TRAIN_ROWS = 4000
+#: Rows that are scored together.
+ROWS = 512
 FALSE_ALARMS = 0.002
 STEPS = 300
 RATE = 0.5
@@ -137,8 +139,14 @@ def vectors(part: pa.RecordBatch):
     a = np.bincount(of_word * WORDS + (words >> np.uint64(50)).astype("i8") % WORDS, minlength=rows * WORDS).reshape(rows, WORDS)
     a = np.sqrt(a / np.maximum(np.diff(bounds), 1)[:, None])
     doc = np.repeat(np.arange(rows, dtype="i4") * SHAPES, np.diff(off))
-    if len(kind) > 2:
-        doc[2:] += (kind[2:].astype("i4") << 6) | (kind[1:-1].astype("i4") << 3) | kind[:-2]
+    # Kinds of a character and the two before it in the same text.
+    one, two = np.zeros((2, len(kind)), "i4")
+    one[1:], two[2:] = kind[:-1], kind[:-2]
+    starts = off[:-1][np.diff(off) > 0]
+    one[starts] = two[starts] = 0
+    second = starts + 1
+    two[second[second < len(kind)]] = 0
+    doc += (kind.astype("i4") << 6) | (one << 3) | two
     b = np.bincount(doc, minlength=rows * SHAPES).reshape(rows, SHAPES)
     b = np.sqrt(b / np.maximum(np.diff(off), 1)[:, None])
     c = np.zeros((rows, TRAITS))
@@ -197,10 +205,13 @@ def _score(shared):
     def run(batches):
         w, b = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            # Short texts are many to a slice, and each is a row of WIDTH numbers.
+            for part in (some.slice(a, ROWS) for some in slices(batch, "text") for a in range(0, some.num_rows, ROWS)):
                 x, n_words = vectors(part)
-                s = np.where(n_words > 0, 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(s.astype("f8"))], ["doc_id", "h", "score"])
+                # Rounded, so that equal texts score the same whatever rows they stand among.
+                s = 1 / (1 + np.exp(-np.clip(x.astype("f8") @ w.astype("f8") + b, -30, 30)))
+                s = np.round(np.where(n_words > 0, s, 0.0), 9)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(s)], ["doc_id", "h", "score"])
 
     return run
 
@@ -210,15 +221,17 @@ def score_quality(docs: DataFrame, bar: float = 0.4, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text).alias("h"), text.alias("text"))
-    seen = rows.mapInArrow(_patterns, "doc_id long, h long, pattern long").groupBy("pattern").agg(F.count("*").alias("n")).toArrow()
+    counted = rows.mapInArrow(_patterns, "doc_id long, h long, pattern long").groupBy("pattern")
+    # Equal rows share a pattern, so the sum of its distinct rows is about theirs.
+    seen = counted.agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("different")).toArrow()
     patterns, counts = seen["pattern"].to_numpy(), seen["n"].to_numpy()
     known = patterns >= 0
-    total = int(counts.sum())
     if not known.any():
         return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("keep"))
     post, _, _ = estimate(patterns[known], counts[known].astype("f8"))
     of_pattern = dict(zip(patterns[known].tolist(), post.tolist()))
-    share = min(1.0, 1.25 * TRAIN_ROWS / total)
+    # Copies of one row are one example, so the share is one of distinct rows: few of them are all taken.
+    share = min(1.0, 1.25 * TRAIN_ROWS / sum(seen["different"].to_pylist()))
     some = rows.filter(F.shiftrightunsigned("h", 1) <= min(int(share * 2**62) * 2, 2**63 - 1))
 
     def with_patterns(batches):
@@ -228,11 +241,12 @@ def score_quality(docs: DataFrame, bar: float = 0.4, id_col: str = "doc_id", tex
                 whole = pa.RecordBatch.from_arrays([*part.columns, pa.array(votes(got, np.diff(bounds)))], [*part.schema.names, "pattern"])
                 yield from _examples([whole])
 
-    # Copies of one row are one example, so a hot row cannot fill the sample.
     examples = some.mapInArrow(with_patterns, "h long, pattern long, x binary").filter("pattern >= 0").dropDuplicates(["h"]).toArrow().sort_by("h")
     examples = examples.slice(0, TRAIN_ROWS)
     x = np.frombuffer(b"".join(examples["x"].to_pylist()), "<f2").reshape(-1, WIDTH).astype("f4")
     y = np.array([of_pattern[p] for p in examples["pattern"].to_pylist()])
+    if not len(y):
+        raise ValueError("no row was chosen to learn from")
     shared = spark.sparkContext.broadcast(fit(x, y))
     scored = rows.mapInArrow(_score(shared), "doc_id long, h long, score double")
     return scored.select("doc_id", "score", (F.col("score") >= bar).alias("keep"))

@@ -104,7 +104,7 @@ def op9_near_duplicates(spark, sf_dir):
 def op5_language_id(spark, sf_dir):
     from .language import identify_documents
 
-    return identify_documents(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    return identify_documents(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "spans")
 
 
 @query("op1_decontamination")
@@ -181,7 +181,83 @@ def op11_spelling_variants(spark, sf_dir):
     return spelling_variants(vocabulary(table(spark, sf_dir, "documents")))
 
 
-@query("op12_conversation_repair")
+# Steps of a checksum over ASCII text: each byte, then eight shifts, marked by -1.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''),
+    lambda c: [unicode(c), -1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"""
+
+
+def _least(*options: str) -> str:
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _paid(cost: str, initials: str, rest: str) -> str:
+    return f"{{'c': {rest}.c + {cost}, 's': '{initials}' || {rest}.s}}"
+
+
+def _row_sql(q: int) -> str:
+    """Cheapest edits from the row on, from state q (start, behind system, user, assistant), if the row itself comes first."""
+    behind = (2, 2, 3, 2)[q]
+    kept = {0: [("s", 1), ("u", 2)], 1: [("u", 2)], 2: [("a", 3)], 3: [("u", 2)]}[q]
+    keep = [_paid(f"(CASE WHEN NOT gone AND initial = '{c}' THEN cut ELSE 1000000 END)", "K", f"v{k}") for c, k in kept]
+    rerole = _paid("(CASE WHEN gone THEN 1000000 ELSE 2 + cut END)", "R", f"v{behind}")
+    return _least(_paid("3", "D", f"v{q}"), rerole, *keep)
+
+
+OP12_SQL = f"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv FROM conversations),
+hashed AS (
+  SELECT coalesce(conv_id::VARCHAR, ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC32.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations
+),
+damaged AS (
+  SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE kind <> 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, left(text, 256), md5(text)) AS i,
+    left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged
+),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) AS nth, lag(initial) OVER (PARTITION BY conv ORDER BY i) AS before FROM placed),
+marked AS (
+  SELECT *, body = '' AS blank, body <> '' AND nth > 1 AS duplicate, body <> '' AND nth = 1 AND right(body, 1) NOT IN ('.', '!', '?') AS truncated,
+    body = '' OR nth > 1 AS gone, CASE WHEN right(body, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS cut FROM seen
+),
+-- From the last row to the first: the least (cost, initials) from each state.
+walk AS (
+  SELECT conv, max(i) + 1 AS i, {{'c': 0, 's': ''}} AS v0, {{'c': 4, 's': 'II'}} AS v1, {{'c': 2, 's': 'I'}} AS v2, {{'c': 0, 's': ''}} AS v3 FROM placed GROUP BY conv
+  UNION ALL
+  SELECT conv, i, {_least("r0", _paid("2", "I", "r2"), _paid("4", "II", "r3"))} AS v0, {_least("r1", _paid("2", "I", "r2"), _paid("4", "II", "r3"))} AS v1,
+    {_least("r2", _paid("2", "I", "r3"))} AS v2, {_least("r3", _paid("2", "I", "r2"))} AS v3
+  FROM (SELECT w.conv, m.i, {", ".join(f"{_row_sql(q)} AS r{q}" for q in range(4))} FROM walk w JOIN marked m ON m.conv = w.conv AND m.i = w.i - 1) x
+),
+edits AS (SELECT conv, v0.c AS cost, v0.s AS audit FROM walk WHERE i = 1),
+ops AS (SELECT conv, unnest(string_split(audit, '')) AS op, generate_subscripts(string_split(audit, ''), 1) AS j FROM edits WHERE audit <> ''),
+counted AS (
+  SELECT *, count(*) FILTER (op <> 'I') OVER (PARTITION BY conv ORDER BY j) AS i, count(*) FILTER (op <> 'D') OVER (PARTITION BY conv ORDER BY j) AS o FROM ops
+),
+made AS (
+  SELECT c.conv, c.j, c.o, c.op, m.role, CASE WHEN c.op = 'I' THEN '' ELSE m.text END AS text,
+    max(CASE WHEN c.o = 1 AND c.op = 'K' AND m.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY c.conv) AS led
+  FROM counted c LEFT JOIN marked m ON m.conv = c.conv AND m.i = c.i AND c.op <> 'I' WHERE c.op <> 'D'
+),
+repaired AS (
+  SELECT conv, sha256(string_agg(CASE WHEN op = 'K' THEN role WHEN (o - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j)) AS h
+  FROM made GROUP BY conv
+),
+totals AS (
+  SELECT conv, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN totals USING (conv) LEFT JOIN edits USING (conv) LEFT JOIN repaired USING (conv)
+"""
+
+
+@query("op12_conversation_repair", OP12_SQL)
 def op12_conversation_repair(spark, sf_dir):
     from pyspark.sql import functions as F
 

@@ -1,7 +1,11 @@
-"""Name -> query and name -> oracle SQL of this package."""
+"""Name -> query and name -> oracle SQL of this package, and what queries share."""
 
 from __future__ import annotations
 
+import pickle
+
+from pyspark import cloudpickle
+
 from ..session import prepare
 
 #: Bytes of a batch that goes to a Python worker: texts vary in length, so a count of rows bounds nothing.
@@ -35,3 +39,9 @@ def query(name: str, sql: str | None = None):
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark, value):
+    """A broadcast value as a function to call in tasks. Its classes travel along, so executors need no copy of this package."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)

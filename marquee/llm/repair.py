@@ -26,7 +26,6 @@ duplicates; a conversation without rows has no edits; gaps beyond a long are nul
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 from itertools import groupby
 
 import pyarrow as pa
@@ -86,17 +85,34 @@ def applied(m: tuple, v: tuple) -> tuple:
     return tuple(min(x + y for x, y in zip(r, v)) for r in m)
 
 
-@lru_cache(maxsize=1024)
+#: What was reckoned before, in a task: powers by symbol and exponent; steps by symbol, number of rows and cost to come.
+_POWERS: dict = {}
+_STEPS: dict = {}
+MOST_STEPS = 100_000
+
+
 def power(symbol: str, j: int) -> tuple:
     """Matrix of 2^j equal rows."""
-    return _closed(_row(symbol)) if j == 0 else times(power(symbol, j - 1), power(symbol, j - 1))
+    got = _POWERS.get((symbol, j))
+    if got is None:
+        got = _closed(_row(symbol)) if j == 0 else times(power(symbol, j - 1), power(symbol, j - 1))
+        _POWERS[symbol, j] = got
+    return got
+
+
+def remembered(key: tuple, make):
+    got = _STEPS.get(key)
+    if got is None:
+        if len(_STEPS) >= MOST_STEPS:
+            _STEPS.clear()
+        got = _STEPS[key] = make()
+    return got
 
 
 def _bits(n: int):
     return (j for j in range(n.bit_length()) if n >> j & 1)
 
 
-@lru_cache(maxsize=65536)
 def _through(symbol: str, n: int, v: tuple) -> tuple:
     for j in _bits(n):
         v = applied(power(symbol, j), v)
@@ -106,10 +122,10 @@ def _through(symbol: str, n: int, v: tuple) -> tuple:
 def through(symbol: str, n: int, v: tuple) -> tuple:
     """Cost to come before n equal rows, from that behind them."""
     least = min(v)
-    return tuple(c + least for c in _through(symbol, n, tuple(c - least for c in v)))
+    low = tuple(c - least for c in v)
+    return tuple(c + least for c in remembered((symbol, n, low), lambda: _through(symbol, n, low)))
 
 
-@lru_cache(maxsize=65536)
 def _choices(symbol: str, v: tuple) -> tuple:
     """For each state before a row: (initials, letters of inserted rows and what becomes of the row, state behind)."""
     before, out = applied(power(symbol, 0), v), []
@@ -134,7 +150,8 @@ def _choices(symbol: str, v: tuple) -> tuple:
 
 def choices(symbol: str, v: tuple) -> tuple:
     least = min(v)
-    return _choices(symbol, tuple(c - least for c in v))
+    low = tuple(c - least for c in v)
+    return remembered((symbol, low), lambda: _choices(symbol, low))
 
 
 def runs_of(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:

@@ -156,9 +156,9 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, bar: float = BAR, i
 
 
 def redact(docs: DataFrame, secrets: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every secret's value replaced in the text; secrets are rows of scan(). Longer values go first."""
-    values = secrets.filter("is_secret and doc_id is not null").groupBy("doc_id").agg(F.collect_set("value").alias("_values"))
+    """docs with every secret's value replaced in the text; secrets are rows of scan(), with their ids under the name of those of docs. Longer values go first."""
+    values = secrets.filter(F.col("is_secret") & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.collect_set("value").alias("_values"))
     by_length = F.transform(F.sort_array(F.transform("_values", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
-    values = values.select(F.col("doc_id").alias("_id"), by_length.alias("_values"))
+    values = values.select(F.col(id_col).alias("_id"), by_length.alias("_values"))
     text = F.aggregate(F.coalesce("_values", F.array().cast("array<string>")), F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
     return docs.join(values, docs[id_col] == values["_id"], "left").withColumn(text_col, text).drop("_id", "_values")

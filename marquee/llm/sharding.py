@@ -69,7 +69,8 @@ def requests(linked: DataFrame, links: DataFrame, open_shards: list[int], shards
     held = at.groupBy("hub", "shard").agg(F.count("*").alias("n"))
     # At most one entry per shard in a hub's map.
     held = held.groupBy("hub").agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("held"))
-    held = held.filter(F.size("held") > 1)
+    # Stored, so that the join below has exchanges of its own, of which a hot hub's can be split.
+    held = materialise(held.filter(F.size("held") > 1), "held")
     near = at.join(held, "hub").select("rid", "shard", "hub", F.explode("held").alias("target", "n"))
     near = near.filter((F.col("target") == F.col("shard")) | F.col("target").isin(open_shards))
     turn = F.pmod(F.col("target") + F.pmod(F.xxhash64("hub"), F.lit(1 << 20)), F.lit(shards))

@@ -35,16 +35,20 @@ SETTLED = (
     r"　-〿ぁ-ゖゝ-ヺ一-龥가-힣]*+"
 )
 
+
 def per_worker(key, make):
-    """What a Python worker keeps between its tasks. Functions reach tasks by value, with variables
-    of their own, so it hangs on a module that is imported in the worker."""
-    import tokenizers
+    """What a Python worker keeps between its tasks: small things that take long to make. Functions reach tasks by value, with variables
+    of their own, so it is a module of its own among the worker's modules."""
+    import sys
+    from types import ModuleType
 
-    kept = vars(tokenizers).setdefault("_kept_per_worker", {})
+    kept = sys.modules.setdefault("_marquee_kept", ModuleType("_marquee_kept"))
     key = (key[0], hash(key[1]))
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if not hasattr(kept, "values"):
+        kept.values = {}
+    if key not in kept.values:
+        kept.values[key] = make()
+    return kept.values[key]
 
 
 def tokenizer(json_text: str):
@@ -116,8 +120,8 @@ def _frequencies(vocabulary, hot, rows_out: int = 20_000):
     """Documents -> one row that holds what the frequent pre-tokens add up to, and one row for each
     other pre-token with its frequency. The first row's key matches no pre-token and differs per
     document, so that no key gathers rows."""
-    names = ["doc_id", "h", "n_bytes", "first", "piece", "n"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64()]
+    names = ["row", "doc_id", "n_bytes", "piece", "n"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches):
         cut, known = cutter(tokenizer(vocabulary.value)), hot.value.get
@@ -130,7 +134,7 @@ def _frequencies(vocabulary, hot, rows_out: int = 20_000):
             return got
 
         for batch in batches:
-            for doc_id, h, n_bytes, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for row, doc_id, n_bytes, text in zip(*(c.to_pylist() for c in batch.columns)):
                 freq = Counter(cut(text))
                 total, rare, counts = 0, [], []
                 for piece, n in freq.items():
@@ -141,12 +145,11 @@ def _frequencies(vocabulary, hot, rows_out: int = 20_000):
                     else:
                         total += k * n
                 m = len(rare)
-                cols[0] += [doc_id] * (m + 1)
-                cols[1] += [h] * (m + 1)
+                cols[0] += [row] * (m + 1)
+                cols[1] += [doc_id] * (m + 1)
                 cols[2] += [n_bytes] + [0] * m
-                cols[3] += [1] + [0] * m
-                cols[4] += [f"\x00{doc_id}"] + rare
-                cols[5] += [total] + counts
+                cols[3] += [f"\x00{row}"] + rare
+                cols[4] += [total] + counts
                 if len(cols[0]) >= rows_out:
                     yield out()
         yield out()
@@ -187,19 +190,14 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 512, id_col:
     pieces = materialise(piece_table(docs.select(text.alias("text")), vocabulary), "pieces")
     known = frequent(pieces)
     hot = spark.sparkContext.broadcast(known)
+    # A row's number is its own, whatever its id and text are.
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("h"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")
-    ).mapInArrow(_frequencies(vocabulary, hot), "doc_id long, h int, n_bytes long, first int, piece string, n long")
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")
+    ).mapInArrow(_frequencies(vocabulary, hot), "row long, doc_id long, n_bytes long, piece string, n long")
     total = F.sum(F.col("n") * F.coalesce("tokens", F.lit(1)))
     each = (
         rows.join(pieces.select("piece", "tokens"), "piece", "left")
-        .groupBy("doc_id", "h")
-        .agg(F.sum("first").alias("copies"), F.sum("n_bytes").alias("b"), total.alias("t"))
+        .groupBy("row")
+        .agg(F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), total.alias("n_tokens"))
     )
-    one = each.select(
-        "doc_id",
-        F.expr("b div copies").alias("n_bytes"),
-        F.expr("t div copies").alias("n_tokens"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
-    return one.withColumn("over_limit", F.col("n_tokens") > limit)
+    return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -14,6 +14,8 @@ import regex
 
 _NOT_WORD = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
 _NOT_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
+#: Marks that stand on no letter.
+_LOOSE_MARKS = regex.compile(r"(?<![\p{L}\p{M}])\p{M}+")
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _IS_LETTER = _IS_WORD.copy()
@@ -61,9 +63,10 @@ def runs_of(texts: pa.Array, with_digits: bool = True):
     odd[:-1] |= (raw[:-1] == 0xC3) & ((after == 0x97) | (after == 0xB7))
     if odd.any():
         hit = np.unique(np.searchsorted(off, np.flatnonzero(odd), "right") - 1)
-        some, cut = texts.to_pylist(), _NOT_WORD if with_digits else _NOT_LETTER
+        some = texts.to_pylist()
         for i in hit.tolist():
-            some[i] = cut.sub(" ", some[i].lower())
+            low = some[i].lower()
+            some[i] = _NOT_WORD.sub(" ", low) if with_digits else _NOT_LETTER.sub(" ", _LOOSE_MARKS.sub(" ", low))
         raw, off = _flat(pa.array(some, pa.string()))
     word = (_IS_WORD if with_digits else _IS_LETTER)[raw]
     first = word.copy()
