@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
-from .registry import ship
+from .registry import released, ship
 from .words import mix, slices, word_hashes
 
 PASSAGE = 64
@@ -114,7 +114,7 @@ def _frequencies(batches):
 
 
 def idf_of(words: DataFrame) -> np.ndarray:
-    got = words.mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    got = words.mapInArrow(released(_frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = got["term"].to_numpy(), got["n"].to_numpy()
     seen = np.zeros(TERMS)
     seen[term[term >= 0]] = n[term >= 0]
@@ -129,7 +129,7 @@ def _sketch(shared):
         idf = shared.value
         held = np.zeros(SKETCH * TERMS, "f4")
         for batch in batches:
-            for _, words, bounds in stretches(batch, 1 << 21):
+            for _, words, bounds in stretches(batch, 1 << 19):
                 cuts = passages(bounds, PASSAGE)
                 n = np.diff(cuts)
                 which = np.repeat(np.arange(len(n)), n)
@@ -171,7 +171,7 @@ def term_vectors(words: DataFrame, idf: np.ndarray) -> np.ndarray:
     shared = words.sparkSession.sparkContext.broadcast(idf)
     block = "chunk long, at binary, v binary"
     # Two levels, so that no task sums the blocks of all tasks.
-    parts = words.mapInArrow(_sketch(shared), block).withColumn("salt", F.spark_partition_id() % SALTS)
+    parts = words.mapInArrow(released(_sketch(shared)), block).withColumn("salt", F.spark_partition_id() % SALTS)
     some = parts.groupBy("chunk", "salt").applyInPandas(_add, block)
     got = some.groupBy("chunk").applyInPandas(_add, block).toArrow()
     sketch = np.zeros(SKETCH * TERMS, "f4")
@@ -372,7 +372,7 @@ def leaks(
     n_items = asked.count()
     if not n_items:
         return spark.createDataFrame([], HIT)
-    words = materialise(texts.mapInArrow(_words, "doc_id long, first long, words binary"), "words")
+    words = materialise(texts.mapInArrow(released(_words), "doc_id long, first long, words binary"), "words")
     vectors = term_vectors(words.select("words"), idf_of(words.select("words")))
     blocks = -(-n_items // ITEMS)
     out = None
@@ -380,7 +380,7 @@ def leaks(
         block = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow()
         items = Items(block["item_id"].to_pylist(), block["text"].to_pylist(), block["answer"].to_pylist(), vectors)
         shared = ship(spark, (items, vectors))
-        got = words.mapInArrow(_search(shared, cosine), HIT)
+        got = words.mapInArrow(released(_search(shared, cosine)), HIT)
         out = got if out is None else out.unionByName(got)
     best = F.max(F.struct("lcs", "answer", (-F.col("first_word")).alias("f"), "n_words")).alias("m")
     return out.groupBy("doc_id", "item_id").agg(best).select(

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .registry import ship
+from .registry import released, ship
 from .words import mix, runs_of, slices
 
 BUCKETS = 1 << 16
@@ -195,7 +195,7 @@ def _label(shared):
         model = shared()
         names = np.array(model.names, object)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 raw, word, starts, bounds = runs_of(part.column("text"), with_digits=False)
                 n = part.num_rows
                 pred, score, spans = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
@@ -233,7 +233,7 @@ def train(rows: DataFrame) -> Model:
         raise ValueError(f"more than {MOST_LANGUAGES} languages in the training rows")
     counts = np.zeros((len(names), BUCKETS + len(SCRIPT_NAMES)), "i8")
     if names:
-        got = rows.mapInArrow(_count(names), "lang long, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
+        got = rows.mapInArrow(released(_count(names)), "lang long, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
         counts[got["lang"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy()
     return Model(names, counts)
 
@@ -243,7 +243,7 @@ def identify(rows: DataFrame, model: Model, keys: list[str], text_col: str = "te
     shared = ship(rows.sparkSession, model)
     texts = rows.select(*keys, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
-    return texts.mapInArrow(_label(shared), f"{kinds}, lang_pred string, score double, spans array<struct<lang: string, first_word: bigint, words: bigint>>")
+    return texts.mapInArrow(released(_label(shared)), f"{kinds}, lang_pred string, score double, spans array<struct<lang: string, first_word: bigint, words: bigint>>")
 
 
 def fold(id_col: str = "doc_id"):

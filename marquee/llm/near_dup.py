@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import materialise
+from .registry import released
 from .words import mix, shingles, slices, word_hashes
 
 K = 5
@@ -180,7 +181,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("right"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    return both.mapInArrow(_verify(k, threshold), "a long, b long")
+    return both.mapInArrow(released(_verify(k, threshold)), "a long, b long")
 
 
 def close(links: DataFrame) -> DataFrame:
@@ -289,7 +290,7 @@ def rest_pairs(texts: DataFrame, comp: DataFrame | None, k: int, threshold: floa
     all runs, rare ones first, that many are left from the first common one on in both of them.
     """
     texts = texts.withColumn("t", F.xxhash64("text")).dropDuplicates(["rep", "t"])
-    runs = materialise(texts.select("rep", "t", "text").mapInArrow(_labelled_runs(k), "rep long, t long, n long, run long"), "runs")
+    runs = materialise(texts.select("rep", "t", "text").mapInArrow(released(_labelled_runs(k)), "rep long, t long, n long, run long"), "runs")
     # Runs of one text only come first in its order and match nothing.
     often = runs.groupBy("run").agg(F.count("*").alias("freq")).filter("freq > 1")
     back = W.partitionBy("rep", "t").orderBy(F.desc("freq"), F.desc("run"))
@@ -324,7 +325,7 @@ def _with_leaders(members: DataFrame, leaders: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, bands: int = BANDS, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest id of the class), n_copies (rows with the same words) per row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = materialise(rows.mapInArrow(_signatures(k, bands), SIGNATURE), "signatures")
+    signed = materialise(rows.mapInArrow(released(_signatures(k, bands)), SIGNATURE), "signatures")
     key = ["f1", "f2", "n_words"]
     named = signed.filter("doc_id is not null")
     reps = named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("bands").alias("bands"))

@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
+from .registry import released
 from .token_counts import per_worker, tokenizer
 from .words import slices
 
@@ -174,7 +175,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 1, capacity
     """Pieces of all documents: doc_id, piece, start, length, ids_crc32, salt."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInArrow(_cut(vocabulary, end_id, capacity), PIECES)
+    return texts.mapInArrow(released(_cut(vocabulary, end_id, capacity)), PIECES)
 
 
 def best_fit(lengths, capacity: int):

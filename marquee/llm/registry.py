@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 
+import pyarrow as pa
 from pyspark import cloudpickle
 
 from ..session import prepare
 
 #: Bytes of a batch that goes to a Python worker: texts vary in length, so a count of rows bounds nothing.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +47,19 @@ def ship(spark, value):
     """A broadcast value as a function to call in tasks. Its classes travel along, so executors need no copy of this package."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: pickle.loads(sent.value)
+
+
+def released(run):
+    """A function of a task's batches whose worker gives freed memory back to the system at the end of the task: workers
+    outlive tasks, and what one stage has touched would stay with them through all later ones."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return task

@@ -54,11 +54,11 @@ def test_stages(stages):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()}
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= names
 
 
-@pytest.mark.parametrize("name", ["op3_chat_format", "op4_warc"])
+@pytest.mark.parametrize("name", ["op3_chat_format", "op4_warc", "op11_spelling_variants", "op12_conversation_repair"])
 def test_oracles(spark, name):
     from tests.oracle_check import compare, duck
 
