@@ -178,14 +178,11 @@ def artwork_candidates(items: DataFrame, articles: DataFrame) -> DataFrame:
     )
 
 
-MEDIA_NAME = "(?i)poster|logo|cover|title.?card|box.?art|intertitle"
-
-
 def media_file_fallback(missing: DataFrame, media: DataFrame) -> DataFrame:
     """For items without a picture whose page is known: the first image of that page whose
     file name says what it is and starts with the title. `media` has page, place, file, src."""
     named = F.regexp_replace("file", "^File:", "")
-    fit = media.filter(named.rlike(MEDIA_NAME)).withColumn("_name", fold_loose(named))
+    fit = media.filter(named.rlike(fixed.MEDIA_NAME)).withColumn("_name", fold_loose(named))
     asked = missing.withColumn("_f", fold_loose(F.col("title")))
     # Items of one page and title share an answer, so files meet distinct pairs only.
     found = (

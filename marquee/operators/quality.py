@@ -150,11 +150,13 @@ def fingerprint(rows: DataFrame, id_col: str, content: Column, volatile: str | N
     """Ten hex digits over (id, content) in id order, volatile parts blanked out.
 
     Rows are hashed, then 4,096 hashes at a time by id range, level by level, so that no
-    group ever holds more than 4,096 hashes (ids are unique and below 2^60)."""
+    group ever holds more than 4,096 hashes (ids are unique). Ids beyond 2^60 or below 0 leave a few
+    roots, which are hashed together; a row without an id is an error; no rows give no fingerprint."""
     body = F.coalesce(content, F.lit(""))
     if volatile:
         body = F.regexp_replace(body, volatile, "")
-    level = rows.select(F.col(id_col).alias("_id"), F.sha2(F.concat(F.col(id_col).cast("string"), F.lit(":"), body), 256).alias("_h"))
+    own_id = F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit(f"a row without {id_col}")).cast("long"))
+    level = rows.select(own_id.alias("_id"), F.sha2(F.concat(F.col(id_col).cast("string"), F.lit(":"), body), 256).alias("_h"))
     for _ in range(5):
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("_id", "_h"))), lambda s: s["_h"])
         level = (
@@ -162,7 +164,10 @@ def fingerprint(rows: DataFrame, id_col: str, content: Column, volatile: str | N
             .agg(F.sha2(F.array_join(ordered, ""), 256).alias("_h"))
             .select(F.col("_up").alias("_id"), "_h")
         )
-    return level.select(F.substring("_h", 1, digits).alias("fingerprint"))
+    roots = level.agg(F.array_sort(F.collect_list(F.struct("_id", "_h"))).alias("rs")).filter(F.size("rs") > 0)
+    hashes = F.transform("rs", lambda s: s["_h"])
+    whole = F.when(F.size("rs") == 1, hashes[0]).otherwise(F.sha2(F.array_join(hashes, ""), 256))
+    return roots.select(F.substring(whole, 1, digits).alias("fingerprint"))
 
 
 def inputs_fingerprint(inputs: list[tuple[str, DataFrame]], digits: int = 10) -> DataFrame:

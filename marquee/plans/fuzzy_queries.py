@@ -51,7 +51,8 @@ def _(spark, d):
 
 
 def _mask(q: str) -> int:
-    return fuzzy._python_mask(q)
+    """Bits of the letters and of any digit."""
+    return sum(1 << k for k in {ord(c) - 97 if "a" <= c <= "z" else 26 for c in q if "a" <= c <= "z" or "0" <= c <= "9"})
 
 
 PROBES = ["eau", "dra 195", "mystery 19", "qzx"]
