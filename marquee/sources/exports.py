@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import clean_trailing, to_number, unwrap_excel
+from ..session import materialise
+from .splits import CsvLines, csv_cells, records
 
 BOOK_COLUMNS = [
     "Book Id", "Title", "Author", "Author l-f", "Additional Authors", "ISBN", "ISBN13", "My Rating",
@@ -18,51 +19,43 @@ FILM_COLUMNS = ["Date", "Name", "Year", "Letterboxd URI", "Rating", "Watched Dat
 RATING_COLUMNS = ["Const", "Title Type", "Title", "Original Title", "Directors", "Year", "Your Rating", "IMDb Rating"]
 
 
-#: Cells of a record that are read; an export has about two dozen.
-MAX_COLUMNS = 96
+#: White space that does not count at the ends of a cell.
+BLANK = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
-def _by_header(columns: list[str]):
-    """Batches of (file, cells) in file order -> one row per record, with its cells under the names in
-    the file's own first record. A name the file lacks gives empty text; of repeated names the last counts."""
+def _cells(batches):
+    """file, split, no, text of records -> file, split, no, cells."""
+    for batch in batches:
+        cells = [csv_cells(text) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("file", "split", "no")), pa.array(cells, pa.list_(pa.string()))], ["file", "split", "no", "cells"]
+        )
 
-    def run(batches):
-        file, header = None, []
-        for batch in batches:
-            files = batch.column(0)
-            edges = pc.indices_nonzero(pc.not_equal(files[1:], files[:-1])).to_pylist() if batch.num_rows > 1 else []
-            cuts = [0, *[e + 1 for e in edges], batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                if a < b and files[a].as_py() != file:
-                    file = files[a].as_py()
-                    header = [(batch.column(i + 1)[a].as_py() or "").strip() for i in range(batch.num_columns - 1)]
-                    while header and not header[-1]:
-                        header.pop()
-                    a += 1
-                if a < b:
-                    at = {name: i + 1 for i, name in enumerate(header)}
-                    empty = pa.nulls(b - a, pa.string())
-                    got = [batch.column(at[c]).slice(a, b - a) if c in at else empty for c in columns]
-                    names = pa.array([header] * (b - a), pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays([files.slice(a, b - a), names, *got], ["file", "header", *[f"v{i}" for i in range(len(columns))]])
 
-    return run
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """file, split, no, header, cells of every record but the first of the CSV files in a folder. Real CSV: quotes, doubled quotes,
+    embedded commas and line ends, any number of columns; carriage returns outside of quotes and blank lines do not count.
+    A file is read by as many tasks as it has splits."""
+    found = records(spark, path, CsvLines()).mapInArrow(_cells, "file string, split bigint, no bigint, cells array<string>")
+    trimmed = F.transform("cells", lambda c: F.btrim(c, F.lit(BLANK)))
+    rows = materialise(found.withColumn("cells", trimmed).filter((F.size("cells") > 1) | (F.col("cells")[0] != "")), "cells")
+    # The first record that is not blank, of its split's first ones.
+    place = F.struct("split", "no")
+    first = rows.groupBy("file").agg(F.min(place).alias("first"))
+    heads = rows.join(first, "file").filter(place == F.col("first")).select("file", "first", F.col("cells").alias("header"))
+    return rows.join(materialise(heads, "headers"), "file").filter(place != F.col("first")).drop("first")
 
 
 def read_keyed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """file, header and the named columns of every record of the CSV files in a folder, whatever the
-    order of their columns. Real CSV: quotes, doubled quotes, embedded commas and line ends; cells
-    trimmed. A file is read once, by one task, and its first record stays with that task."""
-    cells = [f"c{i}" for i in range(MAX_COLUMNS)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
-    raw = spark.read.schema(schema).csv(
-        path, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=True,
-        ignoreTrailingWhiteSpace=True, encoding="UTF-8",
-    )
-    names = [f"v{i}" for i in range(len(columns))]
-    kinds = "file string, header array<string>" + "".join(f", {n} string" for n in names)
-    keyed = raw.select(F.col("_metadata.file_path").alias("file"), *cells).mapInArrow(_by_header(columns), kinds)
-    return keyed.select("file", "header", *[F.trim(F.coalesce(n, F.lit(""))).alias(c) for n, c in zip(names, columns)])
+    order of their columns. A name the file lacks gives empty text; of repeated names the last counts."""
+
+    def cell(name):
+        back = F.array_position(F.reverse("header"), F.lit(name)).cast("int")
+        at = F.size("header") - back + 1
+        return F.when((back > 0) & (at <= F.size("cells")), F.get("cells", at - 1)).otherwise(F.lit("")).alias(name)
+
+    return read_cells(spark, path).select("file", "header", *[cell(c) for c in columns])
 
 
 def read_export_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -82,7 +75,7 @@ def detect_source(header: Column) -> Column:
 
 def file_headers(spark: SparkSession, path: str) -> DataFrame:
     """One row per file that has records: its column names and which service wrote it."""
-    seen = read_keyed(spark, path, []).dropDuplicates(["file"])
+    seen = read_cells(spark, path).groupBy("file").agg(F.first("header").alias("header"))
     return seen.withColumn("source", detect_source(F.col("header")))
 
 

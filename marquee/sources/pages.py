@@ -2,50 +2,62 @@
 
 from __future__ import annotations
 
-import json
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.functions import pandas_udf
 
 from ..schema import ITEM
 from ..session import fresh_path
+from .splits import JsonItems, array_items, records, under_key
+
+CORRUPT = "_corrupt_record"
+
+
+def _parsed(rows: DataFrame, text: str, schema: T.StructType) -> DataFrame:
+    """rows with the item in a column of text in its place; items that are no JSON are left out."""
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = rows.withColumn("_item", F.from_json(text, wide, {"columnNameOfCorruptRecord": CORRUPT}))
+    rest = [c for c in rows.columns if c != text]
+    return parsed.filter(F.col(f"_item.{CORRUPT}").isNull()).select(*rest, *[F.col(f"_item.{f.name}") for f in schema.fields])
 
 
 def load_json(spark: SparkSession, path: str, key: str | None = None, schema: T.StructType = ITEM) -> DataFrame:
-    """Files that each hold an array of items, or an object with the array under `key`."""
-    if key is None:
-        return spark.read.schema(schema).json(path, multiLine=True)
-    wrapped = T.StructType([T.StructField(key, T.ArrayType(schema))])
-    return spark.read.schema(wrapped).json(path, multiLine=True).select(F.inline(key))
+    """Items of files that each hold an array of objects, or an object with the array under `key`.
+    A large file is read by many tasks; of a file that ends too early the items before its end are read."""
+    found = records(spark, path, JsonItems(1 if key is None else 2))
+    if key is not None:
+        found = under_key(found, key)
+    return _parsed(found.select("text"), "text", schema)
+
 
+class EmbeddedItems:
+    """Table function (page, name) -> (no, item): the objects of the JSON array after `const NAME =`, in one scan over its brackets and
+    strings; brackets inside strings do not count. An array that never closes has no items."""
 
-def array_text(page: str | None, name: str) -> str | None:
-    """The JSON array after `const NAME =`; brackets inside strings do not count."""
-    if not page:
-        return None
-    at = re.search(r"const " + re.escape(name) + r"\s*=\s*(?=\[)", page)
-    if not at:
-        return None
-    try:
-        end = json.JSONDecoder().raw_decode(page, at.end())[1]
-    except ValueError:
-        return None
-    return page[at.end() : end]
+    def eval(self, page: str, name: str):
+        if not page or name is None:
+            return
+        at = re.search(r"const " + re.escape(name) + r"\s*=\s*(?=\[)", page)
+        if at:
+            yield from enumerate(array_items(page, at.end()))
 
 
-@pandas_udf(T.StringType())
-def embedded_array(page: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series([array_text(p, n) for p, n in zip(page, name)], dtype="object")
+def register_embedded_items(spark: SparkSession) -> str:
+    """Makes the table function available to SQL; returns its name."""
+    spark.udtf.register("embedded_items", F.udtf(EmbeddedItems, returnType="no int, item string"))
+    return "embedded_items"
 
 
 def extract_embedded_array(pages: DataFrame, name: str, html: str = "html", schema: T.StructType = ITEM) -> DataFrame:
     """Items of every page that embeds the array, with the page's other columns."""
-    rest = [c for c in pages.columns if c != html]
-    found = pages.select(*rest, embedded_array(F.col(html), F.lit(name)).alias("_json"))
-    items = F.from_json("_json", T.ArrayType(schema))
-    return found.filter(F.col("_json").isNotNull()).select(*rest, F.inline(items))
+    spark = pages.sparkSession
+    register_embedded_items(spark)
+    rest = ", ".join(f"p.`{c}`" for c in pages.columns if c != html)
+    found = spark.sql(
+        f"SELECT {rest + ', ' if rest else ''}f.item AS _text FROM {{pages}} p, LATERAL embedded_items(p.`{html}`, :name) f",
+        args={"name": name}, pages=pages,
+    )
+    return _parsed(found, "_text", schema)
 
 
 def item_blocks(items: DataFrame, size: int = 256) -> DataFrame:
