@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     lookup_queries,
     quality_queries,
     recommend_queries,
+    sketch_queries,
     source_queries,
     stream_queries,
     view_queries,

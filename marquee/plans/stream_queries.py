@@ -64,8 +64,8 @@ def _(spark, d):
 
 @query("progressive_lockout_stream", _LOCK_SQL)
 def _(spark, d):
-    stream = lockout.lockout_stream(lockout.attempts(runner.event_stream(spark, d)))
-    return runner.run_available(stream, "lockout").drop("batch")
+    tries = runner.Ending(lockout.attempts(runner.event_stream(spark, d)))
+    return runner.run_available(lockout.lockout_stream(tries.stream), "lockout", ending=tries).drop("batch")
 
 
 _RECENT_SQL = """WITH u AS (SELECT user_id, event_type AS kind, json_extract_string(props, '$.k') AS item_id, ts, event_id FROM events),
@@ -78,7 +78,7 @@ FROM l QUALIFY rank <= 8"""
 def _(spark, d):
     uses = runner.event_stream(spark, d).select(
         "user_id", F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").alias("item_id"),
-        micros(F.col("ts")).alias("us"), "event_id",
+        "ts", micros(F.col("ts")).alias("us"), "event_id",
     )
     lists = runner.run_available(sets.recent_stream(uses), "recents")
     return sets.latest_version(lists).select("user_id", "kind", "item_id", "event_id", "rank")
@@ -111,9 +111,10 @@ def _(spark, d):
 )
 def _(spark, d):
     toggles = runner.event_stream(spark, d).filter(F.col("event_type").isin("click", "view")).select(
-        "user_id", "event_id", micros(F.col("ts")).alias("us"), (F.get_json_object("props", "$.k").cast("long") % 9).alias("k")
+        "user_id", "event_id", "ts", (F.get_json_object("props", "$.k").cast("long") % 9).alias("k")
     )
-    return runner.run_available(sets.tray_stream(toggles), "tray").drop("batch")
+    ending = runner.Ending(toggles)
+    return runner.run_available(sets.tray_stream(ending.stream), "tray", ending=ending).drop("batch")
 
 
 @query("backlog_stream_enrich", f"WITH {MATCHED} SELECT row_id, kind, title, matches, match_pos FROM matched")
@@ -153,8 +154,7 @@ def _(spark, d):
         "value",
         F.col("event_id").alias("seq"),
     )
-    path = cache.merge_stream(answers)
-    return spark.read.schema(answers.schema).parquet(path)
+    return cache.merge_stream(answers).read()
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..functions.scores import legal_width
 from ..session import fresh_path
@@ -24,26 +24,82 @@ def merge_cache(cache: DataFrame | None, answers: DataFrame) -> DataFrame:
     return latest.select("key", "a.*")
 
 
-def merge_stream(answers: DataFrame) -> str:
-    """Folds a stream of answers into snapshots, one per micro-batch; returns the newest path.
+class CacheStore:
+    """A cache as sorted runs of growing size. A micro-batch adds one run of its own; FAN runs of a level are merged into one of the next
+    level, so an answer is written once per level and what a batch writes follows the batch, not the cache.
 
-    Batch n reads snapshot n-1 and writes snapshot n beside it, so a batch that is retried
-    after a lost executor or a restart finds the same input and replaces its own output."""
+    `folder` holds `run/<batch>-<level>` and, per batch, a manifest of the runs that count. Batch n reads the manifest of batch n - 1 and
+    replaces only what has its own number, so a batch that is retried after a lost executor or a restart finds the same
+    input. Runs and manifests that no kept manifest needs are removed by `vacuum`."""
+
+    FAN = 8
+    MANIFEST = "name string, level int, n long"
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType):
+        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
+
+    def _runs(self, batch_id: int) -> list[tuple[str, int, int]]:
+        rows = self.spark.read.schema(self.MANIFEST).parquet(f"{self.folder}/manifest/{batch_id}").collect()
+        return sorted((r["name"], r["level"], r["n"]) for r in rows)
+
+    def _read(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/run/{n}" for n in names])
+
+    def _write(self, rows: DataFrame, name: str, level: int) -> tuple[str, int, int]:
+        seen = Observation()
+        rows.select(*self.schema.names).observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.folder}/run/{name}")
+        return name, level, seen.get["n"]
+
+    def add(self, answers: DataFrame, batch_id: int) -> None:
+        """One micro-batch: its definitive answers become a run, and full levels are merged."""
+        runs = self._runs(batch_id - 1) if batch_id else []
+        runs.append(self._write(merge_cache(None, answers), f"{batch_id}-0", 0))
+        level = 0
+        while len(full := [r for r in runs if r[1] == level]) >= self.FAN:
+            merged = merge_cache(None, self._read([r[0] for r in full]))
+            level += 1
+            runs = [r for r in runs if r not in full]
+            runs.append(self._write(merged, f"{batch_id}-{level}", level))
+        self.spark.createDataFrame(runs, self.MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/{batch_id}")
+
+    def _files(self, part: str) -> list:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{part}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [(fs, s.getPath()) for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def version(self) -> int | None:
+        """The last batch that is complete."""
+        done = [int(p.getName()) for fs, p in self._files("manifest") if fs.exists(p.suffix("/_SUCCESS"))]
+        return max(done, default=None)
+
+    def read(self) -> DataFrame:
+        """Latest answer per key as of the last complete batch."""
+        last = self.version()
+        if last is None:
+            return self.spark.createDataFrame([], self.schema)
+        return merge_cache(None, self._read([r[0] for r in self._runs(last)])).select(*self.schema.names)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes the runs and manifests that the last `keep` versions do not need; returns how many runs went."""
+        last = self.version()
+        if last is None:
+            return 0
+        kept = range(max(0, last - keep + 1), last + 1)
+        needed = {name for n in kept for name, _, _ in self._runs(n)}
+        gone = [(fs, p) for fs, p in self._files("run") if p.getName() not in needed and int(p.getName().split("-")[0]) <= last]
+        for fs, p in gone + [(fs, p) for fs, p in self._files("manifest") if int(p.getName()) < kept[0]]:
+            fs.delete(p, True)
+        return len(gone)
+
+
+def merge_stream(answers: DataFrame, folder: str | None = None) -> CacheStore:
+    """Folds a stream of answers into a cache. With the folder of an earlier run it goes on where that one stopped."""
     spark = answers.sparkSession
-    root, log = fresh_path(spark, "cache"), fresh_path(spark, "cache-log")
-    schema = answers.schema
-    done: list[int] = []
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        old = spark.read.schema(schema).parquet(f"{root}/{batch_id - 1}") if batch_id else None
-        merge_cache(old, batch).select(*schema.names).write.mode("overwrite").parquet(f"{root}/{batch_id}")
-        done.append(batch_id)
-
-    query = (
-        answers.writeStream.foreachBatch(upsert).option("checkpointLocation", log).trigger(availableNow=True).start()
-    )
+    store = CacheStore(spark, folder or fresh_path(spark, "cache"), answers.schema)
+    query = answers.writeStream.foreachBatch(store.add).option("checkpointLocation", f"{store.folder}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return f"{root}/{max(done)}"
+    return store
 
 
 def migrate_cache(old: DataFrame) -> DataFrame:

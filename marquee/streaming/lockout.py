@@ -15,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed
 from ..functions.clock import micros
+from .ordered import IDLE_DAYS, Ordered, in_order
+from .runner import WATERMARK
 
 STEPS = [int(s * 1_000_000) for s in fixed.LOCK_STEPS_SECONDS]
 TOP = len(STEPS) - 1
@@ -44,15 +45,6 @@ def replay(us, ok, fails: int, until: int) -> tuple[list[tuple[str, int, int]],
     return out, fails, until
 
 
-def _replayed(pdf: pd.DataFrame, fails: int, until: int) -> tuple[pd.DataFrame, int, int]:
-    pdf = pdf.sort_values(["us", "event_id"])
-    rows, fails, until = replay(pdf["us"].to_numpy(), pdf["ok"].to_numpy(), fails, until)
-    out = pd.DataFrame(rows, columns=["outcome", "fails", "until_us"])
-    out.insert(0, "event_id", pdf["event_id"].to_numpy())
-    out.insert(0, "user_id", pdf["user_id"].to_numpy())
-    return out, fails, until
-
-
 def attempts(events: DataFrame) -> DataFrame:
     """Errors are failed attempts, sign-ups successful ones."""
     return events.filter(F.col("event_type").isin("error", "signup")).select(
@@ -64,19 +56,24 @@ def attempts(events: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ stream
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    fails, until = state.get if state.exists else (0, 0)
-    out, fails, until = _replayed(pd.concat(list(batches)), int(fails), int(until))
-    state.update((fails, until))
-    yield out
+class Lockout(Ordered):
+    """Count and lock end per key. A cleared count is the initial value, so the key is forgotten at once."""
 
+    fields = "event_id long, us long, ok boolean"
+    value = "fails long, until_us long"
+    initial = (0, 0)
 
-def lockout_stream(tries: DataFrame) -> DataFrame:
-    """`tries` as from attempts(), streamed. State per key is two numbers; a micro-batch, whose
-    size the source bounds, is ordered by time within the key."""
-    return tries.groupBy("user_id").applyInPandasWithState(
-        _step, OUTCOME, "fails long, until long", "append", GroupStateTimeout.NoTimeout
-    )
+    def fold(self, value, rows):
+        ids, us, ok = zip(*rows)
+        out, fails, until = replay(us, ok, *map(int, value))
+        frame = pd.DataFrame(out, columns=["outcome", "fails", "until_us"])
+        frame.insert(0, "event_id", list(ids))
+        return (fails, until), frame
+
+
+def lockout_stream(tries: DataFrame, watermark: str = WATERMARK, idle_days: int = IDLE_DAYS) -> DataFrame:
+    """`tries` as from attempts(), streamed, in any order within the watermark; later ones are dropped."""
+    return in_order(tries.select("user_id", "event_id", "ts", "us", "ok"), Lockout("user_id", idle_days), OUTCOME, watermark)
 
 
 # ------------------------------------------------------------------ whole table
