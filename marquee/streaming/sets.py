@@ -28,6 +28,8 @@ class Recents(StatefulProcessor):
         self.items = handle.getMapState("items", "kind string, item_id string", "us long, event_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # Rows of a micro-batch come before its timers.
+        self.forget(timerValues)
         version, last = self.seen.get() if self.seen.exists() else (0, 0)
         before = {tuple(k): tuple(v) for k, v in self.items.iterator()}
         held = dict(before)
@@ -52,10 +54,13 @@ class Recents(StatefulProcessor):
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.forget(timerValues)
+        return iter(())
+
+    def forget(self, timerValues) -> None:
         if self.seen.exists() and self.seen.get()[1] + self.idle_ms <= timerValues.getCurrentWatermarkInMs():
             self.seen.clear()
             self.items.clear()
-        return iter(())
 
     def close(self) -> None:
         pass
