@@ -8,8 +8,6 @@ Queries are looked up in it and only items whose best conceivable worth reaches
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
