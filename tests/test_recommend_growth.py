@@ -1,13 +1,21 @@
-"""The recommendation build does the same work with less moved: no item per cell."""
+"""The recommendation build does the same work with less moved: no item per cell, no word or pair through a join."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from marquee.operators import neighbours as nb
+from marquee.functions import fixed
+from marquee.operators import neighbours as nb, similarity as sim
 from marquee.operators.sorting import top_per_group
+from marquee.session import materialise
 
 from .test_neighbours import brute_force, random_vectors
 
+TEXTS = "kind string, pos long, genre string, blurb string"
+META = "kind string, pos long, gid long, kind_rank int, eligible boolean"
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 @pytest.mark.parametrize("hot", [0.0, 0.6])
@@ -37,3 +45,57 @@ def test_items_are_not_dealt_to_every_cell(spark):
     finally:
         nb._best, nb.CANDIDATE = whole, shape
     assert {r["item"]: r["n"] for r in sides}[True] == 400 * 8 * len(nb.ITEM_LONGS)
+
+
+def test_words_are_counted_where_texts_are_read(spark):
+    texts = spark.createDataFrame(
+        [("games", 1, "a", "Oak oak, elm the be oak-tree"), ("games", 2, "b", None), ("games", 3, "b", "12 ab"),
+         ("books", 4, "a", "elm"), ("books", 4, "a", "elm yew"), (None, 5, "a", "oak")], TEXTS)
+    meta = spark.createDataFrame([("games", i, i, 0, True) for i in (1, 2, 3)] + [("books", 4, 4 + i, 1, True) for i in range(2)], META)
+    got = {(r["pos"], r["word"]): (r["copies"], r["tf"]) for r in sim.word_counts(texts, meta).collect()}
+    assert got == {(1, "oak"): (1, 3), (1, "elm"): (1, 1), (1, "tree"): (1, 1), (4, "elm"): (2, 2), (4, "yew"): (2, 1)}
+    single = sim.word_counts(texts.filter("kind = 'games'"), meta.filter("kind = 'games'"))
+    assert "Join" not in plan(single) and "Aggregate" not in plan(single) and "Repartition" not in plan(single)
+
+
+def test_learned_sums_beyond_the_broadcast(spark):
+    names = [f"l_{a}" for a in [*sim.AXES, "tone", "scale"]]
+    profiles = spark.createDataFrame(
+        [(f"w{i}", 3 + i % 7, *[float(i)] * len(names)) for i in range(40)] + [("often", 900, *[None] * len(names))],
+        "word string, df long, " + ", ".join(f"{n} double" for n in names))
+    words = spark.createDataFrame(
+        [("games", p, f"w{(p * 7 + i) % 40}", 1 + i % 3) for p in range(30) for i in range(9)] + [("games", 1, "often", 5)],
+        "kind string, pos long, word string, tf long")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    whole = key(sim.learned_sums(words, profiles, ["kind", "pos"]))
+    for most in (1, 10, 39):
+        assert key(sim.learned_sums(words, profiles, ["kind", "pos"], most)) == whole
+
+
+def test_pairs_are_scored_where_they_are_made(spark):
+    df, rows = random_vectors(spark, 60, 4)
+    v = materialise(df, "test-vectors")
+    words = [(r[1], r[2], "a", 1, f"w{k}", 1) for r in rows for k in range(30) if (r[0] * 7 + k * k) % 11 == 0]
+    counts = spark.createDataFrame(words, "kind string, pos long, genre string, copies long, word string, tf long")
+    profiles = materialise(sim.document_frequency(counts), "test-profiles")
+    f = sim.Features(v.select("kind", "pos", "kind_rank", "gid", "turn"), counts, profiles, None, v, {})
+    found = nb.rare_scores(f, nb.rare_meetings(f, nb.SCORED))
+    shown = plan(found)
+    assert 0 <= shown.find("Generate") < shown.find("Join")
+    by_word = {}
+    for kind, pos, _, _, w, _ in words:
+        by_word.setdefault(w, []).append(pos)
+    shared = {}
+    for items in by_word.values():
+        if fixed.RARE_DF[0] <= len(items) <= fixed.RARE_DF[1]:
+            for i in items:
+                for j in items:
+                    if rows[i][3] != rows[j][3] and rows[j][9]:
+                        shared[i, j] = shared.get((i, j), 0) + 1
+    pairs = spark.createDataFrame([(i, j, n) for (i, j), n in shared.items()], "gid long, neighbour long, shared long")
+    want = (
+        pairs.alias("p").join(v.alias("i"), F.col("p.gid") == F.col("i.gid")).join(v.alias("j"), F.col("p.neighbour") == F.col("j.gid"))
+        .select("p.gid", "p.neighbour", nb.pair_score(F.col("p.shared")).alias("sim"), nb.shared_axis().alias("axis"))
+    )
+    key = lambda d: sorted(map(tuple, d.select("gid", "neighbour", "sim", "axis").collect()))
+    assert key(found) == key(want)
