@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -42,6 +43,10 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Latin text without composing marks: normalising leaves it as it is but for case and white space.
 LATIN = r"[\t-\r !-˿‐-‧‰-⁞€]*+"
 
+#: Characters that byte-level vocabularies write for bytes that cannot be seen; the others stand for themselves.
+UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+BYTES = {b: 256 + k for k, b in enumerate(UNSEEN)}
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 
 
@@ -49,18 +54,14 @@ class WordIds:
     """Texts -> token ids as little-endian 32-bit bytes.
 
     Runs of characters without white space are looked up; the words of unknown ones are encoded
-    together, once each, and told apart by their last tokens, which carry the end of a word. The
-    look-up table has two generations, each bounded in entries and characters, so what is frequent stays.
+    once each. The look-up table has two generations, each bounded in entries and characters, so what is frequent stays.
     """
 
-    def __init__(self, tok, most: int = 100_000, most_chars: int = 2 << 20):
+    def __init__(self, tok, most: int = 300_000, most_chars: int = 8 << 20):
         self.tok, self.most, self.most_chars = tok, most, most_chars
         self.new, self.old, self.held = {}, {}, 0
         self.find = regex.compile(WORD).findall
         self.latin = regex.compile(LATIN).fullmatch
-        vocab = tok.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         added = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
         self.added = {k: np.array([i], "<u4").tobytes() for k, i in added.items()}
         names = sorted(map(re.escape, added), key=len, reverse=True)
@@ -78,14 +79,12 @@ class WordIds:
         return self.find(chunk)
 
     def encode_words(self, words: list[str]) -> dict:
-        if not words:
-            return {}
-        ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(cuts) != len(words):
-            return {w: self.whole(w) for w in words}
-        raw = ids.tobytes()
-        return {w: raw[4 * a : 4 * b] for w, a, b in zip(words, [0, *cuts], cuts)}
+        """Words that are normalised and cut already, so only the merges are left to do; a merge knows bytes as characters."""
+        merge, put = self.tok.model.tokenize, {}
+        for w in words:
+            spelt = w if w.isascii() else w.encode().decode("latin-1").translate(BYTES)
+            put[w] = array("I", [t.id for t in merge(spelt)]).tobytes()
+        return put
 
     def turn(self) -> None:
         if len(self.new) > self.most or self.held > self.most_chars:

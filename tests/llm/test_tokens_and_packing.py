@@ -116,3 +116,25 @@ def test_groups_stay_bounded(spark):
         group = r["sequence_id"] >> 24
         sizes[group] = sizes.get(group, 0) + 1
     assert max(sizes.values()) <= 2 * 50
+
+
+def test_words_need_only_merges():
+    """Words of plain text are merged one by one, not sent through the library's normalising and cutting again."""
+    from marquee.llm.packing import WordIds
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+    class Counted:
+        calls = 0
+
+        def __getattr__(self, name):
+            return getattr(tok, name)
+
+        def encode(self, *args, **how):
+            Counted.calls += 1
+            return tok.encode(*args, **how)
+
+    texts = ["Déjà vu, NAÏVE straße; don't we'll 42x it's «ça» £5 ½ x² ¡hola! soft\xadhyphen a\xa0b", "plain words only, plain."]
+    got = WordIds(Counted())(texts)
+    assert Counted.calls == 0
+    assert got == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
