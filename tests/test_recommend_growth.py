@@ -1,5 +1,8 @@
 """The recommendation build does the same work with less moved: no item per cell, no word or pair through a join."""
 
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +61,47 @@ def test_words_are_counted_where_texts_are_read(spark):
     assert "Join" not in plan(single) and "Aggregate" not in plan(single) and "Repartition" not in plan(single)
 
 
+def test_words_are_counted_in_the_bytes_of_a_batch(spark):
+    """As a plain loop counts them: ends of texts, letters of several bytes, letters that lower to ASCII, short runs."""
+    drop = set((fixed.STOP + " " + fixed.JARGON).split())
+    texts = ["oak", "elm", "", None, "Oak\u00e9oak OAK-oaken the", "\u212aelp \u0130dle", "ab cde", "x" * 70 + " the", "12 \u7d19 --", "yew oak", "elm", "e"]
+    rows = [("games", i, "a", t) for i, t in enumerate(texts * 40)]
+    df = spark.createDataFrame(rows, TEXTS).coalesce(1)
+    found = sim.content_words(df, ["kind", "pos"])
+    assert "MapInArrow" in plan(found) and "Generate" not in plan(found)
+    lowered = {r["pos"]: r["t"] for r in df.select("pos", F.lower("blurb").alias("t")).collect()}
+    want = Counter((p, w) for p, t in lowered.items() for w in re.findall("[a-z]+", t or "") if len(w) > 2 and w not in drop)
+    assert {(r["pos"], r["word"]): r["tf"] for r in found.collect()} == want
+    assert [f.name for f in found.schema] == ["kind", "pos", "word", "tf"]
+
+
+def test_profiles_are_summed_in_one_shuffle(spark):
+    counts = spark.createDataFrame(
+        [("games", i, g, 1, w, 1) for i, (g, w) in enumerate([("Fantasy", "oak"), ("Horror", "oak"), (None, "oak"), ("none such", "oak"), ("Fantasy", "elm")])],
+        "kind string, pos long, genre string, copies long, word string, tf long")
+    priors = sim.prior_table(spark)
+    base = {a: 0.0 for a in [*sim.AXES, "tone", "scale"]} | {"n": 100}
+    found = sim.learn_profiles(counts, priors, base)
+    assert plan(found).count("Aggregate") == 1
+    got = {r["word"]: r for r in found.collect()}
+    tone = {r["genre"]: r["prior_tone"] for r in priors.collect()}
+    assert got["oak"]["df"] == 4 and got["elm"]["df"] == 1 and got["elm"]["l_tone"] is None
+    assert got["oak"]["l_tone"] == pytest.approx((tone["Fantasy"] + tone["Horror"]) / 4 * 4 / (4 + fixed.SHRINK))
+
+
+def test_keys_are_made_before_items_are_numbered(spark):
+    """The tasks that number items are few; regular expressions run where the catalogue is read."""
+    from marquee.schema import ITEM
+
+    row = {"kind": "games", "pos": 4, "title": "The Oak 2", "metacritic": 90}
+    narrow = spark.createDataFrame([tuple(row.get(f.name) for f in ITEM)], ITEM).drop("blurb").withColumn("period", F.lit(0.5))
+    meta = sim.item_meta(narrow)
+    shown = plan(meta)
+    assert 0 <= shown.find("Window") < shown.find("regexp_replace")
+    got = meta.first()
+    assert (got["gid"], got["turn"], got["title_key"], got["base_key"], got["period"]) == (0, 0, "the oak 2", "oak", 0.5)
+
+
 def test_learned_sums_beyond_the_broadcast(spark):
     names = [f"l_{a}" for a in [*sim.AXES, "tone", "scale"]]
     profiles = spark.createDataFrame(
