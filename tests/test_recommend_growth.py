@@ -102,6 +102,17 @@ def test_keys_are_made_before_items_are_numbered(spark):
     assert (got["gid"], got["turn"], got["title_key"], got["base_key"], got["period"]) == (0, 0, "the oak 2", "oak", 0.5)
 
 
+def test_lists_are_merged_in_tasks_of_bounded_size(spark):
+    rows = [(i, 0, i, 1, 100 + (i + k) % 12, 0.5 + k / 100 + side / 1000, side) for i in range(6) for k in range(8) for side in (0, 1)]
+    both = spark.createDataFrame(rows, nb.CANDIDATE)
+    shown = plan(nb.best_of_both(both, 4_000_000))
+    tasks = int(re.search(r"RepartitionByExpression \[gid#\d+L?, target_rank#\d+\], (\d+)", shown)[1])
+    assert tasks * nb.TASK_PAIRS >= 4_000_000 * 3 * 2 * fixed.WIDE
+    got = nb.best_of_both(both, 6).collect()
+    assert len(got) == 48 and all(r["axis"] == 1 for r in got)
+    assert [r["place"] for r in sorted(got, key=lambda r: (r["gid"], -r["sim"]))] == [*range(1, 9)] * 6
+
+
 def test_learned_sums_beyond_the_broadcast(spark):
     names = [f"l_{a}" for a in [*sim.AXES, "tone", "scale"]]
     profiles = spark.createDataFrame(
