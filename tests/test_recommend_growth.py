@@ -1,5 +1,6 @@
 """The recommendation build does the same work with less moved: no item per cell, no word or pair through a join."""
 
+import random
 import re
 from collections import Counter
 
@@ -154,3 +155,17 @@ def test_pairs_are_scored_where_they_are_made(spark):
     )
     key = lambda d: sorted(map(tuple, d.select("gid", "neighbour", "sim", "axis").collect()))
     assert key(found) == key(want)
+
+
+def test_years_are_found_as_before(spark):
+    """The pattern asks for the digit first, which changes no answer; plain loop with the rule as written."""
+    from marquee.functions.text import period_signal
+
+    rng = random.Random(5)
+    texts = [None, "", "1999", "a1999", "_2012", "1999s", "1999st", "20300", "2030", "2029.", "11999 1999", "é1850é"]
+    texts += ["".join(rng.choice("0129 s_aé") for _ in range(rng.randrange(4, 14))) for _ in range(4000)]
+    rule = re.compile(r"(?<![A-Za-z0-9_])(1[0-9][0-9][0-9]|20[0-2][0-9])s?(?![A-Za-z0-9_])")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = {r["i"]: r["p"] for r in df.select("i", period_signal(F.col("t")).alias("p")).collect()}
+    assert got == {i: 0.5 if rule.search(t or "") else 0.0 for i, t in enumerate(texts)}
+    assert df.select(period_signal(F.col("t")).alias("p"))._jdf.queryExecution().optimizedPlan().toString().count("(?=[12])") == 1
