@@ -169,3 +169,66 @@ def test_years_are_found_as_before(spark):
     got = {r["i"]: r["p"] for r in df.select("i", period_signal(F.col("t")).alias("p")).collect()}
     assert got == {i: 0.5 if rule.search(t or "") else 0.0 for i, t in enumerate(texts)}
     assert df.select(period_signal(F.col("t")).alias("p"))._jdf.queryExecution().optimizedPlan().toString().count("(?=[12])") == 1
+
+
+def test_words_of_repeated_keys_meet_in_tasks_of_bounded_size(spark):
+    """Not in the tasks that read the texts, whose maps of words would grow with their share of the input."""
+    texts = spark.createDataFrame([("games", i % 30, "a", f"oak elm yew{i % 7} " * 5000) for i in range(300)], TEXTS)
+    meta = spark.createDataFrame([("games", i % 30, i, 0, True) for i in range(300)], META)
+    found = sim.word_counts(texts, meta)
+    shown = plan(found)
+    tasks = int(re.search(r"RepartitionByExpression \[kind#\d+, pos#\d+L, word#\d+\], (\d+)", shown)[1])
+    assert tasks * sim.TASK_BYTES >= 300 * 75_000
+    assert found.rdd.getNumPartitions() >= tasks
+    got = {(r["pos"], r["word"]): (r["copies"], r["tf"]) for r in found.collect()}
+    want = Counter()
+    for i in range(300):
+        want.update({(i % 30, w): 5000 for w in ("oak", "elm", "yew")})
+    assert got == {k: (10, n) for k, n in want.items()}
+
+
+@pytest.mark.parametrize("copies", [3, 5])
+def test_items_that_are_alike_are_scored_once(spark, copies):
+    """Items under other numbers but equal in all that scores read, a null tone among them."""
+    df, rows = random_vectors(spark, 80, 6, 0.3)
+    df = df.withColumn("tone", F.when(F.col("gid") % 9 != 4, F.col("tone")))
+    many = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    many = many.withColumns({"gid": F.col("gid") * copies + F.col("copy"), "turn": 10_000 - F.col("gid") * copies - F.col("copy")}).drop("copy")
+    many = materialise(many, "test-alike")
+    dealt, whole = [], nb._plain_candidates
+
+    def counted(items, *rest):
+        dealt.append(items.count())
+        return whole(items, *rest)
+
+    best = lambda found: sorted(
+        tuple(r) for r in top_per_group(found, ["gid", "target_rank"], [F.desc("sim"), F.asc("neighbour")], 8).drop("rank").collect()
+    )
+    items = nb.pair_keys(many, "item").drop("score", "eligible")
+    nb._plain_candidates = counted
+    try:
+        got = best(nb.plain_candidates(many, 100_000, 16, 60, 50))
+    finally:
+        nb._plain_candidates = whole
+    assert dealt == [items.select(*nb.ITEM_FLOATS, "kind_rank", *nb.KEYS).distinct().count()] and dealt[0] <= 80
+    assert got == best(whole(items, many, 100_000, 16, 60, 50)) and len(got) > 80
+
+
+def test_rounds_do_not_bring_candidates_to_their_cutoffs(spark):
+    """Cutoffs are broadcast whatever size Spark takes them for; past the bound they are joined, with the same picks."""
+    rows = [(g, 9, g, 0, (g + k * (k + 1)) % 40, 0.5, 0, k + 1) for g in range(400) for k in range(8)]
+    cands = spark.createDataFrame(rows, nb.CANDIDATE + ", place int")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    most = nb.BROADCAST_CUTOFFS
+    try:
+        picks = nb.assign(cands, 4, 3)
+        assert "strategy=broadcast" in plan(picks)
+        got = sorted(map(tuple, picks.collect()))
+        nb.BROADCAST_CUTOFFS = 0
+        picks = nb.assign(cands, 4, 3)
+        assert "strategy=broadcast" not in plan(picks)
+        assert sorted(map(tuple, picks.collect())) == got
+    finally:
+        nb.BROADCAST_CUTOFFS = most
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
