@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +234,42 @@ def test_rounds_do_not_bring_candidates_to_their_cutoffs(spark):
     finally:
         nb.BROADCAST_CUTOFFS = most
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_floors_are_set_before_pairs_are_scored():
+    """A task scores few pairs exactly, finds what a plain loop finds, and rows without a number stop nothing."""
+    rng = np.random.default_rng(8)
+
+    def side(n, rank):
+        v = np.abs(rng.normal(0, 1, (n, len(nb.VEC)))) ** 3
+        rows = pd.DataFrame(np.round(v / np.linalg.norm(v, axis=1)[:, None], 9), columns=nb.VEC)
+        rows["tone"], rows["scale"] = np.round(rng.uniform(-1, 1, (2, n)), 9)
+        rows["score"] = rng.integers(60, 100, n).astype("f8")
+        rows.loc[rng.random(n) < 0.01, "tone"] = np.nan
+        for k in nb.KEYS:
+            rows[k] = rng.integers(0, 50 if k.startswith("pre") else 1 << 60, n)
+        return rows.assign(gid=np.arange(n) + 100_000 * rank, kind_rank=rank, turn=np.arange(n))
+
+    items, targets = side(700, 0), side(9000, 1)
+    packed = [items.assign(grp=0)], [targets.drop(columns="turn")]
+    rows = pd.concat([*nb._pack_items(packed[0]), *nb._pack_targets(64)(packed[1])]).assign(task=3)
+    rows["kind_rank"] = rows["kind_rank"].fillna(-1).astype(int)
+    scored, whole = [], nb.pair_scores
+
+    def counted(left, right):
+        out = whole(left, right)
+        scored.append(out.size)
+        return out
+
+    nb.pair_scores = counted
+    try:
+        got = {held: pd.concat(nb._best(held, 8)([rows])) for held in (1 << 19, 2000)}
+    finally:
+        nb.pair_scores = whole
+    assert sum(scored) < 2 * 700 * 9000 * 0.02
+    sim = nb.score_block({c: items[c].to_numpy() for c in items}, {c: targets[c].to_numpy() for c in targets})
+    want = set()
+    for i, row in enumerate(np.where(sim >= fixed.MIN_SIM, sim, -np.inf)):
+        want |= {(i, 100_000 + j, row[j]) for j in np.argsort(-row, kind="stable")[:8] if row[j] > -np.inf}
+    for found in got.values():
+        assert set(zip(found["gid"], found["neighbour"], found["sim"])) == want
