@@ -273,3 +273,50 @@ def test_floors_are_set_before_pairs_are_scored():
         want |= {(i, 100_000 + j, row[j]) for j in np.argsort(-row, kind="stable")[:8] if row[j] > -np.inf}
     for found in got.values():
         assert set(zip(found["gid"], found["neighbour"], found["sim"])) == want
+
+
+def test_rounds_find_picks_within_a_row(spark):
+    """No sort and no exchange of candidates in a round; the same picks as by ranking open candidates, gaps included."""
+    rng = random.Random(9)
+    rows = [(g, 9, 400 - g, m, rng.randrange(60), 0.5, 0, k) for g in range(200) for m in range(2) for k in sorted(rng.sample(range(1, 9), rng.randrange(1, 9)))]
+    cands = materialise(spark.createDataFrame(rows, nb.CANDIDATE + ", place int"), "test-cands")
+    lists = materialise(nb._lists(cands, 8), "test-lists")
+    for full in ([], [(n, rng.randrange(150, 420)) for n in range(0, 60, 2)]):
+        cutoffs = spark.createDataFrame(full, "neighbour long, cutoff long")
+        found = nb._list_proposals(lists, cutoffs, 3, 8)
+        assert not any(x in plan(found) for x in ("Window", "Sort", "Aggregate", "Repartition"))
+        want = sorted((r["neighbour"], r["turn"]) for r in nb._proposals(cands, cutoffs, 3).collect())
+        assert sorted(map(tuple, found.select("neighbour", "turn").collect())) == want
+    first = nb._list_proposals(lists, None, 3, 8)
+    assert "Join" not in plan(first) and first.count() == nb._proposals(cands, spark.createDataFrame([], "neighbour long, cutoff long"), 3).count()
+
+
+@pytest.mark.parametrize("longest", [8, 11])
+def test_picks_do_not_depend_on_how_rounds_read_lists(spark, longest):
+    """Lists longer than eight, and cutoffs too many to broadcast, go through the join."""
+    rng = random.Random(longest)
+    rows = [(g, 9, (g * 7) % 300, 0, t, 0.5, 0, k + 1) for g in range(300) for k, t in enumerate(rng.sample(range(30), longest))]
+    cands = spark.createDataFrame(rows, nb.CANDIDATE + ", place int")
+    got = sorted(map(tuple, nb.assign(cands, 6, 2).collect()))
+    most = nb.BROADCAST_CUTOFFS
+    nb.BROADCAST_CUTOFFS = 0
+    try:
+        assert sorted(map(tuple, nb.assign(cands, 6, 2).collect())) == got and len(got) > 100
+    finally:
+        nb.BROADCAST_CUTOFFS = most
+
+
+def test_pairs_that_cannot_reach_the_floor_are_not_shuffled(spark):
+    df, rows = random_vectors(spark, 60, 4)
+    v = materialise(df, "test-vectors")
+    words = [(r[1], r[2], "a", 1, f"w{k}", 1) for r in rows for k in range(30) if (r[0] * 7 + k * k) % 11 == 0]
+    counts = spark.createDataFrame(words, "kind string, pos long, genre string, copies long, word string, tf long")
+    profiles = materialise(sim.document_frequency(counts), "test-profiles")
+    f = sim.Features(v.select("kind", "pos", "kind_rank", "gid", "turn"), counts, profiles, None, v, {})
+    met = nb.rare_meetings(f, nb.SCORED)
+    found = nb.rare_scores(f, met, fixed.MIN_SIM)
+    shown = plan(found)
+    assert "0.22" in shown[shown.find("RepartitionByExpression"):]
+    key = lambda d: sorted(map(tuple, d.collect()))
+    every = nb.rare_scores(f, met)
+    assert key(found) == key(every.filter(F.col("sim") >= fixed.MIN_SIM)) and 0 < found.count() < every.count()
