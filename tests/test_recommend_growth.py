@@ -320,3 +320,24 @@ def test_pairs_that_cannot_reach_the_floor_are_not_shuffled(spark):
     key = lambda d: sorted(map(tuple, d.collect()))
     every = nb.rare_scores(f, met)
     assert key(found) == key(every.filter(F.col("sim") >= fixed.MIN_SIM)) and 0 < found.count() < every.count()
+
+
+def test_hits_and_learned_sums_come_from_one_pass(spark):
+    """Words with a profile, with hits, with both and with none; profiles beyond the broadcast too."""
+    names = [f"l_{a}" for a in [*sim.AXES, "tone", "scale"]]
+    profiles = spark.createDataFrame(
+        [(f"w{i}", 3 + i % 7, *[float(i)] * len(names)) for i in range(40)] + [("often", 900, *[None] * len(names))],
+        "word string, df long, " + ", ".join(f"{n} double" for n in names))
+    lexicon = spark.createDataFrame([("w3", 1, -1), ("w39", 0, 1), ("often", 1, 0), ("never", 1, 1)], "word string, b_moral int, tone_hits int")
+    words = spark.createDataFrame(
+        [("games", p, f"w{(p * 7 + i) % 40}", 1 + i % 3) for p in range(30) for i in range(9)]
+        + [("games", 1, "often", 5), ("games", 77, "often", 2), ("games", 78, "none", 2)],
+        "kind string, pos long, word string, tf long")
+    item = ["kind", "pos"]
+    hits = words.join(lexicon, "word").groupBy(*item).agg(*[F.sum(F.col(c) * F.col("tf")).alias(c) for c in ("b_moral", "tone_hits")])
+    want = sorted(map(str, sim.learned_sums(words, profiles, item).join(hits, item, "full").collect()))
+    assert len(want) == 31
+    for most in (1, 10, 39, 100):
+        found = sim.learned_sums(words, profiles, item, most, lexicon)
+        assert sorted(map(str, found.collect())) == want
+    assert plan(found).count("Aggregate") == 1
