@@ -341,3 +341,29 @@ def test_hits_and_learned_sums_come_from_one_pass(spark):
         found = sim.learned_sums(words, profiles, item, most, lexicon)
         assert sorted(map(str, found.collect())) == want
     assert plan(found).count("Aggregate") == 1
+
+
+def test_scarce_words_are_found_once_beyond_the_broadcast(spark):
+    """Sums beyond the broadcast and rare words both read the counts of scarce words; results are as without them."""
+    rng = random.Random(2)
+    texts = spark.createDataFrame([("games" if p % 2 else "books", p, "Fantasy", " ".join(f"{'abcdefgh'[w % 8]}oak{'ijklmnop'[w // 8 % 8]}{'qrstuvwx'[w // 64]}" for w in (int(512 * rng.random() ** 3) for _ in range(12)))) for p in range(150)], TEXTS)
+    from marquee.schema import ITEM
+
+    row = {"title": "The Oak", "metacritic": 90, "rating": 4.5, "ratings_count": 900, "year": 1990, "genre": "Fantasy"}
+    narrow = spark.createDataFrame(
+        [tuple((row | {"kind": r["kind"], "pos": r["pos"], "title": f"The {r['pos']}"}).get(f.name) for f in ITEM) for r in texts.collect()], ITEM
+    ).drop("blurb").withColumn("period", F.lit(0.5))
+    key = lambda d: sorted(map(str, d.collect()))
+    most, whole = sim.BROADCAST_WORDS, sim.build_features(texts, narrow)
+    assert whole.scarce is None
+    sim.BROADCAST_WORDS = 12
+    try:
+        f = sim.build_features(texts, narrow)
+        assert 0 < f.scarce.count() < f.counts.count()
+        scarce = f.scarce.inputFiles()[0].rsplit("/", 2)[-2]
+        rare = nb.rare_meetings(f)
+        assert any(scarce in x for x in rare.inputFiles())
+        assert key(rare.select(*nb.pair())) == key(nb.rare_meetings(whole).select(*nb.pair()))
+    finally:
+        sim.BROADCAST_WORDS = most
+    assert key(f.vectors) == key(whole.vectors)
